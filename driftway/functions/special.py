@@ -32,32 +32,60 @@ def log_gamma1p(x: Column) -> Column:
     return shifted - F.log(reduce(mul, [x + float(step) for step in range(1, _SHIFT + 1)]))
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    return log_gamma1p(n) - log_gamma1p(k) - log_gamma1p(n - k)
+def _number(value: float) -> str:
+    return f"{value!r}D"
 
 
-def hypergeom_pmf(k: Column, called: Column, alt: Column, target: Column) -> Column:
-    """P(k alternate alleles in ``target`` chromosomes drawn from ``called`` that hold ``alt``)."""
-    possible = (k >= 0) & (k <= alt) & (target - k >= 0) & (target - k <= called - alt)
-    weight = log_choose(alt, k) + log_choose(called - alt, target - k) - log_choose(called, target)
-    return F.when(possible, F.exp(weight)).otherwise(F.lit(0.0))
+def _numbers(values) -> str:
+    return "array(" + ", ".join(_number(v) for v in values) + ")"
 
 
-def support_of_projection(called: Column, alt: Column, target: Column) -> Column:
-    """The k with non-zero weight, as an array to explode."""
-    return F.sequence(
-        F.greatest(F.lit(0).cast("long"), target - (called - alt)), F.least(alt, target)
+def _log_factorial(n: str) -> str:
+    """SQL text of ln n! for whole n >= 0: exact values below 16, the Stirling series above."""
+    square = f"({n} * {n})"
+    series = (
+        f"({_number(1 / 12)} - ({_number(1 / 360)} - ({_number(1 / 1260)} - {_number(1 / 1680)} / {square})"
+        f" / {square}) / {square}) / {n}"
     )
+    exact = _numbers(math.lgamma(k + 1) for k in range(16))
+    stirling = f"({n} + 0.5D) * ln({n}) - {n} + {_number(0.5 * math.log(2 * math.pi))} + {series}"
+    return f"CASE WHEN {n} < 16 THEN get({exact}, cast({n} as int)) ELSE {stirling} END"
 
 
-def hypergeom_table(sizes: DataFrame) -> DataFrame:
-    """Rows (called, alt, target, k, p) for every distinct (called, alt, target) in ``sizes``."""
-    keyed = sizes.select("called", "alt", "target").distinct()
-    keyed = keyed.filter(F.col("target") <= F.col("called"))
-    cells = keyed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("target"))).alias("k"))
-    return cells.withColumn(
-        "p", hypergeom_pmf(F.col("k"), F.col("called"), F.col("alt"), F.col("target"))
+def sum_log_factorials(*numbers: str) -> str:
+    """SQL text of the summed ln n!.
+
+    The lambda states the formula once for all of them. Written out per term it
+    would exceed the method size the JIT compiles, and run interpreted.
+    """
+    return f"aggregate(array({', '.join(numbers)}), 0D, (total, n) -> total + ({_log_factorial('n')}))"
+
+
+def project_side(df: DataFrame, called: str, alt: str, target: int, k: str, p: str) -> DataFrame:
+    """One row per possible count ``k`` of alternate alleles among ``target`` drawn, with its probability ``p``.
+
+    Hypergeometric: ``target`` chromosomes drawn without replacement from ``called``
+    of which ``alt`` are alternate; ``target`` must not exceed ``called``. Counts of
+    probability 0 have no row. What does not depend on k is computed before the
+    rows multiply.
+    """
+    reference = f"({called} - {alt})"
+    spread = df.selectExpr(
+        "*",
+        f"{sum_log_factorials(alt, reference, f'{called} - {target}')} - {sum_log_factorials(called)} AS _fixed",
+        f"explode(sequence(greatest(0L, {target} - {reference}), least({alt}, {target}L))) AS {k}",
     )
+    choices = _numbers(math.log(math.comb(target, j)) for j in range(target + 1))
+    rest = sum_log_factorials(f"{alt} - {k}", f"{reference} - {target} + {k}")
+    return spread.selectExpr(
+        *[f"`{c}`" for c in df.columns], k, f"exp(_fixed + get({choices}, cast({k} as int)) - {rest}) AS {p}"
+    )
+
+
+def hypergeom_table(sizes: DataFrame, target: int) -> DataFrame:
+    """Rows (called, alt, k, p) for every distinct (called, alt) with enough called chromosomes."""
+    keyed = sizes.select("called", "alt").distinct().filter(F.col("called") >= target)
+    return project_side(keyed, "called", "alt", target, "k", "p")
 
 
 def chi2_one_quantile(confidence: float) -> float:

@@ -67,7 +67,8 @@ def _side(name: str, points: DataFrame) -> DataFrame:
     )
 
 
-_DISTANCE = haversine_km(F.col("lat_p"), F.col("lon_p"), F.col("lat_q"), F.col("lon_q"))
+def _distance() -> Column:
+    return haversine_km(F.col("lat_p"), F.col("lon_p"), F.col("lat_q"), F.col("lon_q"))
 
 
 def _ordered(candidates: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def pairs_within(points: DataFrame, max_distance_km: float) -> DataFrame:
     seekers = points.select("*", F.explode(_around(F.lit(0), F.lit(side))).alias("at"))
     seekers = seekers.select("*", "at.cx", "at.cy", "at.cz").drop("at")
     met = _side("p", seekers).join(_side("q", homes), ["cx", "cy", "cz"]).filter("ord_p < ord_q")
-    measured = met.withColumn("distance_km", _DISTANCE)
+    measured = met.withColumn("distance_km", _distance())
     return _ordered(measured.filter(F.col("distance_km") <= max_distance_km))
 
 
@@ -122,7 +123,7 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
     seekers = placed.select("*", F.explode(_around(F.col("level"), side)).alias("at")).drop("level")
     seekers = seekers.select("*", "at.*").drop("at")
     met = _side("p", seekers).join(_side("q", gridded), cell).filter("ord_p <> ord_q")
-    measured = met.withColumn("distance_km", _DISTANCE)
+    measured = met.withColumn("distance_km", _distance())
     by_distance = Window.partitionBy("ord_p").orderBy("distance_km", "ord_q")
     ranked = measured.withColumn("neighbor_rank", F.row_number().over(by_distance))
     return ranked.filter(F.col("neighbor_rank") <= k)
@@ -132,12 +133,11 @@ def all_pairs(points: DataFrame) -> DataFrame:
     """Every unordered pair, as an equi-join over pairs of blocks that splits evenly."""
     block = F.pmod(F.xxhash64("population"), F.lit(_ALL_BLOCKS)).cast("int")
     blocks = F.sequence(F.lit(0), F.lit(_ALL_BLOCKS - 1))
-    blocked = points.withColumn("_block", block)
-    left = _side("p", blocked.select("*", F.explode(blocks).alias("_other")))
-    right = _side("q", blocked.select("*", F.explode(blocks).alias("_other")))
-    right = right.withColumnsRenamed({"_block": "_other", "_other": "_block"})
-    met = left.join(right, ["_block", "_other"]).filter("ord_p < ord_q")
-    return _ordered(met.withColumn("distance_km", _DISTANCE))
+    blocked = points.withColumn("_mine", block).withColumn("_theirs", F.explode(blocks))
+    left = _side("p", blocked).withColumnsRenamed({"_mine": "_one", "_theirs": "_two"})
+    right = _side("q", blocked).withColumnsRenamed({"_mine": "_two", "_theirs": "_one"})
+    met = left.join(right, ["_one", "_two"]).filter("ord_p < ord_q")
+    return _ordered(met.withColumn("distance_km", _distance()))
 
 
 def candidate_pairs(

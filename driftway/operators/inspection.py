@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftway.operators.ranking import linear_quantiles
 from driftway.operators.spectra import LOCUS, PAIR
+from driftway.session import materialize
 
 
 def population_pairs(counts: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def projection_retention(
     if not pairs.limit(1).count():
         raise ValueError("at least two populations are required for pairwise inference.")
 
-    sizes = F.sequence(F.lit(2), F.lit(max_chromosomes), F.lit(2))
+    sizes = F.sequence(*[F.lit(n).cast("long") for n in (2, max_chromosomes, 2)])
     smaller = F.least("n_a", "n_b")
     reached = (
         configs.groupBy(*PAIR, smaller.alias("smaller"))
@@ -50,10 +51,11 @@ def projection_retention(
         .groupBy(*PAIR, "size")
         .agg(F.sum("loci").alias("pair_loci"))
     )
-    grid = pairs.select(*PAIR, F.explode(sizes).cast("long").alias("size"))
+    grid = pairs.select(*PAIR, F.explode(sizes).alias("size"))
     filled = grid.join(reached, [*PAIR, "size"], "left").select(
         "size", F.coalesce("pair_loci", F.lit(0)).alias("pair_loci")
     )
+    filled = materialize(filled)  # pairs by sizes
     totals = filled.groupBy("size").agg(
         F.count("*").alias("population_pairs"), F.min("pair_loci").alias("minimum_pair_loci")
     )

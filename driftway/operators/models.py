@@ -10,7 +10,7 @@ from driftway.functions.special import chi2_one_quantile, log_gamma1p
 from driftway.operators.ranking import bucketed_rank, linear_quantiles
 from driftway.operators.resample import Estimator
 from driftway.operators.spectra import PAIR, fold_spectra
-from driftway.session import BROADCAST_ROWS, fits_in_broadcast
+from driftway.session import BROADCAST_ROWS, fits_in_broadcast, materialize
 
 # Parameters of each candidate model, and (initial, lower, upper) of each parameter.
 MODEL_PARAMETERS = {
@@ -201,6 +201,8 @@ def library_scan(
     by_entry = library.select(*entry, "i", "j", "expected").repartition(*entry)
     expected = fold_spectra(by_entry, chromosomes_a, chromosomes_b, entry, value="expected", polarized=polarized)
     data = fold_spectra(cells, chromosomes_a, chromosomes_b, keys, polarized=polarized).filter("mass > 0")
+    # A few hundred cells per spectrum, read three times below.
+    data = materialize(data)
 
     totals = expected.groupBy(*entry).agg(F.sum("expected").alias("model_total"))
     facts = data.groupBy(*keys).agg(

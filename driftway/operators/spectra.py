@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftway.functions.checks import first_values, require_columns
-from driftway.functions.special import hypergeom_pmf, support_of_projection
-from driftway.session import BROADCAST_ROWS, fits_in_broadcast
+from driftway.functions.special import project_side
+from driftway.session import BROADCAST_ROWS
 
 LOCUS = ["chrom", "pos", "ref", "alt"]
 PAIR = ["population_a", "population_b"]
@@ -70,9 +70,10 @@ def shared_loci(firsts: DataFrame, pairs: DataFrame, *, max_pairs: int = BROADCA
     place. A longer list is joined from both ends on (locus, pair) instead.
     """
     pairs = pairs.select(*PAIR)
-    if fits_in_broadcast(pairs, max_pairs) and fits_in_broadcast(
-        pairs.select(F.explode(F.array(*PAIR))).distinct(), _MAX_POPULATIONS
-    ):
+    size = pairs.limit(max_pairs + 1).select(F.explode(F.array(*PAIR)).alias("p")).agg(
+        F.count("*").alias("ends"), F.count_distinct("p").alias("populations")
+    ).first()
+    if size["ends"] <= 2 * max_pairs and size["populations"] <= _MAX_POPULATIONS:
         seen = F.struct("population", F.col("called_chromosomes").alias("n"), F.col("alt_count").alias("x"))
         wide = firsts.groupBy(*LOCUS).agg(F.collect_list(seen).alias("seen"))
         ends = wide.select(*LOCUS, "seen", F.explode("seen").alias("a")).withColumn(
@@ -166,20 +167,11 @@ def project(configs: DataFrame, chromosomes_a: int, chromosomes_b: int, by: list
     """
     if chromosomes_a < 1 or chromosomes_b < 1:
         raise ValueError("projection chromosome counts must be positive.")
-    t_a, t_b = F.lit(chromosomes_a).cast("long"), F.lit(chromosomes_b).cast("long")
-    usable = configs.filter((F.col("n_a") >= t_a) & (F.col("n_b") >= t_b))
-    side_a = usable.select(
-        *by, "n_a", "x_a", "n_b", "x_b", weight,
-        F.explode(support_of_projection(F.col("n_a"), F.col("x_a"), t_a)).alias("i"),
-    )
-    p_a = hypergeom_pmf(F.col("i"), F.col("n_a"), F.col("x_a"), t_a)
-    half = side_a.groupBy(*by, "i", "n_b", "x_b").agg(F.sum(F.col(weight) * p_a).alias("mass"))
-    side_b = half.select(
-        *by, "i", "n_b", "x_b", "mass",
-        F.explode(support_of_projection(F.col("n_b"), F.col("x_b"), t_b)).alias("j"),
-    )
-    p_b = hypergeom_pmf(F.col("j"), F.col("n_b"), F.col("x_b"), t_b)
-    return side_b.groupBy(*by, "i", "j").agg(F.sum(F.col("mass") * p_b).alias("mass"))
+    usable = configs.filter((F.col("n_a") >= chromosomes_a) & (F.col("n_b") >= chromosomes_b))
+    side_a = project_side(usable, "n_a", "x_a", chromosomes_a, "i", "p")
+    half = side_a.groupBy(*by, "i", "n_b", "x_b").agg(F.sum(F.col(weight) * F.col("p")).alias("mass"))
+    side_b = project_side(half, "n_b", "x_b", chromosomes_b, "j", "p")
+    return side_b.groupBy(*by, "i", "j").agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
 
 
 def projected_spectra(configs: DataFrame, chromosomes_a: int, chromosomes_b: int) -> DataFrame:

@@ -12,6 +12,7 @@ from driftway.functions.rates import directional_support
 from driftway.operators import decisions, geography, models, network, resample, spectra
 from driftway.operators.resample import Estimator
 from driftway.operators.spectra import PAIR
+from driftway.session import materialize
 from driftway.sources import inventory, sinks, tables, vcf
 
 # Fixed value: reason given when the best model is not directional.
@@ -75,9 +76,7 @@ class InferResult:
 
 def _stage(df: DataFrame, folder: str | None, name: str) -> DataFrame:
     """Cut the plan at a table that several branches read."""
-    if folder is None:
-        return df.persist()
-    return df.sparkSession.read.parquet(sinks.write_table(df, folder, name))
+    return materialize(df, f"{folder}/{name}" if folder else None)
 
 
 def infer_pairs(
@@ -188,7 +187,7 @@ def _with_bootstrap(
         )
     else:
         blocks = resample.block_configurations(shared.join(chosen, PAIR, "left_semi"), options.bootstrap_block_bp)
-        block_cells = resample.project(blocks, size, size, [*PAIR, "chrom", "block"]).persist()
+        block_cells = materialize(resample.project(blocks, size, size, [*PAIR, "chrom", "block"]))
         stream = F.pmod(F.xxhash64(*PAIR), F.lit(1 << 31)).alias("seed_offset")
         drawn = resample.resample_blocks(
             block_cells, replicates, options.seed, offsets=chosen.select(*PAIR, stream)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from driftway.operators import geography, inspection, spectra
+from driftway.session import materialize
 from driftway.sources import sinks, tables, vcf
 
 
@@ -23,9 +24,9 @@ def inspect_counts(
     counts: DataFrame, popmap: DataFrame, coordinates: DataFrame, *, retention_target: float = 0.80
 ) -> Inspection:
     """Totals, projection retention and neighbour-graph options of counted data."""
-    firsts = spectra.first_counts(counts).persist()
+    firsts = materialize(spectra.first_counts(counts))
     pairs = inspection.population_pairs(firsts)
-    configs = spectra.configurations(spectra.shared_loci(firsts, pairs)).persist()
+    configs = materialize(spectra.configurations(spectra.shared_loci(firsts, pairs)))
     summary = inspection.projection_retention(firsts, configs, pairs)
     populations = popmap.select("population").distinct()
     mapped = coordinates.join(populations, "population", "left_semi")

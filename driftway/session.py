@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows a side may have before it is no longer broadcast.
 BROADCAST_ROWS = 1_000_000
 
+_LOCAL: dict[str, str] = {}
+
 
 def build_session(app: str = "driftway", master: str | None = None, **conf: object) -> SparkSession:
     """A session with adaptive execution, skew-join handling and UTC timestamps."""
@@ -38,3 +43,21 @@ def fits_in_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` when its counted size allows it; else leave the join to shuffle."""
     return F.broadcast(df) if fits_in_broadcast(df, max_rows) else df
+
+
+def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write ``df`` once and read it back, so that several branches share it and the plan ends there.
+
+    Without a folder the table goes below ``spark.checkpoint.dir``, the shared
+    folder a cluster names. Only a local session may fall back to a temporary one.
+    """
+    spark = df.sparkSession
+    if folder is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share.")
+            base = _LOCAL.get("folder") or _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = f"{base.rstrip('/')}/driftway-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -186,6 +186,20 @@ def count_alleles(
     return counts.filter(F.col("called_chromosomes") >= min_called_chromosomes)
 
 
+def allele_counts_from_lines(
+    lines: DataFrame, headers: DataFrame, popmap: DataFrame, *, min_called_chromosomes: int = 1
+) -> DataFrame:
+    """Allele counts of text lines (value, file_path, line_in_file) with the headers of their files."""
+    require_columns(popmap, ("sample", "population"), "popmap")
+    headers = checked_headers(headers)
+    columns = sample_columns(headers, popmap)
+    records = vcf_records(lines).join(broadcast_if_small(file_numbers(headers)), "file_path")
+    records = records.withColumn("line_no", F.col("file_no") * F.lit(_FILE_STRIDE) + F.col("line_in_file"))
+    return count_alleles(
+        records, columns, min_called_chromosomes=min_called_chromosomes, on=("header_id", "column")
+    )
+
+
 def allele_counts_from_vcf(
     spark: SparkSession,
     path: str | list[str],
@@ -196,12 +210,6 @@ def allele_counts_from_vcf(
     scan_headers: bool = False,
 ) -> DataFrame:
     """Allele counts of one or many VCF files, plain or gzip-compressed."""
-    require_columns(popmap, ("sample", "population"), "popmap")
     lines = read_vcf_lines(spark, path, partitions)
-    headers = checked_headers(read_headers(spark, path, lines if scan_headers else None))
-    columns = sample_columns(headers, popmap)
-    records = vcf_records(lines).join(broadcast_if_small(file_numbers(headers)), "file_path")
-    records = records.withColumn("line_no", F.col("file_no") * _FILE_STRIDE + F.col("line_in_file"))
-    return count_alleles(
-        records, columns, min_called_chromosomes=min_called_chromosomes, on=("header_id", "column")
-    )
+    headers = read_headers(spark, path, lines if scan_headers else None)
+    return allele_counts_from_lines(lines, headers, popmap, min_called_chromosomes=min_called_chromosomes)
