@@ -531,12 +531,14 @@ ORACLE |= {
         SELECT pair_id, model, mle, exp(lo + (hi - lo) * step / 14) AS fixed_value
         FROM bounds CROSS JOIN (SELECT unnest(range(0, 15)) AS step)
         UNION SELECT pair_id, model, mle, mle FROM bounds)""",
+    # No sums: both engines do the same divisions, so nothing is rounded.
     "rate_functions": as_ctes("evidence") + f"""
-      SELECT evidence_id, round({_asym('migration_forward', 'migration_reverse')}, 9) AS asymmetry,
-             round(CASE WHEN migration_reverse = 0 THEN CASE WHEN migration_forward > 0 THEN -1.0 ELSE 1.0 END
-                        ELSE migration_forward / migration_reverse END, 9) AS ratio,
-             round(CASE WHEN migration_forward > migration_reverse THEN directional_support
-                        WHEN migration_reverse > migration_forward THEN 1 - directional_support ELSE 0.5 END, 9) AS support
+      SELECT evidence_id, {_asym('migration_forward', 'migration_reverse')} AS asymmetry,
+             CASE WHEN migration_reverse = 0 THEN CASE WHEN migration_forward > 0 THEN -1.0 ELSE 1.0 END
+                  ELSE migration_forward / migration_reverse END AS ratio,
+             CASE WHEN migration_forward > migration_reverse THEN directional_support
+                  WHEN migration_reverse > migration_forward THEN 1 - directional_support
+                  ELSE CAST(0.5 AS DOUBLE) END AS support
       FROM evidence""",
     "classify_direction": _decided() + f" SELECT {DECIDED_COLUMNS} FROM decided",
     "classify_direction_intervals": _decided(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftway.functions import genotype
@@ -17,6 +17,11 @@ _FILE_STRIDE = 1 << 44
 _ROW_MASK = (1 << 33) - 1
 
 
+def _same_name(path: Column) -> Column:
+    """One spelling for local files, which Spark names with one slash or three."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def read_vcf_lines(spark: SparkSession, path: str | list[str], partitions: int | None = None) -> DataFrame:
     """Text lines with their file and an order within it.
 
@@ -25,7 +30,7 @@ def read_vcf_lines(spark: SparkSession, path: str | list[str], partitions: int |
     """
     lines = spark.read.text(path).select(
         "value",
-        F.col("_metadata.file_path").alias("file_path"),
+        _same_name(F.col("_metadata.file_path")).alias("file_path"),
         (
             F.col("_metadata.file_block_start")
             + F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_MASK))
@@ -79,7 +84,7 @@ def read_headers(spark: SparkSession, path: str | list[str], lines: DataFrame |
 
     listing = spark.createDataFrame([(name,) for name in files], "file_path string")
     spread = listing.repartition(max(1, min(len(files), 1024)), "file_path")
-    return spread.mapInPandas(open_heads, HEADERS_SCHEMA)
+    return spread.mapInPandas(open_heads, HEADERS_SCHEMA).withColumn("file_path", _same_name(F.col("file_path")))
 
 
 def checked_headers(headers: DataFrame) -> DataFrame:
