@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftway.functions.checks import is_finite, require_columns
+from driftway.functions.checks import enforce, is_finite, require_columns
 from driftway.functions.special import chi2_one_quantile, log_gamma1p
 from driftway.operators.ranking import bucketed_rank, linear_quantiles
 from driftway.operators.resample import Estimator
@@ -125,12 +125,6 @@ def multistart_summary(
         F.count_if("success").alias("successes"),
         F.max(F.when(F.col("success"), ll)).alias("best_log_likelihood"),
     )
-    some = F.col("successes") > 0
-    if on_all_failed == "raise":
-        failed = F.raise_error(F.lit("all optimization starts failed for a model.")).cast("boolean")
-        totals = totals.filter(F.when(some, F.lit(True)).otherwise(failed))
-    else:
-        totals = totals.filter(some)
     keep = F.greatest(F.lit(2), F.ceil(F.col("successes") * top_fraction))
     near = runs.filter("success").join(totals, keys).filter(ll >= F.col("best_log_likelihood") - ll_tolerance)
     gap = F.col("best_log_likelihood") - ll
@@ -155,16 +149,20 @@ def multistart_summary(
     )
     best = kept.groupBy(*keys).agg(
         F.count("*").alias("near_best_runs"),
-        F.max("runs").alias("runs"),
-        F.max("successes").alias("successes"),
-        F.max("best_log_likelihood").alias("best_log_likelihood"),
         F.max(F.when(F.col("rank") == 1, F.col("run"))).alias("best_run"),
         F.max_by("params", -F.col("rank")).alias("best_params"),
     )
     stable = (F.col("near_best_runs") >= 2) & F.coalesce(
         F.col("largest_spread") <= spread_tolerance, F.lit(True)
     )
-    return best.join(worst, keys, "left").select(
+    # From the totals outwards, so that a key without a success is seen here.
+    some = F.col("successes") > 0
+    table = totals.join(best, keys, "left").join(worst, keys, "left")
+    if on_all_failed == "raise":
+        table = enforce(table, [(some, "all optimization starts failed for a model.")])
+    else:
+        table = table.filter(some)
+    return table.select(
         *keys,
         "best_run",
         "best_log_likelihood",
