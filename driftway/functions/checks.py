@@ -13,6 +13,10 @@ FALSE_WORDS = ("false", "0", "no")
 DIRECTIONAL_LABELS = ("A->B", "B->A")
 NULL_LABELS = ("symmetric", "none")
 
+# More rules than this would push the generated method over the size the JIT
+# compiles and slow the whole stage down; a lambda keeps them out of it.
+_COMPILED_RULES = 4
+
 
 def require_columns(df: DataFrame, columns: Iterable[str], what: str) -> None:
     missing = sorted(set(columns) - set(df.columns))
@@ -31,33 +35,43 @@ def enforce(df: DataFrame, rules: Sequence[tuple[Column, str]]) -> DataFrame:
     """Fail the job on the first row that breaks a rule; a NULL verdict counts as broken.
 
     The rules become one filter, so validation costs no extra scan and cannot be
-    pruned away with an unused column.
+    pruned away with an unused column. Its position-dependent term keeps the
+    optimiser from moving it: pushed through a projection it would repeat every
+    expression it looks at, and a later filter could get ahead of it.
     """
     verdict = None
     for holds, message in rules:
         broken = ~F.coalesce(holds, F.lit(False))
         failure = F.raise_error(F.lit(message)).cast("boolean")
         verdict = F.when(broken, failure) if verdict is None else verdict.when(broken, failure)
-    return df if verdict is None else df.filter(verdict.otherwise(F.lit(True)))
+    if verdict is None:
+        return df
+    verdict = verdict.otherwise(F.lit(True))
+    if len(rules) > _COMPILED_RULES:
+        checks = verdict
+        verdict = F.exists(F.array(F.lit(True)), lambda _: checks)
+    return df.filter(verdict & (F.monotonically_increasing_id() >= 0))
 
 
 def is_finite(col: Column) -> Column:
-    """NULL, NaN and both infinities are not finite."""
-    return F.coalesce(F.abs(col) < float("inf"), F.lit(False)) & ~F.isnan(F.coalesce(col, F.lit(float("nan"))))
+    """NULL, NaN and both infinities are not finite; Spark orders NaN above infinity."""
+    return F.coalesce(F.abs(col) < float("inf"), F.lit(False))
 
 
 def in_unit_interval(col: Column) -> Column:
-    return is_finite(col) & col.between(0.0, 1.0)
+    return F.coalesce(col.between(0.0, 1.0), F.lit(False))
 
 
 def is_rate(col: Column) -> Column:
-    return is_finite(col) & (col >= 0)
+    return F.coalesce((col >= 0) & (col < float("inf")), F.lit(False))
 
 
 def as_number(df: DataFrame, name: str) -> Column:
     """Numeric reading of a column: text that is not a number, and NaN, become NULL."""
-    value = F.col(name).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    value = F.col(name)
+    if df.schema[name].dataType.typeName() != "double":
+        value = value.try_cast("double")
+    return F.nanvl(value, F.lit(None).cast("double"))
 
 
 def strict_bool(df: DataFrame, name: str) -> Column:

@@ -36,6 +36,9 @@ DIRECTIONAL_MODELS = ("asymmetric_migration", "secondary_contact_asymmetric")
 
 _NEAR_BUCKETS = 256
 _LIBRARY_SALTS = 64
+_SLOT_BUCKETS = 256
+# Spectra carried side by side in one row.
+_LANES = 8
 
 
 def model_specs(spark: SparkSession) -> DataFrame:
@@ -208,20 +211,35 @@ def library_scan(
         F.sum(log_gamma1p(F.col("mass"))).alias("constant"),
         F.count("*").alias("data_cells"),
     )
+    shuffled = F.xxhash64(*keys)
+    facts = materialize(
+        bucketed_rank(facts, [], [F.pmod(shuffled, F.lit(_SLOT_BUCKETS))], [shuffled, *map(F.col, keys)], "slot")
+    )
+    # Spectra travel side by side: a library cell joins once per _LANES of them.
+    lanes = range(_LANES)
+    placed = data.join(facts.select(*keys, (F.col("slot") - 1).alias("_slot")), keys)
+    packed = placed.groupBy(F.floor(F.col("_slot") / _LANES).alias("_group"), "i", "j").agg(
+        *[F.sum(F.when(F.col("_slot") % _LANES == k, F.col("mass")).otherwise(0.0)).alias(f"_w{k}") for k in lanes]
+    )
     logs = expected.filter("expected > 0").select(*entry, "i", "j", F.log("expected").alias("log_expected"))
     on = ["i", "j"]
-    if fits_in_broadcast(data, max_broadcast_rows):
-        met = logs.join(F.broadcast(data), on)
+    if fits_in_broadcast(packed, max_broadcast_rows):
+        met = logs.join(F.broadcast(packed), on)
     elif fits_in_broadcast(logs, max_broadcast_rows):
-        met = data.repartition(*keys).join(F.broadcast(logs), on)
+        met = packed.repartition("_group").join(F.broadcast(logs), on)
     else:
         salted = logs.withColumn("_salt", F.pmod(F.xxhash64(*entry), F.lit(_LIBRARY_SALTS)))
         salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_LIBRARY_SALTS - 1).cast("long")))
-        met = data.select("*", salts.alias("_salt")).join(salted, [*on, "_salt"])
-    sums = met.groupBy(*keys, *entry).agg(
-        F.sum(F.col("mass") * F.col("log_expected")).alias("cross"), F.count("*").alias("matched")
+        met = packed.select("*", salts.alias("_salt")).join(salted, [*on, "_salt"])
+    sums = met.groupBy(*entry, "_group").agg(
+        *[F.sum(F.col(f"_w{k}") * F.col("log_expected")).alias(f"_x{k}") for k in lanes],
+        *[F.count_if(F.col(f"_w{k}") > 0).alias(f"_n{k}") for k in lanes],
+    )
+    pairs = F.array(*[F.struct(F.col(f"_x{k}").alias("cross"), F.col(f"_n{k}").alias("matched")) for k in lanes])
+    spread = sums.select(*entry, "_group", F.posexplode(pairs).alias("_lane", "sums")).select(
+        *entry, (F.col("_group") * _LANES + F.col("_lane") + 1).alias("slot"), "sums.*"
     )
-    scored = sums.join(totals, entry).join(facts, keys)
+    scored = spread.join(facts, "slot").join(totals, entry)
     theta = F.col("data_total") / F.col("model_total")
     ll = F.col("cross") + F.col("data_total") * F.log(theta) - F.col("data_total") - F.col("constant")
     complete = F.col("matched") == F.col("data_cells")

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from driftway.functions.checks import is_finite
 from driftway.operators.ranking import bucketed_rank
 from driftway.operators.spectra import CONFIGURATION, PAIR, configurations, project
+from driftway.session import materialize
 
 # Width of the ordinal buckets along a chromosome, in blocks.
 _ORDINAL_BUCKET = 4096
 _DRAWS_PER_ROW = 10_000
+# Replicates carried side by side in one row.
+_LANES = 16
 # Units one multinomial task handles.
 _UNITS_PER_BUCKET = 50_000
 
@@ -80,17 +83,23 @@ def resample_blocks(
 
     ``offsets`` (keys, seed_offset) gives each pair its own stream.
     """
-    ordinals = block_ordinals(cells, keys)
+    ordinals = materialize(block_ordinals(cells, keys))
     sizes = ordinals.groupBy(*keys).agg(F.count("*").alias("n"))
     few = F.raise_error(F.lit("at least two resampling blocks are required; reduce the block size."))
     sizes = sizes.withColumn("n", F.when(F.col("n") >= 2, F.col("n")).otherwise(few.cast("long")))
     if offsets is not None:
         sizes = sizes.join(offsets, keys)
-    weights = draw_counts(sizes, replicates, seed, keys)
-    drawn = weights.join(ordinals, [*keys, "ordinal"])
-    weighted = drawn.join(cells, [*keys, "chrom", "block"])
-    return weighted.groupBy(*keys, "replicate", "i", "j").agg(
-        F.sum(F.col("weight") * F.col("mass")).alias("mass")
+    weights = draw_counts(sizes, replicates, seed, keys).withColumn("_lane", F.col("replicate") % _LANES)
+    # Replicates travel side by side, so that a cell joins once per 16 of them.
+    lanes = [f"_w{k}" for k in range(min(_LANES, replicates))]
+    drawn = weights.groupBy(*keys, "ordinal", F.floor(F.col("replicate") / _LANES).alias("_group")).agg(
+        *[F.sum(F.when(F.col("_lane") == k, F.col("weight")).otherwise(0)).alias(w) for k, w in enumerate(lanes)]
+    )
+    weighted = drawn.join(ordinals, [*keys, "ordinal"]).join(cells, [*keys, "chrom", "block"])
+    summed = weighted.groupBy(*keys, "_group", "i", "j").agg(*[F.sum(F.col(w) * F.col("mass")).alias(w) for w in lanes])
+    spread = summed.select(*keys, "_group", "i", "j", F.posexplode(F.array(*lanes)).alias("_lane", "mass"))
+    return spread.filter("mass > 0").select(
+        *keys, (F.col("_group") * _LANES + F.col("_lane")).cast("int").alias("replicate"), "i", "j", "mass"
     )
 
 

@@ -265,7 +265,7 @@ def bootstrap_weights(spark, sf):
 
 
 def _replicate_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return resample.resample_blocks(_block_cells(spark, sf), REPLICATES, SEED)
+    return resample.resample_blocks(materialize(_block_cells(spark, sf)), REPLICATES, SEED)
 
 
 @query
