@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import bisect
+import os
 import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,12 +24,31 @@ _WORD_BYTES = bytes(
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 _FALLBACK: dict[str, str] = {}
+_SHIPPED: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shipped(spark: SparkSession) -> None:
+    """Give Python workers the package where they can't import it from their own path."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    context = spark.sparkContext
+    paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [os.getcwd()]
+    if root in paths or _SHIPPED.get("to") == context.applicationId:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "driftway_package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "driftway")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    _SHIPPED["to"] = context.applicationId
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir; only where that is unset, below a temporary one (as in tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -78,6 +99,7 @@ def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
                     names=names,
                 )
 
+    shipped(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

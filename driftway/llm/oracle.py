@@ -2,4 +2,26 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLE: dict[str, str] = {
+    "op8_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} w FROM documents),
+b AS (SELECT item_id, {_WORDS} w FROM benchmark),
+s AS (SELECT item_id, w, least(len(w), 13) n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) i FROM b WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') g FROM s),
+k AS (SELECT DISTINCT n, g FROM iw),
+p AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) i FROM d, (SELECT DISTINCT n FROM k)),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') g FROM p),
+h AS (SELECT dw.* FROM dw SEMI JOIN k USING (n, g)),
+c AS (SELECT doc_id, count(DISTINCT pos) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) pos FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) ids FROM h JOIN iw USING (n, g) GROUP BY doc_id)
+SELECT doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(len(ids), 0) n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}
