@@ -147,3 +147,16 @@ def crc32(data: bytes) -> int:
 
 def locate(cuts: list[int], value: int) -> int:
     return bisect.bisect_right(cuts, value)
+
+
+def keep_batches(df: DataFrame, column: str, fn: Callable) -> DataFrame:
+    """The rows for which ``fn(values of column)`` says True, with all their columns, in one pass without a join."""
+    position = df.columns.index(column)
+
+    def run(batches):
+        for batch in slices(batches):
+            if batch.num_rows:
+                yield batch.filter(pa.array(fn(batch.column(position).to_pylist()), pa.bool_()))
+
+    shipped(df.sparkSession)
+    return df.mapInArrow(run, df.schema)
