@@ -43,6 +43,8 @@ TEMPLATES = (
     ("isc-grant",
      "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
      "granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("cc-notice", "[[this {{1-3}} is]] licensed under [[the]] cc by [[nc]] [[nd]] [[sa]] [[{{1-2}} license]]"),
+    ("reserved", "all rights reserved"),
     ("spdx-tag", "spdx license identifier {{1-3}}"),
 )
 _MARKUP = re.compile(r"\[\[|\]\]|\{\{(\d+)-(\d+)\}\}|[^\s\[\]{}]+")

@@ -2,13 +2,59 @@
 
 from __future__ import annotations
 
+import re
+
+from driftway.llm.licenses import BASE, TEMPLATES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = (
     f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), "
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
 
+
+
+def _template_pattern(markup: str) -> str:
+    """The pattern of a template over words that each end in a blank."""
+    out = []
+    for token in re.findall(r"\[\[|\]\]|\{\{\d+-\d+\}\}|[^\s\[\]{}]+", markup):
+        if token == "[[":
+            out.append("(?:")
+        elif token == "]]":
+            out.append(")?")
+        elif token.startswith("{{"):
+            low, high = token[2:-2].split("-")
+            out.append("(?:[^ ]+ ){%s,%s}" % (low, high))
+        else:
+            out.append(token + " ")
+    return "(?:^| )" + "".join(out)
+
+
+def _phrase_places(phrase: str) -> str:
+    same = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split()))
+    return f"list_filter(range(1, len(w) + 1), lambda i: {same})"
+
+
+_LABELS = sorted({label for label, _ in TEMPLATES})
+
+
+def _accepted(label: str) -> str:
+    tests = " OR ".join(f"regexp_matches(j, '{_template_pattern(m)}')" for name, m in TEMPLATES if name == label)
+    return f"CASE WHEN {tests} THEN '{label}' END"
+
+
 ORACLE: dict[str, str] = {
+    "op1_license_scan": f"""
+WITH d AS (SELECT doc_id, {_WORDS} w FROM documents),
+p AS (SELECT doc_id, w, array_to_string(w, ' ') || ' ' j, {", ".join(f"{_phrase_places(p)} p{k}" for k, (p, _) in enumerate(BASE))} FROM d),
+f AS (SELECT *, list_sort(p0 || p1 || p2) places,
+             list_filter([{", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(BASE))}], lambda x: x IS NOT NULL) bl,
+             list_filter([{", ".join(_accepted(label) for label in _LABELS)}], lambda x: x IS NOT NULL) tl FROM p)
+SELECT doc_id, len(w) n_words, len(places) n_base, places[1] - 1 first_word, places[-1] - 1 last_word,
+       coalesce(array_to_string(list_sort(bl), ','), '') base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(bl || tl)), ','), '') labels,
+       CASE WHEN len(bl) + len(tl) > 0 THEN len(tl)::DOUBLE / len(list_distinct(bl || tl)) ELSE 0.0::DOUBLE END score
+FROM f""",
     "op8_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} w FROM documents),
 b AS (SELECT item_id, {_WORDS} w FROM benchmark),
