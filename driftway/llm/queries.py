@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftway.llm import decontam, langid, licenses, quality, shards, simhash, token_index
+from driftway.llm import decontam, langid, licenses, packing, quality, shards, simhash, token_index
 from driftway.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.indexed(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
