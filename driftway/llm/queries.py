@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftway.llm import decontam, langid, licenses, packing, quality, shards, simhash, token_index
+from driftway.llm import decontam, imatch, langid, licenses, packing, quality, shards, simhash, token_index
 from driftway.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("runs", "text_hash")
 
 
+@query
+def op9_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
