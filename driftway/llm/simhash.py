@@ -50,12 +50,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp) of every row; fp is the fingerprint as a signed long."""
 
     def rows(batch):
-        return {"doc_id": batch.column(0), "fp": pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.int64())}
+        found = pa.array([fingerprint(t) for t in batch.column(2).to_pylist()], pa.int64())
+        return {"doc_id": batch.column(0), "text_hash": batch.column(1), "fp": found}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), rows, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("text"))
+    return map_batches(own, rows, "doc_id long, text_hash long, fp long")
 
 
 def _segments(fps: DataFrame, ball: bool) -> DataFrame:
@@ -123,6 +125,19 @@ def components(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds.")
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fp, root (the fingerprint that stands for the group) and component_id of every row."""
+    rows = written(fingerprints(docs), "fingerprints")
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("doc")), "nodes")
+    found = written(components(links(nodes.select("fp"))).withColumnRenamed("node", "fp").join(nodes, "fp"), "linked")
+    names = found.groupBy("root").agg(F.min("doc").alias("name"))
+    linked = found.join(names, "root").select("fp", "root", "name")
+    named = nodes.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNotNull(), F.col("name")).otherwise(F.col("doc")).alias("component_id")
+    )
+    return rows.join(named, "fp")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links of up to two bits.
 
@@ -130,22 +145,22 @@ def groups(docs: DataFrame) -> DataFrame:
     whatever their number. Rows with a null id get the group of their fingerprint but give it no name; a group of null
     ids alone has a null component_id. Repeated rows stay. Extra columns are ignored.
     """
-    rows = written(fingerprints(docs), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("doc")), "nodes")
-    found = written(components(links(nodes.select("fp"))).withColumnRenamed("node", "fp").join(nodes, "fp"), "linked")
-    names = found.groupBy("root").agg(F.min("doc").alias("name"))
-    linked = found.join(names, "root").select("fp", "name", F.lit(True).alias("linked"))
-    named = nodes.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("name")).otherwise(F.col("doc")).alias("component_id"))
-    return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that give their group its name (one of each group), with their own columns.
+    """One document of each group, with its own columns: the one with the smallest id (null last), then text hash.
 
-    Of rows that repeat an id, one stays; rows with a null id stay only where the group has no id at all, one of them.
+    Of rows that repeat an id with the same text, one stays.
     """
-    found = groups(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_keep"]), "left_semi")
+    found = written(_grouped(docs).select("doc_id", "text_hash", "root"), "groups")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("k"), "doc_id", "text_hash")).alias("w"))
+    best = best.select(F.col("w.doc_id").alias("_id"), F.col("w.text_hash").alias("_hash"))
+    mine, text_hash = docs["doc_id"].cast("long"), F.xxhash64(docs["text"])
+    kept = docs.join(best, mine.eqNullSafe(best["_id"]) & (text_hash == best["_hash"]), "left_semi")
+    repeated = found.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    if repeated.isEmpty():
+        return kept
+    same = kept["doc_id"].cast("long").eqNullSafe(repeated["_id"]) & (F.xxhash64(kept["text"]) == repeated["_hash"])
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, same, "left_anti").unionByName(once)
