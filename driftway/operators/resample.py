@@ -83,23 +83,51 @@ def resample_blocks(
 
     ``offsets`` (keys, seed_offset) gives each pair its own stream.
     """
-    ordinals = materialize(block_ordinals(cells, keys))
+    weighted, lanes = _drawn_blocks(cells, replicates, seed, keys, offsets)
+    summed = weighted.groupBy(*keys, "_group", "i", "j").agg(*[F.sum(F.col(w) * F.col("mass")).alias(w) for w in lanes])
+    return _spread(summed, lanes, [*keys, "i", "j"], "mass").select(*keys, "replicate", "i", "j", "mass")
+
+
+def resample_block_configurations(
+    blocks: DataFrame, replicates: int, seed: int, chromosomes_a: int, chromosomes_b: int,
+    keys: list[str] = PAIR, offsets: DataFrame | None = None,
+) -> DataFrame:
+    """Replicate spectra from counted configurations per block: (keys, replicate, i, j, mass).
+
+    Draws the same blocks as ``resample_blocks``, but sums drawn loci per configuration first and projects each
+    replicate once: a block holds far fewer configurations than projected cells. ``blocks`` is read twice.
+    """
+    usable = blocks.filter((F.col("n_a") >= chromosomes_a) & (F.col("n_b") >= chromosomes_b))
+    weighted, lanes = _drawn_blocks(usable, replicates, seed, keys, offsets)
+    summed = weighted.groupBy(*keys, "_group", *CONFIGURATION).agg(
+        *[F.sum(F.col(w) * F.col("loci")).alias(w) for w in lanes]
+    )
+    drawn = _spread(summed, lanes, [*keys, *CONFIGURATION], "weight")
+    return project(drawn, chromosomes_a, chromosomes_b, [*keys, "replicate"], weight="weight")
+
+
+def _drawn_blocks(rows: DataFrame, replicates: int, seed: int, keys: list[str], offsets: DataFrame | None):
+    """Rows of blocks with one column of draws per lane, and the names of these columns."""
+    ordinals = materialize(block_ordinals(rows, keys))
     sizes = ordinals.groupBy(*keys).agg(F.count("*").alias("n"))
     few = F.raise_error(F.lit("at least two resampling blocks are required; reduce the block size."))
     sizes = sizes.withColumn("n", F.when(F.col("n") >= 2, F.col("n")).otherwise(few.cast("long")))
     if offsets is not None:
         sizes = sizes.join(offsets, keys)
     weights = draw_counts(sizes, replicates, seed, keys).withColumn("_lane", F.col("replicate") % _LANES)
-    # Replicates travel side by side, so that a cell joins once per 16 of them.
+    # Replicates travel side by side, so that a row joins once per 16 of them.
     lanes = [f"_w{k}" for k in range(min(_LANES, replicates))]
     drawn = weights.groupBy(*keys, "ordinal", F.floor(F.col("replicate") / _LANES).alias("_group")).agg(
         *[F.sum(F.when(F.col("_lane") == k, F.col("weight")).otherwise(0)).alias(w) for k, w in enumerate(lanes)]
     )
-    weighted = drawn.join(ordinals, [*keys, "ordinal"]).join(cells, [*keys, "chrom", "block"])
-    summed = weighted.groupBy(*keys, "_group", "i", "j").agg(*[F.sum(F.col(w) * F.col("mass")).alias(w) for w in lanes])
-    spread = summed.select(*keys, "_group", "i", "j", F.posexplode(F.array(*lanes)).alias("_lane", "mass"))
-    return spread.filter("mass > 0").select(
-        *keys, (F.col("_group") * _LANES + F.col("_lane")).cast("int").alias("replicate"), "i", "j", "mass"
+    return drawn.join(ordinals, [*keys, "ordinal"]).join(rows, [*keys, "chrom", "block"]), lanes
+
+
+def _spread(summed: DataFrame, lanes: list[str], keep: list[str], value: str) -> DataFrame:
+    """One row per replicate with a positive sum from rows that hold the replicates of a group side by side."""
+    spread = summed.select(*keep, "_group", F.posexplode(F.array(*lanes)).alias("_lane", value))
+    return spread.filter(F.col(value) > 0).select(
+        *keep, (F.col("_group") * _LANES + F.col("_lane")).cast("int").alias("replicate"), value
     )
 
 
@@ -117,17 +145,24 @@ def multinomial_weights(
     Drawing n members with replacement makes the unit totals multinomial with
     probabilities count / n, so loci that share a configuration are drawn as one
     unit. A multinomial splits exactly into bucket totals and draws inside each
-    bucket; no task sees more than one bucket of a key.
+    bucket; no task sees more than one bucket of a key and a few replicates. The
+    number of buckets follows from a key's own number of units and is part of its
+    seed: other keys of the run do not change its draws.
     """
     if replicates < 2:
         raise ValueError("replicates must be at least 2.")
-    largest = units.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    buckets = max(1, -(-largest // units_per_bucket))
-    placed = units.select(*keys, *unit, F.col(count).cast("long").alias("_count")).withColumn(
-        "_bucket", F.pmod(F.xxhash64(*unit), F.lit(buckets))
-    )
+    sizes = units.groupBy(*keys).agg(F.ceil(F.count("*") / units_per_bucket).cast("int").alias("_buckets"))
+    counted = units.select(*keys, *unit, F.col(count).cast("long").alias("_count"))
+    if keys:
+        counted = counted.join(sizes, keys)
+    else:
+        counted = counted.withColumn("_buckets", F.lit(max(1, sizes.first()[0])))
+    placed = counted.withColumn("_bucket", F.pmod(F.xxhash64(*unit), F.col("_buckets").cast("long"))).drop("_buckets")
     stream = F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("long")
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // _LANES))).alias("_chunk")
     totals = placed.groupBy(*keys, "_bucket").agg(F.sum("_count").alias("_total")).withColumn("_stream", stream)
+    totals = totals.select("*", chunks)
+    placed = placed.select("*", chunks)
 
     def type_of(name: str) -> str:
         return units.schema[name].dataType.simpleString()
@@ -143,7 +178,8 @@ def multinomial_weights(
         size = int(frame["_total"].sum())
         entropy = [seed & 0xFFFFFFFF, int(frame["_stream"].iloc[0]) & 0xFFFFFFFFFFFFFFFF]
         parts = []
-        for replicate in range(replicates):
+        first = int(frame["_chunk"].iloc[0]) * _LANES
+        for replicate in range(first, min(first + _LANES, replicates)):
             rng = np.random.default_rng([*entropy, replicate])
             part = frame.drop(columns=["_total"]).copy()
             part["replicate"] = replicate
@@ -151,8 +187,8 @@ def multinomial_weights(
             parts.append(part)
         return pd.concat(parts, ignore_index=True)
 
-    shares = totals.groupBy(*keys).applyInPandas(
-        share_out, ", ".join([*key_types, "_bucket long", "_stream long", "replicate int", "_drawn long"])
+    shares = totals.groupBy(*keys, "_chunk").applyInPandas(
+        share_out, ", ".join([*key_types, "_bucket long", "_stream long", "_chunk int", "replicate int", "_drawn long"])
     )
 
     def draw_inside(members, drawn):
@@ -179,8 +215,8 @@ def multinomial_weights(
         return pd.concat(parts, ignore_index=True)
 
     return (
-        placed.groupBy(*keys, "_bucket")
-        .cogroup(shares.groupBy(*keys, "_bucket"))
+        placed.groupBy(*keys, "_bucket", "_chunk")
+        .cogroup(shares.groupBy(*keys, "_bucket", "_chunk"))
         .applyInPandas(draw_inside, ", ".join([*key_types, *unit_types, "replicate int", "weight long"]))
     )
 
@@ -216,7 +252,7 @@ def linear_moment_estimator(cells: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def grouped_estimator(fit: Callable, cells_per_fit: int = 1_000_000) -> Estimator:
+def grouped_estimator(fit: Callable) -> Estimator:
     """Wrap ``fit(cells: pandas.DataFrame) -> (m_a_to_b, m_b_to_a)`` as an estimator.
 
     One call gets one replicate spectrum, at most (n_a + 1)(n_b + 1) rows. A
@@ -232,8 +268,8 @@ def grouped_estimator(fit: Callable, cells_per_fit: int = 1_000_000) -> Estimato
             columns = [*keys, "m_a_to_b", "m_b_to_a"]
             try:
                 forward, reverse = fit(frame[["i", "j", "mass"]])
-            except Exception:
-                return pd.DataFrame({c: [] for c in columns})
+            except Exception:  # no row, but columns of the right types
+                return frame[keys].iloc[:0].assign(m_a_to_b=pd.Series(dtype=float), m_b_to_a=pd.Series(dtype=float))
             row = [frame[k].iloc[0] for k in keys] + [float(forward), float(reverse)]
             return pd.DataFrame([row], columns=columns)
 

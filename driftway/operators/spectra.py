@@ -74,13 +74,14 @@ def shared_loci(firsts: DataFrame, pairs: DataFrame, *, max_pairs: int = BROADCA
         F.count("*").alias("ends"), F.count_distinct("p").alias("populations")
     ).first()
     if size["ends"] <= 2 * max_pairs and size["populations"] <= _MAX_POPULATIONS:
-        seen = F.struct("population", F.col("called_chromosomes").alias("n"), F.col("alt_count").alias("x"))
-        wide = firsts.groupBy(*LOCUS).agg(F.collect_list(seen).alias("seen"))
-        ends = wide.select(*LOCUS, "seen", F.explode("seen").alias("a")).withColumn(
-            "population_a", F.col("a.population")
+        # Only listed populations are gathered, so a locus row never holds more than the guard allows.
+        listed = pairs.select(F.explode(F.array(*PAIR)).alias("population")).distinct()
+        entry = F.struct("population", F.struct(F.col("called_chromosomes").alias("n"), F.col("alt_count").alias("x")))
+        wide = firsts.join(F.broadcast(listed), "population", "left_semi").groupBy(*LOCUS).agg(
+            F.map_from_entries(F.collect_list(entry)).alias("seen")
         )
-        partner = F.get(F.filter("seen", lambda s: s["population"] == F.col("population_b")), F.lit(0))
-        met = ends.join(F.broadcast(pairs), "population_a").withColumn("b", partner)
+        ends = wide.select(*LOCUS, "seen", F.explode("seen").alias("population_a", "a"))
+        met = ends.join(F.broadcast(pairs), "population_a").withColumn("b", F.try_element_at("seen", F.col("population_b")))
         return met.filter(F.col("b").isNotNull()).select(
             *PAIR, *LOCUS,
             F.col("a.n").alias("n_a"), F.col("a.x").alias("x_a"),

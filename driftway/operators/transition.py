@@ -75,12 +75,13 @@ def transition_scan(loci: DataFrame, ne_a: int, ne_b: int, rates: list[float]) -
 
 
 def _maximise(observed: DataFrame, groups: list, weight: Column | None = None) -> list[tuple]:
-    """(group, direction, m, log-likelihood) with m in [0, 1] maximising the summed likelihood.
+    """(group, direction, m, log-likelihood, settled) with m in [0, 1] maximising the summed likelihood.
 
     The log-likelihood is concave in m, so its slope brackets the maximum and a
     Newton step inside the bracket converges in a few passes. A pass is one
     aggregate for all groups and directions; the driver only keeps their brackets,
-    one per replicate and direction.
+    one per replicate and direction. A bracket that is still open after the last
+    pass gives its latest point and ``settled`` false.
     """
     spark = observed.sparkSession
     w = F.lit(1.0) if weight is None else weight
@@ -133,24 +134,25 @@ def _maximise(observed: DataFrame, groups: list, weight: Column | None = None) -
             else:
                 still[key] = (low, high, target)
         open_at = still
+    unsettled = set(open_at)
     best.update({k: b[2] for k, b in open_at.items()})
     likelihood = evaluate(best, F.sum(w * _log_likelihood(m)))
-    return [(g, d, best[g, d], likelihood.get((g, d), (None,))[0]) for g, d in keys]
+    return [(g, d, best[g, d], likelihood.get((g, d), (None,))[0], (g, d) not in unsettled) for g, d in keys]
 
 
 def estimate_one_generation(loci: DataFrame, ne_a: int, ne_b: int) -> DataFrame:
-    """One row: m_a_to_b, m_b_to_a, their joint log-likelihood and success."""
+    """One row: m_a_to_b, m_b_to_a, their joint log-likelihood, and success: both searches settled."""
     if not loci.limit(1).count():
         raise ValueError("frequency table must not be empty.")
     observed = directed_observations(checked_frequencies(loci), ne_a, ne_b).withColumn("group", F.lit(0))
     observed = observed.persist()
     try:
-        found = {d: (m, ll) for _, d, m, ll in _maximise(observed, [0])}
+        found = {d: rest for _, d, *rest in _maximise(observed, [0])}
     finally:
         observed.unpersist()
-    (m_ab, ll_ab), (m_ba, ll_ba) = found["a_to_b"], found["b_to_a"]
+    (m_ab, ll_ab, settled_ab), (m_ba, ll_ba, settled_ba) = found["a_to_b"], found["b_to_a"]
     return loci.sparkSession.createDataFrame(
-        [(m_ab, m_ba, ll_ab + ll_ba, True)],
+        [(m_ab, m_ba, ll_ab + ll_ba, settled_ab and settled_ba)],
         "m_a_to_b double, m_b_to_a double, log_likelihood double, success boolean",
     )
 
@@ -172,8 +174,8 @@ def bootstrap_estimates(
     finally:
         observed.unpersist()
     rates: dict = {}
-    for replicate, direction, m, _ in found:
-        rates.setdefault(replicate, {})[direction] = m
+    for replicate, direction, m, _, settled in found:
+        rates.setdefault(replicate, {})[direction] = m if settled else None  # not finite: an unsuccessful replicate
     rows = [(r, v["a_to_b"], v["b_to_a"]) for r, v in sorted(rates.items())]
     return loci.sparkSession.createDataFrame(rows, "replicate int, m_a_to_b double, m_b_to_a double")
 

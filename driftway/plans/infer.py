@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftway.functions.checks import require_unit_interval
+from driftway.functions.checks import is_finite, require_unit_interval
 from driftway.functions.rates import directional_support
 from driftway.operators import decisions, geography, models, network, resample, spectra
 from driftway.operators.resample import Estimator
 from driftway.operators.spectra import PAIR
-from driftway.session import materialize
+from driftway.session import materialize, remove_folder
 from driftway.sources import inventory, sinks, tables, vcf
 
+# Statuses and reasons of pairs that the evidence does not reach.
+NO_LOCI = "no_usable_loci"
+UNINFORMATIVE = "no_informative_loci"
+NOT_FITTED = "not_fitted"
+UNINFORMATIVE_REASON = "every usable locus is fixed alike in both populations"
+NOT_FITTED_REASON = "no model was fitted for this pair"
+FEW_ESTIMATES = "fewer than two bootstrap estimates are available for this pair"
 # Fixed value: reason given when the best model is not directional.
 NOT_DIRECTIONAL = "best-supported demographic model is not asymmetric"
 STATUS_NOTE = (
@@ -96,7 +104,8 @@ def infer_pairs(
     success, log_likelihood, params) or, without them, by scanning ``library``.
     Bootstrap spectra are fitted by ``estimator`` or by the same library. Pairs
     without usable loci, and pairs whose best model is not directional, take no
-    part in the bootstrap.
+    part in the bootstrap. Every pair of ``pairs`` keeps its row and has a status;
+    ``decision_reason`` says what is missing where the evidence does not reach it.
     """
     options.checked()
     size = options.projection_chromosomes
@@ -111,9 +120,7 @@ def infer_pairs(
     base = pairs.select(*PAIR, "distance_km").join(stats, PAIR).select(
         *PAIR, "distance_km", "loci_used", "loci_skipped",
         F.lit(size).alias("projection_chromosomes"),
-        F.concat(F.lit("spectra/population_a="), "population_a", F.lit("/population_b="), "population_b").alias(
-            "spectrum_file"
-        ),
+        F.lit("spectra").alias("spectrum_file"),
     )
     none = F.col("loci_used") == 0
     if options.prepare_only:
@@ -160,9 +167,16 @@ def infer_pairs(
     )
     labelled = called.withColumnsRenamed({"m_a_to_b": "m_a_to_b_scaled", "m_b_to_a": "m_b_to_a_scaled"})
     labelled = labelled.unionByName(other, allowMissingColumns=True)
-    pairwise = base.join(labelled, PAIR, "left").withColumn(
-        "status", F.when(none, F.lit("no_usable_loci")).otherwise(F.col("status"))
-    )
+    corner = (F.col("i") + F.col("j") == 0) | (F.col("i") + F.col("j") == 2 * size)
+    informative = cells.filter((F.col("mass") != 0) & ~corner).select(*PAIR, F.lit(True).alias("_informative")).distinct()
+    joined = base.join(labelled, PAIR, "left").join(informative, PAIR, "left")
+    open_ = F.col("status").isNull()
+    flat = F.col("_informative").isNull()
+    status = F.when(none, NO_LOCI).when(open_ & flat, UNINFORMATIVE).when(open_, NOT_FITTED).otherwise(F.col("status"))
+    reason = F.when(~none & open_ & flat, UNINFORMATIVE_REASON).when(~none & open_, NOT_FITTED_REASON)
+    pairwise = joined.withColumns(
+        {"status": status, "decision_reason": F.coalesce("decision_reason", reason)}
+    ).drop("_informative")
     return InferResult(pairwise, rankings, cells)
 
 
@@ -187,10 +201,11 @@ def _with_bootstrap(
         )
     else:
         blocks = resample.block_configurations(shared.join(chosen, PAIR, "left_semi"), options.bootstrap_block_bp)
-        block_cells = materialize(resample.project(blocks, size, size, [*PAIR, "chrom", "block"]))
-        stream = F.pmod(F.xxhash64(*PAIR), F.lit(1 << 31)).alias("seed_offset")
-        drawn = resample.resample_blocks(
-            block_cells, replicates, options.seed, offsets=chosen.select(*PAIR, stream)
+        blocks = materialize(blocks)
+        # The stream of a pair follows from its names alone.
+        stream = F.conv(F.substring(F.md5(F.concat_ws("|", *PAIR)), 1, 7), 16, 10).cast("long").alias("seed_offset")
+        drawn = resample.resample_block_configurations(
+            blocks, replicates, options.seed, size, size, offsets=chosen.select(*PAIR, stream)
         )
         units = blocks.filter(usable).groupBy(*PAIR).agg(
             F.count_distinct("chrom", "block").alias("bootstrap_blocks_used"),
@@ -209,7 +224,10 @@ def _with_bootstrap(
         estimates = best.join(own, [*PAIR, "model"]).select(
             *keys, F.col("params")["m_a_to_b"].alias("m_a_to_b"), F.col("params")["m_b_to_a"].alias("m_b_to_a")
         )
-    boot = resample.bootstrap_summary(estimates, PAIR, confidence=options.confidence, attempted=replicates)
+    estimates = materialize(estimates)
+    boot = resample.bootstrap_summary(
+        estimates, PAIR, confidence=options.confidence, attempted=replicates, on_too_few="drop"
+    )
     support = directional_support(F.col("probability_a_to_b_stronger"), F.col("m_a_to_b"), F.col("m_b_to_a"))
     joined = called.drop("status", "preferred_direction", "decision_reason", "asymmetry_index").join(boot, PAIR).join(
         units, PAIR
@@ -239,6 +257,18 @@ def _with_bootstrap(
         F.col("m_b_to_a_lower").alias("reverse_lower"),
         F.col("m_b_to_a_upper").alias("reverse_upper"),
     )
+    # Pairs without enough estimates keep their model and rates, and say why they have no decision.
+    finite = is_finite(F.col("m_a_to_b")) & is_finite(F.col("m_b_to_a"))
+    successes = estimates.groupBy(*PAIR).agg(F.count_if(finite).alias("bootstrap_successful"))
+    undecided = called.join(boot.select(*PAIR), PAIR, "left_anti").join(successes, PAIR, "left").join(units, PAIR, "left").select(
+        *PAIR, "best_model", "directional_model", "m_a_to_b", "m_b_to_a", "optimizer_success_fraction",
+        "asymmetric_model_weight", "optimizer_stable",
+        F.lit("unsupported").alias("status"), F.lit(FEW_ESTIMATES).alias("decision_reason"),
+        F.coalesce("bootstrap_successful", F.lit(0)).cast("long").alias("bootstrap_successful"),
+        F.lit(replicates).cast("long").alias("bootstrap_attempted"),
+        F.lit(resample.resampling_unit_label(options.bootstrap_block_bp)).alias("bootstrap_resampling_unit"),
+        "bootstrap_blocks_used", "bootstrap_loci_used",
+    )
     decided = decisions.classify_direction(
         evidence,
         min_model_weight=options.min_model_weight,
@@ -247,9 +277,10 @@ def _with_bootstrap(
         require_interval_separation=True,
         keep=passed,
     )
-    return decided.drop("source", "destination", "migration", "reverse_migration").withColumnRenamed(
+    decided = decided.drop("source", "destination", "migration", "reverse_migration").withColumnRenamed(
         "reason", "decision_reason"
     )
+    return decided.unionByName(undecided, allowMissingColumns=True)
 
 
 def run_metadata(spark: SparkSession, options: InferOptions, thresholds_source: str | None = None) -> DataFrame:
@@ -295,6 +326,7 @@ def run_pipeline(
     counted = vcf.allele_counts_from_vcf(
         spark, vcf_path, popmap, min_called_chromosomes=options.min_called_chromosomes, partitions=partitions
     )
+    work = f"{output_folder.rstrip('/')}/work-{uuid.uuid4().hex}"  # of this run alone; removed at its end
     counts = spark.read.parquet(sinks.write_allele_counts(counted, output_folder))
     mapped = coordinates.join(popmap.select("population").distinct(), "population", "left_semi")
     pairs = geography.candidate_pairs(
@@ -303,12 +335,13 @@ def run_pipeline(
     pairs = spark.read.parquet(sinks.write_table(pairs, output_folder, "candidate_pairs"))
     result = infer_pairs(
         counts, pairs, options, library=library, parameters=parameters, estimator=estimator,
-        work_folder=f"{output_folder.rstrip('/')}/work",
+        work_folder=work,
     )
-    sinks.write_spectra(result.spectra, output_folder)
+    cells = spark.read.parquet(sinks.write_spectra(result.spectra, output_folder))
     pairwise = spark.read.parquet(sinks.write_table(result.pairwise, output_folder, "pairwise_results"))
+    rankings = None
     if result.rankings is not None:
-        sinks.write_table(result.rankings, output_folder, "model_rankings")
+        rankings = spark.read.parquet(sinks.write_table(result.rankings, output_folder, "model_rankings"))
     if options.bootstrap_replicates >= 2 and not options.prepare_only:
         flows = decisions.pairwise_to_flows(pairwise)
         sinks.write_table(flows, output_folder, "directional_flows")
@@ -324,4 +357,5 @@ def run_pipeline(
     inputs = {f"vcf_{k}": path for k, path in enumerate(files)} if len(files) > 1 else {"vcf": files[0]}
     inputs |= {"popmap": popmap_path, "coordinates": coordinates_path}
     sinks.write_table(inventory.input_records(spark, inputs), output_folder, "input_records")
-    return InferResult(pairwise, result.rankings, result.spectra)
+    remove_folder(spark, work)
+    return InferResult(pairwise, rankings, cells)

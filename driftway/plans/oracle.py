@@ -284,12 +284,12 @@ linkage AS (
 
 LINKED = _linkage("0 AS unused")
 LINKED_GRID = _linkage("round(recombination_rate * 1e9, 3) AS recombination_rate")
-LINKAGE_COLUMNS = """scenario, method, attempted_replicates, successful_replicates, round(success_rate, 6) AS success_rate,
-  round(coverage_a_to_b, 6) AS coverage_a_to_b, round(coverage_b_to_a, 6) AS coverage_b_to_a,
-  round(mean_interval_width_a_to_b, 6) AS mean_interval_width_a_to_b,
-  round(mean_interval_width_b_to_a, 6) AS mean_interval_width_b_to_a,
-  round(strong_directional_support_rate, 6) AS strong_directional_support_rate,
-  round(false_directional_support_rate, 6) AS false_directional_support_rate"""
+LINKAGE_COLUMNS = """scenario, method, attempted_replicates, successful_replicates, round(success_rate, 9) AS success_rate,
+  round(coverage_a_to_b, 9) AS coverage_a_to_b, round(coverage_b_to_a, 9) AS coverage_b_to_a,
+  round(mean_interval_width_a_to_b, 9) AS mean_interval_width_a_to_b,
+  round(mean_interval_width_b_to_a, 9) AS mean_interval_width_b_to_a,
+  round(strong_directional_support_rate, 9) AS strong_directional_support_rate,
+  round(false_directional_support_rate, 9) AS false_directional_support_rate"""
 
 CALLED = """optimizer_stable AND interval_separated AND asymmetric_model_weight >= w AND directional_support >= s
             AND abs(asymmetry_index) >= a AND preferred_direction IN ('A->B', 'B->A')"""
@@ -479,13 +479,28 @@ likelihood AS (
   FROM mixed GROUP BY ALL)"""
 
 
+def _refined(k: int, before: str, width: float) -> str:
+    """The likelihood over 301 rates around the best one of the grid before; it is concave in the rate."""
+    return f""",
+near{k} AS (SELECT direction, unnest(range(-150, 151)) * {width!r} + m0 AS m
+            FROM (SELECT direction, arg_max(m, log_likelihood) AS m0 FROM {before} GROUP BY direction)),
+mixed{k} AS (SELECT o.direction, m, c, least(greatest((1 - m) * r + m * s, 1e-12), 1 - 1e-12) AS e
+             FROM observed o JOIN near{k} n ON o.direction = n.direction AND m BETWEEN 0 AND 1),
+likelihood{k} AS (
+  SELECT direction, m, sum(CASE WHEN c > 0 THEN c * ln(e) ELSE 0 END
+                           + CASE WHEN c < {2 * NE} THEN ({2 * NE} - c) * ln(1 - e) ELSE 0 END) AS log_likelihood
+  FROM mixed{k} GROUP BY ALL)"""
+
+
 ORACLE |= {
     "transition_scan": _likelihoods("SELECT unnest(range(1, 41)) / 200 AS m") + """
       SELECT direction, round(m, 3) AS m, round(log_likelihood, 3) AS log_likelihood FROM likelihood""",
-    "transition_mle": _likelihoods("SELECT unnest(range(0, 1001)) / 10000 AS m") + """
-      SELECT round(max(m) FILTER (direction = 'a_to_b'), 3) AS m_a_to_b,
-             round(max(m) FILTER (direction = 'b_to_a'), 3) AS m_b_to_a
-      FROM (SELECT direction, arg_max(m, log_likelihood) AS m FROM likelihood GROUP BY direction)""",
+    "transition_mle": _likelihoods("SELECT unnest(range(0, 1001)) / 10000 AS m") + "".join(
+        _refined(k, before, width) for k, (before, width) in enumerate((("likelihood", 1e-6), ("likelihood0", 1e-8)))
+    ) + """
+      SELECT round(max(m) FILTER (direction = 'a_to_b'), 5) AS m_a_to_b,
+             round(max(m) FILTER (direction = 'b_to_a'), 5) AS m_b_to_a
+      FROM (SELECT direction, arg_max(m, log_likelihood) AS m FROM likelihood1 GROUP BY direction)""",
     "aic_ranking": _ranking("aic", AIC) + """
       SELECT * REPLACE (round(log_likelihood, 6) AS log_likelihood, round(aic, 6) AS aic, round(delta, 6) AS delta,
                         round(akaike_weight, 6) AS akaike_weight) FROM ranking""",

@@ -265,7 +265,8 @@ def bootstrap_weights(spark, sf):
 
 
 def _replicate_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return resample.resample_blocks(materialize(_block_cells(spark, sf)), REPLICATES, SEED)
+    blocks = materialize(resample.block_configurations(_shared(spark, sf), BLOCK_BP))
+    return resample.resample_block_configurations(blocks, REPLICATES, SEED, SIZE, SIZE)
 
 
 @query
@@ -302,7 +303,7 @@ def transition_scan(spark, sf):
 @query
 def transition_mle(spark, sf):
     found = transition.estimate_one_generation(frame(spark, sf, "frequencies"), NE, NE)
-    return found.select(F.round("m_a_to_b", 3).alias("m_a_to_b"), F.round("m_b_to_a", 3).alias("m_b_to_a"))
+    return found.select(F.round("m_a_to_b", 5).alias("m_a_to_b"), F.round("m_b_to_a", 5).alias("m_b_to_a"))
 
 
 @query
@@ -581,7 +582,7 @@ def coverage_rows(spark, sf):
 
 @query
 def linked_summary(spark, sf):
-    return rounded(summaries.summarize_linkage(_coverage(spark, sf)))
+    return rounded(summaries.summarize_linkage(_coverage(spark, sf)), 9)
 
 
 def _linkage_grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -591,7 +592,7 @@ def _linkage_grid(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def linkage_grid_summary(spark, sf):
     grid = _linkage_grid(spark, sf)
-    return rounded(grid.withColumn("recombination_rate", F.round(F.col("recombination_rate") * 1e9, 3)))
+    return rounded(grid.withColumn("recombination_rate", F.round(F.col("recombination_rate") * 1e9, 3)), 9)
 
 
 @query

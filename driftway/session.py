@@ -61,3 +61,9 @@ def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
         folder = f"{base.rstrip('/')}/driftway-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this run made; nothing happens where there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,6 +7,45 @@ from pyspark.sql import functions as F
 
 from driftway.sources.tables import path_exists
 
+_CHUNK = 4 << 20
+
+
+def _hashed(spark: SparkSession, names: list[str]) -> DataFrame:
+    """(uri, bytes, sha256) of each file, read in chunks by a task of its own, whatever its size."""
+
+    def run(batches):
+        import hashlib
+
+        import pandas as pd
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for name in batch["uri"]:
+                system, location = fs.FileSystem.from_uri(name)
+                digest, size = hashlib.sha256(), 0
+                with system.open_input_stream(location, compression=None) as raw:
+                    while chunk := raw.read(_CHUNK):
+                        digest.update(chunk)
+                        size += len(chunk)
+                rows.append((name, size, digest.hexdigest()))
+            yield pd.DataFrame(rows, columns=["uri", "bytes", "sha256"])
+
+    listing = spark.createDataFrame([(name,) for name in names], "uri string")
+    return listing.repartition(max(1, min(len(names), 1024)), "uri").mapInPandas(run, "uri string, bytes long, sha256 string")
+
+
+def _files_below(spark: SparkSession, path: str) -> list[str]:
+    """URIs of a file, or of all files below a folder."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.listFiles(root, True)
+    out = []
+    while found.hasNext():
+        out.append(found.next().getPath().toUri().toString())
+    return sorted(out)
+
 # The manifest's own files, left out of the inventory.
 MANIFEST_NAMES = ("validation_archive_manifest.json", "validation_archive_manifest.sha256")
 
@@ -14,21 +53,16 @@ MANIFEST_NAMES = ("validation_archive_manifest.json", "validation_archive_manife
 def file_inventory(spark: SparkSession, folder: str, *, exclude_manifest: bool = True) -> DataFrame:
     """(path, bytes, sha256) of every file below ``folder``.
 
-    Each file is hashed where it is read. The binary source holds one file in
-    memory per task and stops at 2 GB per file.
+    The driver lists names only; each file is hashed in chunks by a task, so its size does not matter.
     """
     if not path_exists(spark, folder):
-        raise ValueError(f"validation results directory not found: {folder}")
+        raise ValueError(f"there is no folder of results at {folder}")
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(folder)
     root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root)
-    prefix = root.toUri().getPath().rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    relative = F.element_at(F.split(F.col("path"), f"\\Q{prefix}\\E", 2), -1)
-    listed = files.select(
-        relative.alias("path"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+    prefix = root.toUri().toString().rstrip("/") + "/"
+    listed = _hashed(spark, _files_below(spark, folder)).select(
+        F.expr(f"substring(uri, {len(prefix) + 1})").alias("path"), "bytes", "sha256"
     )
     return listed.filter(~F.col("path").isin(*MANIFEST_NAMES)) if exclude_manifest else listed
 
@@ -53,15 +87,10 @@ def write_manifest(inventory: DataFrame, output: str) -> None:
 
 def input_records(spark: SparkSession, inputs: dict[str, str]) -> DataFrame:
     """(name, path, size_bytes, sha256) of a run's named input files."""
-    parts = None
-    for name, path in sorted(inputs.items()):
-        row = spark.read.format("binaryFile").load(path).select(
-            F.lit(name).alias("name"),
-            F.lit(path).alias("path"),
-            F.col("length").alias("size_bytes"),
-            F.sha2("content", 256).alias("sha256"),
-        )
-        parts = row if parts is None else parts.unionByName(row)
-    if parts is None:
+    if not inputs:
         raise ValueError("at least one input is required.")
-    return parts
+    files = [(name, path, uri) for name, path in sorted(inputs.items()) for uri in _files_below(spark, path)]
+    named = spark.createDataFrame(files, "name string, path string, uri string")
+    return named.join(_hashed(spark, sorted({uri for _, _, uri in files})), "uri").select(
+        "name", "path", F.col("bytes").alias("size_bytes"), "sha256"
+    )

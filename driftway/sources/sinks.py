@@ -18,19 +18,19 @@ def write_table(df: DataFrame, folder: str, name: str, *, fmt: str = "parquet",
 
 
 def write_allele_counts(counts: DataFrame, folder: str) -> str:
-    """Counts partitioned by chromosome.
+    """Counts in files that each hold a range of (chrom, pos).
 
-    Range partitioning by (chrom, pos) gives even files even when one chromosome
-    holds a large share of the rows, and keeps neighbouring loci together.
+    Ranges give even files even when one chromosome holds a large share of the rows, and each file's minimum and maximum
+    let readers skip it. Identifiers stay ordinary columns: as folder names they would come back as other types.
     """
-    ranged = counts.repartitionByRange("chrom", "pos")
-    return write_table(ranged, folder, "allele_counts", partition_by=("chrom",))
+    ranged = counts.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
+    return write_table(ranged, folder, "allele_counts")
 
 
 def write_spectra(cells: DataFrame, folder: str) -> str:
-    """Spectrum cells, one partition folder per population pair."""
-    spread = cells.repartition("population_a", "population_b")
-    return write_table(spread, folder, "spectra", partition_by=("population_a", "population_b"))
+    """Spectrum cells, sorted by population pair, so that a reader of one pair skips most files."""
+    spread = cells.repartitionByRange("population_a", "population_b").sortWithinPartitions("population_a", "population_b", "i", "j")
+    return write_table(spread, folder, "spectra")
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, *, fmt: str = "parquet") -> dict[str, str]:

@@ -168,7 +168,7 @@ def read_result_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]
 
 
 def read_spectra(spark: SparkSession, folder: str, population_a: str | None = None, population_b: str | None = None) -> DataFrame:
-    """Saved spectrum cells; naming a population prunes to its partitions."""
+    """Saved spectrum cells; naming a population reads only the files whose ranges hold it."""
     cells = spark.read.parquet(folder)
     if population_a is not None:
         cells = cells.filter(F.col("population_a") == population_a)

@@ -109,6 +109,62 @@ def test_statuses_without_bootstrap(spark):
     assert row["status"] == "supported" and row["bootstrap_attempted"] == 3
 
 
+def test_every_pair_has_a_status(spark):
+    """Monomorphic pairs, pairs without fits and pairs without bootstrap estimates stay, and say why."""
+    schema = "chrom string, pos long, ref string, alt string, population string, alt_count long, called_chromosomes long"
+    rows = [("01", p, "A", "G", pop, (p + k) % 5, 4) for p in range(30) for k, pop in enumerate(("001", "B", "F"))]
+    rows += [("01", p, "A", "G", "M", 0, 4) for p in range(100, 106)] + [("01", p, "A", "G", "N", 0, 4) for p in range(100, 106)]
+    names = [("001", "B"), ("001", "F"), ("M", "N"), ("001", "M"), ("B", "F")]
+    pairs = spark.createDataFrame([(a, b, 1.0) for a, b in names], "population_a string, population_b string, distance_km double")
+    run = "population_a string, population_b string, model string, run int, success boolean, log_likelihood double, params map<string,double>"
+    rates = {"m_a_to_b": 1.0, "m_b_to_a": 0.1}
+    fits = spark.createDataFrame(
+        [(a, b, m, k, True, s - k / 10, rates) for a, b in (("001", "B"), ("B", "F"))
+         for m, s in (("asymmetric_migration", -10.0), ("isolation", -50.0)) for k in range(3)], run,
+    )
+
+    def estimator(cells, keys):
+        return resample.linear_moment_estimator(cells.filter("population_a = '001'"), keys)
+
+    options = infer.InferOptions(projection_chromosomes=4, bootstrap_replicates=3)
+    result = infer.infer_pairs(spark.createDataFrame(rows, schema), pairs, options, fit_runs=fits, estimator=estimator)
+    got = {(r["population_a"], r["population_b"]): r for r in result.pairwise.collect()}
+    assert set(got) == set(names) and all(r["status"] is not None for r in got.values())
+    assert got["001", "B"]["status"] in ("supported", "ambiguous") and got["001", "B"]["bootstrap_successful"] == 3
+    assert (got["001", "F"]["status"], got["001", "F"]["decision_reason"]) == (infer.NOT_FITTED, infer.NOT_FITTED_REASON)
+    assert (got["M", "N"]["status"], got["M", "N"]["loci_used"]) == (infer.UNINFORMATIVE, 6)
+    assert got["001", "M"]["status"] == infer.NO_LOCI
+    lost = got["B", "F"]
+    assert (lost["status"], lost["decision_reason"]) == ("unsupported", infer.FEW_ESTIMATES)
+    assert lost["best_model"] == "asymmetric_migration" and lost["m_a_to_b_scaled"] == 1.0
+    assert (lost["bootstrap_successful"], lost["bootstrap_attempted"]) == (0, 3)
+
+
+def test_identifiers_stay_text_and_runs_repeat(spark, tmp_path):
+    samples = [f"{p}{k}" for p in ("001", "1") for k in "ab"]
+    lines = ["\t".join("#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT".split() + samples)]
+    for chrom in ("01", "1"):
+        for pos in range(1, 41):
+            gts = [f"{(pos + k) % 2}/{(pos + 2 * k) % 3 % 2}" for k in range(4)]
+            lines.append("\t".join([chrom, str(pos), ".", "A", "G", ".", ".", ".", "GT", *gts]))
+    (tmp_path / "x.vcf").write_text("\n".join(lines) + "\n")
+    (tmp_path / "p.tsv").write_text("sample\tpopulation\n" + "".join(f"{s}\t{s[:-1]}\n" for s in samples))
+    (tmp_path / "c.csv").write_text("population,latitude,longitude\n001,0.0,0.0\n1,1.0,1.0\n")
+    options = infer.InferOptions(projection_chromosomes=SIZE, k_nearest=1, prepare_only=True)
+    out = tmp_path / "out"
+    seen = []
+    for _ in range(2):
+        result = infer.run_pipeline(spark, *paths(tmp_path), str(out), options)
+        row = result.pairwise.first()
+        assert (row["population_a"], row["population_b"], row["loci_used"]) == ("001", "1", 80)
+        assert result.spectra.schema["population_a"].dataType.simpleString() == "string"
+        seen.append(sorted(result.spectra.collect()))
+    assert seen[0] == seen[1] and len(seen[0]) > 0
+    counts = spark.read.parquet(str(out / "allele_counts"))
+    assert {r["chrom"] for r in counts.select("chrom").distinct().collect()} == {"01", "1"}
+    assert not [p for p in out.iterdir() if p.name.startswith("work")]
+
+
 @pytest.mark.parametrize(
     "changes", [{"projection_chromosomes": 1}, {"bootstrap_replicates": 1}, {"bootstrap_block_bp": 0}, {"min_model_weight": 2.0}]
 )

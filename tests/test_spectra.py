@@ -202,14 +202,48 @@ def test_block_bootstrap(spark):
 def test_python_estimator_skips_failures(spark):
     drawn = resample.resample_loci(configs_of(spark, BOOT), 4, 1, 4, 4)
 
+    keys = [*PAIR, "replicate"]
+    masses = {r["replicate"]: r["m"] for r in drawn.groupBy("replicate").agg(F.sum(F.col("i") * F.col("mass")).alias("m")).collect()}
+    limit = sorted(masses.values())[1]  # the fit of one replicate, the smallest, fails
+
     def fit(frame):
-        if frame["mass"].sum() < 0:
+        if (frame["i"] * frame["mass"]).sum() < limit - 1e-9:
             raise ValueError
         return 0.1, 0.2
 
-    estimates = resample.grouped_estimator(fit)(drawn, [*PAIR, "replicate"])
+    estimates = resample.grouped_estimator(fit)(drawn, keys)
     row = resample.bootstrap_summary(estimates, attempted=5).first()
-    assert (row["successful_replicates"], row["attempted_replicates"], row["preferred_direction_support"]) == (4, 5, 1.0)
+    failed = sum(m < limit - 1e-9 for m in masses.values())
+    assert failed >= 1
+    assert (row["successful_replicates"], row["attempted_replicates"], row["preferred_direction_support"]) == (4 - failed, 5, 1.0)
+
+    def never(frame):
+        raise ValueError
+
+    assert resample.grouped_estimator(never)(drawn, keys).count() == 0
+
+
+def test_draws_of_a_key_do_not_depend_on_other_keys(spark):
+    own = [("a", u, 3) for u in range(30)]
+    other = [("b", u, 2) for u in range(500)]
+    drawn = []
+    for rows in (own, own + other):
+        units = spark.createDataFrame(rows, "k string, unit int, n int")
+        found = resample.multinomial_weights(units, ["k"], ["unit"], "n", 20, 3, units_per_bucket=20)
+        drawn.append(sorted(map(tuple, found.filter("k = 'a'").collect())))
+    assert drawn[0] == drawn[1] and len(drawn[0]) > 100
+
+
+def test_block_bootstrap_by_configuration_equals_the_one_by_cell(spark):
+    shared = spark.createDataFrame(
+        [("A", "B", "1", p, 4 + p % 2, p % 5, 4, (3 * p) % 5) for p in range(1, 300)],
+        "population_a string, population_b string, chrom string, pos long, n_a long, x_a long, n_b long, x_b long",
+    )
+    by_cell = resample.resample_blocks(resample.block_spectra(shared, 20, 4, 4), 5, 1).collect()
+    blocks = resample.block_configurations(shared, 20)
+    by_configuration = resample.resample_block_configurations(blocks, 5, 1, 4, 4).collect()
+    one, two = ({(r["replicate"], r["i"], r["j"]): r["mass"] for r in rows if r["mass"] > 1e-12} for rows in (by_cell, by_configuration))
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
 
 
 def test_summary_needs_two_finite_estimates(spark):
