@@ -22,7 +22,7 @@ def validate_method_table(table: DataFrame, method: str) -> DataFrame:
     typed = table.withColumns({name: as_number(table, name) for name in NUMBERS})
     typed = typed.withColumn("method", F.lit(method)).dropna(subset=list(NUMBERS))
     if not typed.limit(1).count():
-        raise ValueError(f"{method} comparator table has no usable rows.")
+        raise ValueError(f"{method} has no row that can be compared.")
     repeated = first_values(typed.groupBy(*KEY).count().filter("count > 1"), *KEY)
     if repeated:
         raise ValueError(
@@ -44,7 +44,7 @@ def standardize_benchmark(table: DataFrame, *, estimand: str = "scaled_migration
 def combine_methods(tables: dict[str, DataFrame]) -> DataFrame:
     """Validated union of at least two method tables."""
     if len(tables) < 2:
-        raise ValueError("at least two methods are required for comparison.")
+        raise ValueError("a comparison takes two methods or more.")
     checked = [validate_method_table(table, name) for name, table in tables.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), checked)
 

@@ -20,7 +20,7 @@ def _positioned(coordinates: DataFrame) -> DataFrame:
     """Coordinates with input order and position on the unit sphere."""
     require_columns(coordinates, ("population", "latitude", "longitude"), "coordinates")
     if coordinates.groupBy("population").count().filter("count > 1").limit(1).count():
-        raise ValueError("population identifiers must be unique.")
+        raise ValueError("each population may have one row only; names must be unique.")
     order = F.col("ord") if "ord" in coordinates.columns else F.col("population")
     x, y, z = unit_vector(F.col("latitude"), F.col("longitude"))
     return coordinates.select(

@@ -32,14 +32,14 @@ def projection_retention(
     if max_chromosomes is None:
         largest = firsts.agg(F.max("called_chromosomes")).first()[0]
         if largest is None:
-            raise ValueError("no allele-count records were produced from the VCF.")
+            raise ValueError("the calls give no allele count at all.")
         max_chromosomes = int(largest)
     if max_chromosomes < 2:
         raise ValueError(
             "fewer than two called chromosomes are available; a pairwise jSFS projection cannot be recommended."
         )
     if not pairs.limit(1).count():
-        raise ValueError("at least two populations are required for pairwise inference.")
+        raise ValueError("pairs need two populations or more.")
 
     sizes = F.sequence(*[F.lit(n).cast("long") for n in (2, max_chromosomes, 2)])
     smaller = F.least("n_a", "n_b")
@@ -77,7 +77,7 @@ def recommend_projection(summary: DataFrame, retention_target: float = 0.80) ->
     """The largest size whose worst pair keeps the target share, else the smallest size."""
     size = F.col("projection_chromosomes")
     kept = F.max(F.when(F.col("minimum_pair_retention") >= retention_target, size))
-    empty = F.raise_error(F.lit("projection summary cannot be empty.")).cast("long")
+    empty = F.raise_error(F.lit("there is no projection to summarise.")).cast("long")
     return summary.agg(
         F.when(F.count("*") == 0, empty).otherwise(F.coalesce(kept, F.min(size))).alias("recommended_projection")
     )

@@ -94,7 +94,7 @@ def direction_accuracy(
 ) -> DataFrame:
     """Share of rows whose estimated direction equals the true one."""
     if not math.isfinite(tolerance) or tolerance < 0:
-        raise ValueError("tolerance must be finite and non-negative.")
+        raise ValueError("tolerance must be a finite number, zero or more.")
     values = [F.col(c) for c in columns]
     finite = is_finite(values[0])
     for value in values[1:]:

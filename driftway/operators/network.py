@@ -105,7 +105,7 @@ def map_edges(
     with support; ambiguous edges are dashed.
     """
     if min_migration < 0:
-        raise ValueError("min_migration must be non-negative.")
+        raise ValueError("min_migration must be zero or more.")
     edges = validate_flows(flows, keep).filter(F.col("migration") >= min_migration)
     if "status" in edges.columns:
         drawn = F.coalesce(F.col("status") != "unsupported", F.lit(True))
@@ -113,13 +113,13 @@ def map_edges(
     if min_support is not None:
         require_unit_interval(min_support=min_support)
         if "support" not in edges.columns:
-            raise ValueError("min_support requires a support column.")
+            raise ValueError("without a support column, min_support cannot apply.")
         edges = edges.filter(F.col("support") >= min_support)
     if check_populations:
         used = edges.select(F.explode(F.array("source", "destination")).alias("population")).distinct()
         unknown = first_values(used.join(coordinates, "population", "left_anti"), "population", limit=1000)
         if unknown:
-            raise ValueError("flow populations missing coordinates: " + ", ".join(r[0] for r in unknown))
+            raise ValueError("populations of flows without coordinates: " + ", ".join(r[0] for r in unknown))
     # One number for the whole layer, from a pass that reads the rate column only.
     top = edges.agg(F.max("migration")).first()[0] or 0.0
 

@@ -90,7 +90,7 @@ def read_headers(spark: SparkSession, path: str | list[str], lines: DataFrame |
 def checked_headers(headers: DataFrame) -> DataFrame:
     """Headers with an id shared by files that have the same sample columns."""
     if headers.filter("orphan_record").limit(1).count():
-        raise ValueError("VCF header line beginning #CHROM was not found.")
+        raise ValueError("a VCF file has records but no #CHROM line before them.")
     return headers.filter(F.col("header").isNotNull()).select(
         "file_path",
         F.xxhash64("header").alias("header_id"),
@@ -122,7 +122,7 @@ def sample_columns(headers: DataFrame, popmap: DataFrame, check: bool = True) ->
             present = layouts.filter(F.col("header_id") == short["header_id"])
             absent = popmap.join(present, "sample", "left_anti")
             names = ", ".join(row[0] for row in first_values(absent, "sample", limit=1000))
-            raise ValueError(f"popmap contains samples absent from VCF: {names}")
+            raise ValueError(f"mapped samples that no VCF file has: {names}")
     return layouts.join(popmap.select("sample", "population"), "sample").select(
         "header_id", "column", "population"
     )
@@ -165,7 +165,7 @@ def count_alleles(
     population, so the shuffle carries result rows, not genotypes.
     """
     if min_called_chromosomes < 1:
-        raise ValueError("min_called_chromosomes must be at least 1.")
+        raise ValueError("min_called_chromosomes must be 1 or more.")
     carried = ["line_no", "chrom", "pos", "ref", "alt", "gt_position"] + [k for k in on if k != "column"]
     fields = records.select(*carried, F.posexplode_outer(F.split("calls", "\t", -1)).alias("column", "field"))
     placed = fields.join(broadcast_if_small(columns), list(on))

@@ -172,9 +172,9 @@ def test_map_edges(spark):
     drawn = {r["line_style"]: r for r in network.map_edges(spots, flows, include_ambiguous=True, min_migration=0.05).collect()}
     assert drawn["--"]["line_width"] == pytest.approx(5.0) and drawn["--"]["alpha"] == pytest.approx(0.92)
     assert drawn["-"]["line_width"] == pytest.approx(0.7 + 4.3 * math.sqrt(0.1))
-    with pytest.raises(ValueError, match="missing coordinates: C"):
+    with pytest.raises(ValueError, match="without coordinates: C"):
         network.map_edges(spots.filter("population <> 'C'"), flows)
-    with pytest.raises(ValueError, match="requires a support column"):
+    with pytest.raises(ValueError, match="without a support column"):
         network.map_edges(spots, flows.drop("support"), min_support=0.5)
 
 
