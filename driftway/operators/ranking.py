@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+# Slots of a key's values; a slot holds about one of so many parts of its distinct values.
+BUCKETS = 64
 
 
 def bucketed_rank(
@@ -35,19 +36,17 @@ def linear_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per key, for groups of any size.
 
-    Equal values collapse to one row with a multiplicity first; the rest is
-    cumulated inside value buckets, so neither a hot key nor a hot value lands in
-    one task.
+    Equal values collapse to one row with a multiplicity first. The rest is
+    cumulated inside slots between approximate quantiles of a key's distinct
+    values, so neither a hot key, a hot value nor an outlier fills one task.
     """
     tallies = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    shares = [k / buckets for k in range(1, buckets)]
     spans = tallies.groupBy(*keys).agg(
-        F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_n").alias("_total")
+        F.percentile_approx(value, shares, 20 * buckets).alias("_edges"), F.sum("_n").alias("_total")
     )
-    width = F.col("_high") - F.col("_low")
-    slot = F.when(
-        width > 0, F.least(F.floor((F.col(value) - F.col("_low")) / width * buckets), F.lit(buckets - 1))
-    ).otherwise(F.lit(0))
-    placed = tallies.join(spans, keys).withColumn("_slot", slot)
+    slot = F.size(F.filter("_edges", lambda edge: edge < F.col(value)))
+    placed = tallies.join(spans, keys).withColumn("_slot", slot).drop("_edges")
     sizes = placed.groupBy(*keys, "_slot").agg(F.sum("_n").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_slot", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))

@@ -59,27 +59,32 @@ def data_regimes(
     return table.withColumn("passes_targets", F.coalesce(passes, F.lit(False)))
 
 
+# Ranges of marker counts in which running minima are taken.
+_RANGES = 64
+
+
 def pareto_minimum(regimes: DataFrame) -> DataFrame:
     """Passing regimes that no other passing regime beats on one axis and matches on the other.
 
     Per marker count only the smallest sample size can survive, and it does iff
     every smaller marker count needs more chromosomes. The running minimum is
-    taken inside powers of two of the marker count, with the minima of the lower
-    powers carried in, so no window spans the table.
+    taken inside ranges of about equally many marker counts, with the minima of
+    the lower ranges carried in, so no window spans the table.
     """
     require_columns(regimes, [*REGIME, "passes_targets"], "regime table")
     passing = regimes.filter("passes_targets")
     per_sites = passing.groupBy("segregating_sites").agg(F.min("chromosomes").alias("chromosomes"))
-    octave = F.floor(F.log2(F.greatest(F.col("segregating_sites"), F.lit(1)).cast("double")))
-    placed = per_sites.withColumn("_octave", octave)
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_octave").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 64 rows.
-    carried = placed.groupBy("_octave").agg(F.min("chromosomes").alias("_least")).select(
-        "_octave", F.min("_least").over(earlier).alias("_carried")
+    numbered = per_sites.withColumn("_sites", F.col("segregating_sites").cast("double"))
+    edges = sorted(set(numbered.approxQuantile("_sites", [k / _RANGES for k in range(1, _RANGES)], 1 / (8 * _RANGES))))
+    placed = numbered.withColumn("_range", sum((F.when(F.col("_sites") > e, 1).otherwise(0) for e in edges), F.lit(0)))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range.
+    carried = placed.groupBy("_range").agg(F.min("chromosomes").alias("_least")).select(
+        "_range", F.min("_least").over(earlier).alias("_carried")
     )
-    inside = Window.partitionBy("_octave").orderBy("segregating_sites").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_range").orderBy("segregating_sites").rowsBetween(Window.unboundedPreceding, -1)
     least = F.least(F.min("chromosomes").over(inside), F.col("_carried"))
-    front = placed.join(F.broadcast(carried), "_octave").withColumn("_before", least)
+    front = placed.join(F.broadcast(carried), "_range").withColumn("_before", least)
     front = front.filter(F.col("_before").isNull() | (F.col("chromosomes") < F.col("_before")))
     return passing.join(front.select(*REGIME), REGIME, "left_semi")
 

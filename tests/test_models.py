@@ -177,3 +177,19 @@ def test_transition_errors(spark):
         transition.estimate_one_generation(loci.withColumn("p_a_final", F.lit(1.2)), 10, 10)
     with pytest.raises(ValueError):
         transition.bootstrap_one_generation(loci, 10, 10, replicates=1)
+
+
+def test_an_outlier_does_not_fill_one_slot(spark):
+    from pyspark.sql import functions as F
+
+    from driftway.operators import ranking
+
+    rows = [("k", float(v)) for v in range(4000)] + [("k", 1e15)]
+    table = spark.createDataFrame(rows, "k string, v double")
+    tallies = table.groupBy("k", "v").agg(F.count("*").alias("n"))
+    shares = [k / ranking.BUCKETS for k in range(1, ranking.BUCKETS)]
+    edges = tallies.groupBy("k").agg(F.percentile_approx("v", shares, 20 * ranking.BUCKETS).alias("e"))
+    slots = tallies.join(edges, "k").groupBy(F.size(F.filter("e", lambda e: e < F.col("v"))).alias("slot")).count().collect()
+    assert max(r["count"] for r in slots) <= 3 * 4001 / ranking.BUCKETS
+    found = ranking.linear_quantiles(table, ["k"], "v", {"low": 0.25, "mid": 0.5, "top": 1.0}).first()
+    assert (found["low"], found["mid"], found["top"]) == (1000.0, 2000.0, 1e15)
