@@ -48,16 +48,16 @@ def validate_flows(flows: DataFrame, keep: list[str] | None = None) -> DataFrame
 
 
 def network_edges(flows: DataFrame, *, include_ambiguous: bool = False, order: str | None = None) -> DataFrame:
-    """One edge per (source, destination): the last in ``order``, else the strongest."""
+    """One edge per (source, destination), all of its values from one row: the last in ``order``, else the strongest."""
     require_columns(flows, FLOW, "flow table")
     status = F.col("status") if "status" in flows.columns else F.lit("supported")
     hidden = ["unsupported"] if include_ambiguous else ["unsupported", "ambiguous"]
     shown = flows.withColumn("status", F.coalesce(status, F.lit("supported"))).filter(~F.col("status").isin(hidden))
     extras = [c for c in ("support", "asymmetry_index", "model_weight") if c in flows.columns]
-    by = order or "migration"
-    return shown.groupBy("source", "destination").agg(
-        *[F.max_by(c, by).alias(c) for c in ("migration", "status", *extras)]
-    )
+    kept = ("migration", "status", *extras)
+    # One row wins as a whole; equal orders are settled by its own values.
+    last = F.max_by(F.struct(*kept), F.struct(F.col(order or "migration").alias("_by"), *kept))
+    return shown.groupBy("source", "destination").agg(last.alias("_last")).select("source", "destination", "_last.*")
 
 
 def source_sink_summary(edges: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Rows a side may have before it is no longer broadcast.
 BROADCAST_ROWS = 1_000_000
+# Bytes it may have, as estimated from its types.
+BROADCAST_BYTES = 128 << 20
 
 _LOCAL: dict[str, str] = {}
 
@@ -31,13 +33,15 @@ def build_session(app: str = "driftway", master: str | None = None, **conf: obje
     return builder.getOrCreate()
 
 
-def fits_in_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
+def _row_bytes(df: DataFrame) -> int:
+    """A rough width of a row: numbers 8 bytes, texts 40, nested values 200."""
+    widths = {"string": 40, "binary": 200, "array": 200, "map": 200, "struct": 200}
+    return 16 + sum(widths.get(f.dataType.typeName(), 8) for f in df.schema)
 
-    The limit stops the count early, so a side that is far too large is not
-    scanned to the end just to learn that.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
+
+def fits_in_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows of together about ``BROADCAST_BYTES`` at most."""
+    return df.count() <= min(max_rows, BROADCAST_BYTES // _row_bytes(df))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -55,7 +59,7 @@ def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
     if folder is None:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            if not spark.sparkContext.master.startswith("local"):
+            if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share.")
             base = _LOCAL.get("folder") or _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         folder = f"{base.rstrip('/')}/driftway-{uuid.uuid4().hex}"

@@ -11,9 +11,10 @@ from driftway.session import broadcast_if_small
 
 HEADERS_SCHEMA = "file_path string, header string, orphan_record boolean"
 
-# line_no = file ordinal * 2^44 + byte offset of the split + row within the task:
+# line_no = file ordinal * 2^41 + byte offset of the split + row within the task:
 # unique, and increasing in file order because a task never reads more lines than bytes.
-_FILE_STRIDE = 1 << 44
+# Room for four million files of two terabytes each.
+_FILE_STRIDE = 1 << 41
 _ROW_MASK = (1 << 33) - 1
 
 
