@@ -50,9 +50,12 @@ def shipped(spark: SparkSession) -> None:
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset, below a temporary one (as in tests)."""
+    """A new folder below spark.checkpoint.dir; a local session without one (as in tests) takes a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share.")
         base = _FALLBACK.setdefault("base", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
