@@ -381,6 +381,12 @@ ORACLE: dict[str, str] = {
       SELECT chrom, pos, 'A' AS ref, 'G' AS alt, population, CAST(sum(called - alt_n) AS BIGINT) AS ref_count,
              CAST(sum(alt_n) AS BIGINT) AS alt_count, CAST(sum(called) AS BIGINT) AS called_chromosomes
       FROM read GROUP BY ALL""",
+    "vcf_file_counts": as_ctes("genotypes") + f""",
+      read AS (SELECT *, CASE gt WHEN '0/0' THEN 0 WHEN '1/1' THEN 2 ELSE 1 END AS alt_n,
+                      CASE gt WHEN '1' THEN 1 WHEN '0/0/1' THEN 3 ELSE 2 END AS called
+               FROM genotypes WHERE {VALID_GENOTYPE})
+      SELECT chrom, pos, 'A' AS ref, 'G' AS alt, population, CAST(sum(alt_n) AS BIGINT) AS alt_count,
+             CAST(sum(called) AS BIGINT) AS called_chromosomes FROM read GROUP BY ALL""",
     "allele_counts": COUNTS + " SELECT * FROM counts",
     "allele_counts_min_called": COUNTS + " SELECT * FROM counts WHERE called_chromosomes >= 10",
     "locus_totals": as_ctes("counts", "people") + """

@@ -28,7 +28,7 @@ from driftway.operators import (
 from driftway.operators.spectra import PAIR
 from driftway.plans import infer
 from driftway.plans.fixtures import frame
-from driftway.session import materialize
+from driftway.session import materialize, work_folder
 from driftway.sources import inventory, vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,35 @@ def vcf_allele_counts(spark, sf):
     return counted.drop("line_no")
 
 
+def vcf_files(spark: SparkSession, sf: str) -> list[str]:
+    """Folders of VCF files with that text: plain ones, then gzip-compressed ones that repeat every fifth locus otherwise."""
+    lines, header = vcf_text(spark, sf)
+    head = ["##source=genotype view", header.first()["header"]]
+    folder = work_folder(spark, "vcf-files")
+
+    def headed(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"value": head})
+        yield from batches
+
+    text = materialize(lines.select("value", "line_in_file"))
+    first = F.col("line_in_file") % 2 == 0
+    repeated = text.filter(first & (F.col("line_in_file") % 5 == 0)).withColumn("value", F.regexp_replace("value", "0/0", "1/1"))
+    parts = {"a": text.filter(first), "b": text.filter(~first).unionByName(repeated)}
+    for name, part in parts.items():
+        files = part.select("value").repartition(3).mapInArrow(headed, "value string")
+        files.write.option("compression", "none" if name == "a" else "gzip").text(f"{folder}/{name}")
+    return [f"{folder}/{name}" for name in parts]
+
+
+@query
+def vcf_file_counts(spark, sf):
+    """Counts of text files, plain and compressed; a locus that comes again keeps its first counts."""
+    counted = vcf.allele_counts_from_vcf(spark, vcf_files(spark, sf), frame(spark, sf, "popmap"))
+    return spectra.first_counts(counted).select("chrom", "pos", "ref", "alt", "population", "alt_count", "called_chromosomes")
+
+
 @query
 def allele_counts(spark, sf):
     return counting.count_calls(frame(spark, sf, "calls"))

@@ -49,6 +49,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if fits_in_broadcast(df, max_rows) else df
 
 
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share.")
+        base = _LOCAL.get("folder") or _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back, so that several branches share it and the plan ends there.
 
@@ -56,13 +67,7 @@ def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
     folder a cluster names. Only a local session may fall back to a temporary one.
     """
     spark = df.sparkSession
-    if folder is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share.")
-            base = _LOCAL.get("folder") or _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        folder = f"{base.rstrip('/')}/driftway-{uuid.uuid4().hex}"
+    folder = folder or work_folder(spark, "driftway")
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
