@@ -162,5 +162,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     if repeated.isEmpty():
         return kept
     same = kept["doc_id"].cast("long").eqNullSafe(repeated["_id"]) & (F.xxhash64(kept["text"]) == repeated["_hash"])
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
+    # by text too: under one id, or under no id, the winners of several groups differ in their texts
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(repeated, same, "left_anti").unionByName(once)

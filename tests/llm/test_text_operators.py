@@ -1,6 +1,7 @@
 """License scans, decontamination, SimHash groups and I-Match against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 import xxhash
 
 from driftway.llm import decontam, imatch, licenses, simhash
-from tests.llm.fixtures import docs, lowered, texts
+from tests.llm.fixtures import docs, lowered, prose, texts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -134,6 +135,13 @@ def test_simhash_groups(spark):
     assert kept.count() == len(set(names))
 
 
+def test_groups_that_share_an_id_keep_a_row_each(spark):
+    one, two = (prose(random.Random(k), 60, 1000 * k) for k in (1, 2))
+    for i in (None, 5):
+        kept = simhash.deduplicated(docs(spark, [(i, one), (i, two), (i, one), (i, two)])).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(i, one), (i, two)], key=repr)
+
+
 @pytest.mark.parametrize("limit", [0, 3, 1000])
 def test_links_are_complete_in_both_ways(spark, limit):
     rng = np.random.default_rng(8)
