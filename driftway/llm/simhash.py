@@ -153,7 +153,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat an id with the same text, one stays.
     """
-    found = written(_grouped(docs).select("doc_id", "text_hash", "root"), "groups")
+    return first_of_each(docs, written(_grouped(docs).select("doc_id", "text_hash", "root"), "groups"))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of ``docs`` that stands for each group, from (doc_id, text_hash, root) of every row."""
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("k"), "doc_id", "text_hash")).alias("w"))
     best = best.select(F.col("w.doc_id").alias("_id"), F.col("w.text_hash").alias("_hash"))
     mine, text_hash = docs["doc_id"].cast("long"), F.xxhash64(docs["text"])

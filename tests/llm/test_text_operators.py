@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from driftway.llm import decontam, imatch, licenses, simhash
+from driftway.llm import decontam, imatch, licenses, near_copies, simhash
 from tests.llm.fixtures import docs, lowered, prose, texts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -211,3 +211,39 @@ def test_imatch_band(spark):
     lexicon = set(imatch.lexicon_of(docs(spark, rows), low=0.1, high=0.5).tolist())
     want = {xxhash.xxh3_64_intdigest(f"word{k}".encode()) for k in range(3)}
     assert lexicon == want
+
+
+def five_word_shingles(text):
+    words = re.findall("[^\x20\x09-\x0D]+", lowered(text))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("limit", [0, 16])
+def test_near_copies_against_all_pairs(spark, limit):
+    rng = random.Random(8)
+    line = prose(rng, 12, 5000)
+    rows = texts()
+    for base in range(6):
+        words = (prose(rng, rng.choice([40, 150]), 400 * base) + " " + line).split()
+        for copy in range(9):
+            some = list(words)
+            for at in rng.sample(range(len(words)), copy * len(words) // 150):
+                some[at] = f"new{rng.randrange(10**6)}"
+            rows.append((100 + 10 * base + copy, " ".join(some)))
+    rng.shuffle(rows)
+    sets = [five_word_shingles(t) for _, t in rows]
+    names = list(range(len(rows)))
+    linked = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                linked += sets[a] != sets[b]
+                old, new = names[a], names[b]
+                names = [new if n == old else n for n in names]
+    assert linked > 20
+    best = {}
+    for (i, text), name in zip(rows, names):
+        best.setdefault(name, []).append((i is None, i or 0))
+    kept = near_copies.deduplicated(docs(spark, rows), limit=limit).collect()
+    assert len(kept) == len(best)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(map(min, best.values()))
