@@ -87,6 +87,20 @@ def test_decontamination(spark, block_words):
     assert kept.count() == sum(not w[5] for w in want)
 
 
+def test_benchmark_stays_on_executors(spark, monkeypatch):
+    words = prose(random.Random(9), 900).split()
+    benchmark = spark.createDataFrame([(1, " ".join(words)), (2, "no id at all")], "item_id long, text string")
+
+    def refuse(*_, **__):
+        raise AssertionError("texts of the benchmark reach the driver")
+
+    monkeypatch.setattr(type(benchmark), "toLocalIterator", refuse)
+    assert {len(piece) for piece in decontam._pieces(words, 13, 50)} <= set(range(13, 51))
+    rows = [(k, " ".join(words[k : k + 13])) for k in range(0, 880, 7)] + [(None, "no id at all here"), (5000, " ".join(words[:12]))]
+    found = decontam.scan(docs(spark, rows), benchmark, block_words=50).collect()
+    assert len(found) == len(rows) and all(r["n_hit"] == {None: 4, 5000: 0}.get(r["doc_id"], 13) for r in found)
+
+
 def test_winnowing_keeps_a_hash_of_every_shared_span():
     rng = np.random.default_rng(3)
     for _ in range(200):
