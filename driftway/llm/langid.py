@@ -124,16 +124,21 @@ class Profiles:
         return Bundler(self.dimensions, self.seed)
 
     def predict(self, bundler: Bundler, text: str | None) -> tuple[str, float]:
+        return self.judge(bundler, text)[:2]
+
+    def judge(self, bundler: Bundler, text: str | None) -> tuple[str, float, int]:
+        """The language, its cosine and the length class of the text: the whole part of log2 of its n-grams."""
         grams, counts = gram_counts(text)
         if not len(grams) or not self.languages:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         bundled = bundler.bundle(grams, counts)
         norm = float(np.sqrt(bundled @ bundled))
+        size = int(counts.sum()).bit_length() - 1
         if norm == 0:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, size
         cosines = self.prototypes @ bundled / norm
         best = int(np.argmax(np.round(cosines, 12)))  # the first name, on ties
-        return self.languages[best], float(min(1.0, max(0.0, cosines[best])))
+        return self.languages[best], float(min(1.0, max(0.0, cosines[best]))), size
 
 
 def train(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -> Profiles:
@@ -208,16 +213,50 @@ def predict(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     return map_batches(own, rows, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-#: A text whose cosine with the nearest prototype is below this is in none of the learned languages.
-LEAST_COSINE = 0.05
+#: No bound lies below this cosine: four standard deviations of that of unrelated bundles.
+LEAST_COSINE = 4 / DIMENSIONS**0.5
+#: Held-out texts of a language and length class from which it has a bound of its own.
+LEAST_TEXTS = 20
+#: A bound lies so many times the distance from the median to the lower quartile below the median: 3.4 standard
+#: deviations of a normal sample. Up to a quarter of mislabelled or broken texts hardly moves it.
+QUARTILES = 5
+
+
+def bounds(docs: DataFrame, profiles: Profiles, least: float = LEAST_COSINE) -> dict[tuple[str, int], float]:
+    """The least cosine of each language and length class, from held-out texts that are given their own language."""
+    held = docs.sparkSession.sparkContext.broadcast(profiles)
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & held_out(F.col("doc_id")))
+
+    def rows(batch):
+        found = [held.value.judge(_bundler(held.value), text) for text in batch.column(1).to_pylist()]
+        own = [lang == name for lang, (name, _, _) in zip(batch.column(0).to_pylist(), found)]
+        return {"lang": batch.column(0), "own": own, "score": [f[1] for f in found], "size": [f[2] for f in found]}
+
+    judged = map_batches(known.select("lang", "text"), rows, "lang string, own boolean, score double, size int").filter("own")
+    cuts = judged.groupBy("lang", "size").agg(F.count("*").alias("n"), F.percentile_approx("score", [0.25, 0.5], 10_000).alias("q"))
+    found = {}
+    for row in cuts.filter(F.col("n") >= LEAST_TEXTS).collect():
+        low, middle = row["q"]
+        found[row["lang"], row["size"]] = max(least, middle - QUARTILES * (middle - low))
+    return found
+
+
+def bound_of(found: dict[tuple[str, int], float], lang: str, size: int, least: float = LEAST_COSINE) -> float:
+    """The bound of the length class or, where it has none, of the nearest shorter one that has."""
+    return next((found[lang, k] for k in range(size, -1, -1) if (lang, k) in found), least)
 
 
 def accepted(docs: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """The rows of ``docs`` that are in one of the learned languages, with their own columns."""
-    held = docs.sparkSession.sparkContext.broadcast(train(docs))
+    """The rows of ``docs`` that are in one of the learned languages, with their own columns.
+
+    A text is in its nearest language when its cosine reaches what held-out texts of this language and of its length have.
+    """
+    profiles = train(docs)
+    held = docs.sparkSession.sparkContext.broadcast((profiles, bounds(docs, profiles, least)))
 
     def keep(texts):
-        found = [held.value.predict(_bundler(held.value), text) for text in texts]
-        return [lang != UNKNOWN and score >= least for lang, score in found]
+        own, found = held.value
+        judged = [own.judge(_bundler(own), text) for text in texts]
+        return [lang != UNKNOWN and score >= bound_of(found, lang, size, least) for lang, score, size in judged]
 
     return keep_batches(docs, "text", keep)

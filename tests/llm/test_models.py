@@ -83,6 +83,27 @@ def test_language_held_out_accuracy(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in found]) >= 0.97
 
 
+FOREIGN = [
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση.",
+    "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。",
+    "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+]
+
+
+def test_language_filter_drops_what_was_not_learned(spark):
+    table = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(FOREIGN)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in langid.accepted(table.unionByName(more)).select("doc_id").collect()}
+    assert not kept & {-1 - k for k in range(len(FOREIGN))}
+    clean = [r["doc_id"] for r in table.filter("length(text) >= 40").collect() if held(r["doc_id"])]
+    share = np.mean([i in kept for i in clean])
+    assert share >= 0.95
+
+
 def brute_marginals(model, page):
     found, kinds = html_tree.features(page)
     n = len(page.parents)
