@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -261,3 +262,18 @@ def test_near_copies_against_all_pairs(spark, limit):
     kept = near_copies.deduplicated(docs(spark, rows), limit=limit).collect()
     assert len(kept) == len(best)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(map(min, best.values()))
+
+
+def test_prefixes_against_a_long_list_take_no_time():
+    rng = np.random.default_rng(8)
+    common = np.unique(rng.integers(-(1 << 62), 1 << 62, 1_000_000))
+    sets = [np.unique(np.concatenate([rng.choice(common, 40), rng.integers(-(1 << 62), 1 << 62, 300)])) for _ in range(2_000)]
+    start = time.perf_counter()
+    got = [near_copies.prefix(found, common) for found in sets]
+    assert time.perf_counter() - start < 5  # the sort of the whole list for each set took over half an hour
+    for found, first in list(zip(sets, got))[:5]:
+        last = np.isin(found, common)
+        want = np.concatenate([found[~last], found[last]])[: len(found) - -(-4 * len(found) // 5) + 1]
+        assert first.tolist() == want.tolist()
+    assert near_copies.prefix(sets[0], common[:0]).tolist() == sets[0][: len(sets[0]) - -(-4 * len(sets[0]) // 5) + 1].tolist()
+    assert near_copies.prefix(sets[0][:0], common).tolist() == []
