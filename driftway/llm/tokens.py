@@ -41,14 +41,15 @@ def vocabulary() -> str:
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit integers, without special tokens."""
+    """Ids as little-endian unsigned 32-bit integers, none added; special tokens named in a text as the library has them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # names of special tokens in a text are ordinary text
+        #: Texts with a special token's name are encoded whole, so that the library decides where it stands.
+        self.named = tuple(token.content for token in self.tokenizer.get_added_tokens_decoder().values())
         self.size = self.tokenizer.get_vocab_size()
         self.line_end = int(self.whole("\n")[0])
         self.known: dict[str, bytes] = {}
@@ -79,7 +80,7 @@ class Encoder:
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         known = self.known
-        split = [pieces_of(text) if text else None for text in texts]
+        split = [pieces_of(text) if text and not any(name in text for name in self.named) else None for text in texts]
         parts = [list(map(known.get, pieces)) if pieces else None for pieces in split]
         new = {p for pieces, found in zip(split, parts) if pieces and None in found for p, part in zip(pieces, found) if part is None}
         made = self._learn(list(new))

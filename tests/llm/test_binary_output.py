@@ -25,6 +25,7 @@ def test_encoder_is_exact(plain):
     odd = [
         "", None, " ", "a", " a", "a ", "a  b", "x\n y", "x\ny", "don't 's 'S it's", "a b", "日本 語テ", "a\tb c", "٣ ² ½ x", "Ġ ĠĠ aĠ b",
         "x,. y", "_. a", "a.\nB,c\nD", ".a", "a\t.b", "1.2,3", "é. à, é. f", "don.'s ,x", "x\x01y z", "\nlead", "trail\n", "﻿a b",
+        "<|endoftext|>", "a<|endoftext|>b", "one <|endoftext|> two, three.", "<|endoftext|><|endoftext|> x", "<|endoftext|", "a <|endo ftext|> b",
     ]
     made = Encoder(vocabulary())
     for _ in range(2):  # new words, then known ones
