@@ -70,4 +70,15 @@ SELECT doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(len(ids), 0) n
        sha256(coalesce(array_to_string(ids, ','), '')) items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_hybrid_search": f"""
+WITH t AS (SELECT doc_id, unnest({_WORDS}) term FROM documents),
+p AS (SELECT doc_id, term, count(*) tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT n FROM p GROUP BY doc_id),
+a AS (SELECT count(*) nn, sum(n)::BIGINT ll FROM n),
+f AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT w FROM (SELECT term, count(*) df FROM p GROUP BY term), a),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_WORDS}) term FROM benchmark)),
+x AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::BIGINT score
+      FROM q JOIN f USING (term) JOIN p USING (term) JOIN n USING (doc_id), a GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER rank, doc_id, score
+FROM x WHERE score > 0 QUALIFY rank <= 10""",
 }
