@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftway import __version__
@@ -13,6 +13,8 @@ from driftway.functions.rates import nearly_equal
 from driftway.operators import metrics
 
 KEY = ["scenario", "replicate"]
+# Methods that one long has bits for.
+_BITS = 60
 NUMBERS = ("truth_m_a_to_b", "truth_m_b_to_a", "estimated_m_a_to_b", "estimated_m_b_to_a")
 
 
@@ -53,17 +55,57 @@ def _named_values(column: str) -> Column:
     return F.trim(F.col(column).cast("string"))
 
 
+def _method_bits(names: list[str]) -> list[Column]:
+    """A bit per method in longs of ``_BITS`` bits, set where a key has a row of it."""
+    words = []
+    for start in range(0, len(names), _BITS):
+        bit = F.lit(0).cast("long")
+        for k, name in enumerate(names[start : start + _BITS]):
+            bit = F.when(F.col("method").eqNullSafe(name), F.lit(1 << k)).otherwise(bit)
+        words.append(F.bit_or(bit).alias(f"_bits{start // _BITS}"))
+    return words
+
+
+def _none_first(key: tuple) -> list:
+    return [(v is not None, v) for v in key]
+
+
+def _check_key_sets(per_key: DataFrame, names: list[str], examples: int = 5) -> None:
+    """Raises where a method lacks keys of the first one or has others, with the smallest of them.
+
+    Keys that not all methods have are told apart by their bits alone, so one job with a few keys of each pattern
+    answers for every method.
+    """
+    words = range(-(-len(names) // _BITS))
+    full = [(1 << len(names[_BITS * k : _BITS * (k + 1)])) - 1 for k in words]
+    whole = F.lit(True)
+    for k in words:
+        whole = whole & (F.col(f"_bits{k}") == full[k])
+    order = Window.partitionBy(*[f"_bits{k}" for k in words]).orderBy(*KEY)
+    partial = per_key.filter(~whole).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= examples)
+    found = [(sum(row[f"_bits{k}"] << (_BITS * k) for k in words), tuple(row[c] for c in KEY)) for row in partial.collect()]
+    for k, name in enumerate(names[1:], 1):
+        missing = sorted((key for bits, key in found if bits & 1 and not bits >> k & 1), key=_none_first)[:examples]
+        extra = sorted((key for bits, key in found if bits >> k & 1 and not bits & 1), key=_none_first)[:examples]
+        if missing or extra:
+            raise ValueError(
+                f"the replicates of {name} are not those of {names[0]}: it lacks {missing} and has {extra} besides (up to {examples} each)."
+            )
+
+
 def matched_comparison(
     results: DataFrame, *, require_complete_match: bool = True, allow_mixed_estimands: bool = False
 ) -> DataFrame:
     """The results, after checking that all methods saw the same replicates and truths.
 
-    One aggregate by key serves both checks; only violations reach the driver.
+    One aggregate by key serves both checks: a bit per method tells which of them have
+    the key. Only violations reach the driver, five keys for each pattern of bits.
     """
     require_columns(results, [*KEY, *NUMBERS, "method"], "comparison results")
     truths = [c for c in NUMBERS if c.startswith("truth")]
+    names = [row[0] for row in results.select("method").distinct().orderBy("method").collect()]
     per_key = results.groupBy(*KEY).agg(
-        F.collect_set("method").alias("methods"),
+        *_method_bits(names),
         *[F.min(c).alias(f"low_{c}") for c in truths],
         *[F.max(c).alias(f"high_{c}") for c in truths],
         *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in truths],
@@ -80,19 +122,7 @@ def matched_comparison(
             f"methods disagree on simulation truth for scenario={scenario!r}, replicate={replicate!r}."
         )
     if require_complete_match:
-        names = [row[0] for row in results.select("method").distinct().orderBy("method").collect()]
-        partial = per_key.filter(F.size("methods") < len(names))
-        if partial.limit(1).count():
-            first = names[0]
-            for name in names[1:]:
-                here, there = F.array_contains("methods", name), F.array_contains("methods", first)
-                missing = first_values(partial.filter(there & ~here), *KEY)
-                extra = first_values(partial.filter(here & ~there), *KEY)
-                if missing or extra:
-                    raise ValueError(
-                        f"method benchmark keys are not matched: {name} differs from {first}; "
-                        f"missing examples={missing}, extra examples={extra}."
-                    )
+        _check_key_sets(per_key, names)
     if "estimand" in results.columns and not allow_mixed_estimands:
         named = results.select(_named_values("estimand").alias("estimand")).filter("estimand <> ''")
         found = [row[0] for row in first_values(named, "estimand", limit=100)]

@@ -1,17 +1,20 @@
 """Bootstrap resampling of loci or genomic blocks, and its summary.
 
-Draws are functions of (seed, replicate, draw) or of seeded generators per
-bucket, never of partitioning: a task that is run again repeats its draws.
+Draws are functions of hashes of (seed, replicate, draw, unit or tree node),
+never of partitioning: a task that is run again repeats its draws.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
+from math import factorial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftway.functions.checks import is_finite
+from driftway.operators.draws import multinomial_weights
 from driftway.operators.ranking import bucketed_rank
 from driftway.operators.spectra import CONFIGURATION, PAIR, configurations, project
 from driftway.session import materialize
@@ -21,8 +24,6 @@ _ORDINAL_BUCKET = 4096
 _DRAWS_PER_ROW = 10_000
 # Replicates carried side by side in one row.
 _LANES = 16
-# Units one multinomial task handles.
-_UNITS_PER_BUCKET = 50_000
 
 
 def resampling_unit_label(block_size_bp: int | None) -> str:
@@ -106,6 +107,63 @@ def resample_block_configurations(
     return project(drawn, chromosomes_a, chromosomes_b, [*keys, "replicate"], weight="weight")
 
 
+def poisson_ends() -> list[int]:
+    """Poisson(1) weights 0, 1, ... end at these values of a 48-bit draw: the whole part of 2**48 * P(weight <= k)."""
+    inverse = sum(Fraction((-1) ** k, factorial(k)) for k in range(40))  # 1 / e
+    return [int((1 << 48) * inverse * sum(Fraction(1, factorial(k)) for k in range(top + 1))) for top in range(17)]
+
+
+def unit_draw(seed: int | Column, replicate: Column, *names: str) -> Column:
+    """A 48-bit draw of the unit that ``names`` tell: the first 12 hex digits of md5("seed|replicate|name|...")."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed) if isinstance(seed, int) else seed, replicate, *names))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
+
+
+def poisson_weight(draw: Column) -> Column:
+    """The Poisson(1) weight of a draw, by inverting the distribution: no other unit is asked and none has a number."""
+    weight = F.lit(len(poisson_ends()))
+    for k, end in reversed(list(enumerate(poisson_ends()))):
+        weight = F.when(draw < end, k).otherwise(weight)
+    return weight
+
+
+def poisson_block_configurations(
+    blocks: DataFrame, replicates: int, seed: int, chromosomes_a: int, chromosomes_b: int,
+    keys: list[str] = PAIR, offsets: DataFrame | None = None,
+) -> DataFrame:
+    """Replicate spectra of a Poisson block bootstrap: (keys, replicate, i, j, mass).
+
+    Each block has a Poisson(1) weight of its own in each replicate, a function of (seed, keys, replicate, chrom, block).
+    So a replicate has as many blocks as were given on average, with the variance of that number, and a block's weights
+    have the distribution that drawing with replacement tends to with many blocks. Nothing is numbered, sampled or joined:
+    the weights are computed where the block's configurations meet, and these are added up at once. A replicate in which
+    no block has weight has no rows.
+    """
+    if replicates < 2:
+        raise ValueError("two replicates at least are needed.")
+    usable = blocks.filter((F.col("n_a") >= chromosomes_a) & (F.col("n_b") >= chromosomes_b))
+    if offsets is not None:
+        usable = usable.join(offsets, keys)
+    offset = [F.first("seed_offset").alias("seed_offset")] if offsets is not None else []
+    # the configurations of a window are few, and each is in it once
+    held = usable.groupBy(*keys, "chrom", "block").agg(F.collect_list(F.struct(*CONFIGURATION, "loci")).alias("held"), *offset)
+    of = F.lit(seed) + F.col("seed_offset") if offsets is not None else seed
+    lanes = [f"_w{k}" for k in range(min(_LANES, replicates))]
+    groups = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // _LANES))).alias("_group")
+    names = [*keys, "chrom", "block"]
+    drawn = held.select("*", groups).select(
+        *keys, "_group", "held", *[unit_draw(of, F.col("_group") * _LANES + k, *names).alias(w) for k, w in enumerate(lanes)]
+    )
+    weights = [
+        F.when(F.col("_group") * _LANES + k < replicates, poisson_weight(F.col(w))).otherwise(0).alias(w) for k, w in enumerate(lanes)
+    ]
+    weighted = drawn.select(*keys, "_group", "held", *weights)
+    rows = weighted.select(*keys, "_group", *lanes, F.explode("held").alias("c")).select(*keys, "_group", *lanes, "c.*")
+    summed = rows.groupBy(*keys, "_group", *CONFIGURATION).agg(*[F.sum(F.col(w) * F.col("loci")).alias(w) for w in lanes])
+    drawn = _spread(summed, lanes, [*keys, *CONFIGURATION], "weight")
+    return project(drawn, chromosomes_a, chromosomes_b, [*keys, "replicate"], weight="weight")
+
+
 def _drawn_blocks(rows: DataFrame, replicates: int, seed: int, keys: list[str], offsets: DataFrame | None):
     """Rows of blocks with one column of draws per lane, and the names of these columns."""
     ordinals = materialize(block_ordinals(rows, keys))
@@ -131,96 +189,6 @@ def _spread(summed: DataFrame, lanes: list[str], keep: list[str], value: str) ->
     )
 
 
-def multinomial_weights(
-    units: DataFrame,
-    keys: list[str],
-    unit: list[str],
-    count: str,
-    replicates: int,
-    seed: int,
-    units_per_bucket: int = _UNITS_PER_BUCKET,
-) -> DataFrame:
-    """Bootstrap weights of counted units: (keys, unit, replicate, weight), zero weights left out.
-
-    Drawing n members with replacement makes the unit totals multinomial with
-    probabilities count / n, so loci that share a configuration are drawn as one
-    unit. A multinomial splits exactly into bucket totals and draws inside each
-    bucket; no task sees more than one bucket of a key and a few replicates. The
-    number of buckets follows from a key's own number of units and is part of its
-    seed: other keys of the run do not change its draws.
-    """
-    if replicates < 2:
-        raise ValueError("replicates must be at least 2.")
-    sizes = units.groupBy(*keys).agg(F.ceil(F.count("*") / units_per_bucket).cast("int").alias("_buckets"))
-    counted = units.select(*keys, *unit, F.col(count).cast("long").alias("_count"))
-    if keys:
-        counted = counted.join(sizes, keys)
-    else:
-        counted = counted.withColumn("_buckets", F.lit(max(1, sizes.first()[0])))
-    placed = counted.withColumn("_bucket", F.pmod(F.xxhash64(*unit), F.col("_buckets").cast("long"))).drop("_buckets")
-    stream = F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("long")
-    chunks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // _LANES))).alias("_chunk")
-    totals = placed.groupBy(*keys, "_bucket").agg(F.sum("_count").alias("_total")).withColumn("_stream", stream)
-    totals = totals.select("*", chunks)
-    placed = placed.select("*", chunks)
-
-    def type_of(name: str) -> str:
-        return units.schema[name].dataType.simpleString()
-
-    key_types = [f"`{k}` {type_of(k)}" for k in keys]
-    unit_types = [f"`{u}` {type_of(u)}" for u in unit]
-
-    def share_out(frame):
-        import numpy as np
-        import pandas as pd
-
-        frame = frame.sort_values("_bucket", ignore_index=True)
-        size = int(frame["_total"].sum())
-        entropy = [seed & 0xFFFFFFFF, int(frame["_stream"].iloc[0]) & 0xFFFFFFFFFFFFFFFF]
-        parts = []
-        first = int(frame["_chunk"].iloc[0]) * _LANES
-        for replicate in range(first, min(first + _LANES, replicates)):
-            rng = np.random.default_rng([*entropy, replicate])
-            part = frame.drop(columns=["_total"]).copy()
-            part["replicate"] = replicate
-            part["_drawn"] = rng.multinomial(size, frame["_total"].to_numpy() / size)
-            parts.append(part)
-        return pd.concat(parts, ignore_index=True)
-
-    shares = totals.groupBy(*keys, "_chunk").applyInPandas(
-        share_out, ", ".join([*key_types, "_bucket long", "_stream long", "_chunk int", "replicate int", "_drawn long"])
-    )
-
-    def draw_inside(members, drawn):
-        import numpy as np
-        import pandas as pd
-
-        members = members.sort_values(unit, ignore_index=True)
-        odds = members["_count"].to_numpy(dtype=float)
-        odds = odds / odds.sum()
-        parts = []
-        for row in drawn.sort_values("replicate").itertuples(index=False):
-            values = dict(zip(drawn.columns, row))
-            entropy = [seed & 0xFFFFFFFF, int(values["_stream"]) & 0xFFFFFFFFFFFFFFFF]
-            rng = np.random.default_rng([*entropy, int(values["replicate"]), 1 + int(values["_bucket"])])
-            weight = rng.multinomial(int(values["_drawn"]), odds)
-            hit = weight > 0
-            part = members.loc[hit, [*keys, *unit]].copy()
-            part["replicate"] = int(values["replicate"])
-            part["weight"] = weight[hit]
-            parts.append(part)
-        if not parts:
-            part = members.loc[[], [*keys, *unit]].copy()
-            return part.assign(replicate=0, weight=0)
-        return pd.concat(parts, ignore_index=True)
-
-    return (
-        placed.groupBy(*keys, "_bucket", "_chunk")
-        .cogroup(shares.groupBy(*keys, "_bucket", "_chunk"))
-        .applyInPandas(draw_inside, ", ".join([*key_types, *unit_types, "replicate int", "weight long"]))
-    )
-
-
 def resample_loci(
     configs: DataFrame, replicates: int, seed: int, chromosomes_a: int, chromosomes_b: int
 ) -> DataFrame:
@@ -233,7 +201,7 @@ def resample_loci(
     few = F.raise_error(F.lit("at least two usable loci are required for bootstrap.")).cast("boolean")
     enough = loci.filter(F.when(F.col("n") >= 2, F.lit(True)).otherwise(few)).select(*PAIR)
     weights = multinomial_weights(
-        usable.join(enough, PAIR, "left_semi"), PAIR, CONFIGURATION, "loci", replicates, seed
+        usable.join(enough, PAIR, "left_semi"), PAIR, CONFIGURATION, "loci", replicates, seed, slots=[F.col("n_a"), F.col("x_a")]
     )
     return project(weights, chromosomes_a, chromosomes_b, [*PAIR, "replicate"], weight="weight")
 

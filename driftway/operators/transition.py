@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftway.functions.checks import enforce, in_unit_interval, require_columns
-from driftway.operators.resample import bootstrap_summary, multinomial_weights
+from driftway.functions.checks import enforce, in_unit_interval, is_finite, require_columns
+from driftway.operators.draws import multinomial_weights
+from driftway.operators.resample import bootstrap_summary
+from driftway.session import materialize
 
 FREQUENCIES = ("p_a_initial", "p_b_initial", "p_a_final", "p_b_final")
 DIRECTIONS = ("a_to_b", "b_to_a")
 
 _FLOOR = 1e-12
 _END = 1e-9
-_MAX_STEPS = 60
-_WIDTH = 1e-10
+_SLOTS = 4096
+# Points inside a bracket in each pass of a search, and passes: (48 + 1) ** 3 is about 1e5.
+_POINTS, _PASSES = 48, 3
 
 
 def checked_frequencies(loci: DataFrame) -> DataFrame:
@@ -74,87 +77,70 @@ def transition_scan(loci: DataFrame, ne_a: int, ne_b: int, rates: list[float]) -
     return totals.select("direction", F.explode(cells).alias("c")).select("direction", "c.*")
 
 
-def _maximise(observed: DataFrame, groups: list, weight: Column | None = None) -> list[tuple]:
-    """(group, direction, m, log-likelihood, settled) with m in [0, 1] maximising the summed likelihood.
+def _slope(m: Column, weight: Column) -> Column:
+    """Summed slope of the log-likelihood at ``m``; a locus at the floor of its expectation has none."""
+    e = _expected(m)
+    step = F.when((e > _FLOOR) & (e < 1.0 - _FLOOR), F.col("source") - F.col("recipient")).otherwise(0.0)
+    return F.sum(weight * step * (F.col("count") / e - (F.col("size") - F.col("count")) / (1.0 - e)))
+
+
+def _narrowed(points: Column) -> list[Column]:
+    """low, high and the slopes there, from sorted points (k, m, slope): the last that rises and the one after it."""
+    rising = F.size(F.filter(F.slice(points, 2, _POINTS), lambda x: x["slope"] > 0))
+    low, high = F.element_at(points, rising + 1), F.element_at(points, rising + 2)
+    return [low["m"].alias("low"), high["m"].alias("high"), low["slope"].alias("rise"), high["slope"].alias("fall")]
 
-    The log-likelihood is concave in m, so its slope brackets the maximum and a
-    Newton step inside the bracket converges in a few passes. A pass is one
-    aggregate for all groups and directions; the driver only keeps their brackets,
-    one per replicate and direction. A bracket that is still open after the last
-    pass gives its latest point and ``settled`` false.
+
+def maximise(observed: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
+    """keys, direction, m in [0, 1] that maximises the summed likelihood, and the log-likelihood there.
+
+    The log-likelihood is concave in m, so its slope tells on which side of a point the maximum lies. A pass is one
+    aggregate: it takes the slope at ``_POINTS`` points inside every bracket of all keys and directions and keeps the
+    interval where the sign changes, which is 49 times narrower. ``_PASSES`` passes narrow [0, 1] to 1e-5; inside the last
+    interval the slope is taken as straight, which leaves about the square of that. Brackets are a small table, a row per key and direction, that the next pass
+    broadcasts; the driver sees none of them. ``observed`` is read once a pass, so give a written table.
     """
-    spark = observed.sparkSession
     w = F.lit(1.0) if weight is None else weight
-    m = F.col("m")
-    e = _expected(m)
-    step = F.when((e > _FLOOR) & (e < 1.0 - _FLOOR), F.col("source") - F.col("recipient")).otherwise(0.0)
-    rest = F.col("size") - F.col("count")
-    slope = F.sum(w * step * (F.col("count") / e - rest / (1.0 - e)))
-    bend = F.sum(-w * step * step * (F.col("count") / (e * e) + rest / ((1.0 - e) * (1.0 - e))))
-
-    def evaluate(points: dict, *values: Column) -> dict:
-        rows = [(g, d, float(x)) for (g, d), x in points.items()]
-        at = spark.createDataFrame(rows, "group int, direction string, m double")
-        # As many rows as replicates times two.
-        met = observed.join(F.broadcast(at), ["group", "direction"])
-        found = met.groupBy("group", "direction").agg(*values).collect()
-        return {(r[0], r[1]): tuple(r[2:]) for r in found}
-
-    # Just inside the ends, where a locus fixed at the start still has a slope.
-    keys = [(g, d) for g in groups for d in DIRECTIONS]
-    change = F.col("source") - F.col("recipient")
-    moved = F.col("count") / F.col("size") - F.col("recipient")
-    at_zero = evaluate(
-        {k: _END for k in keys}, slope, F.sum(w * change * moved), F.sum(w * change * change)
-    )
-    at_one = evaluate({k: 1.0 - _END for k in keys}, slope)
-    best, open_at = {}, {}
-    for key in keys:
-        if key not in at_zero or at_zero[key][0] <= 0:
-            best[key] = 0.0
-        elif at_one[key][0] >= 0:
-            best[key] = 1.0
-        else:
-            _, across, along = at_zero[key]  # least squares gives the first guess
-            guess = across / along if along > 0 else 0.5
-            open_at[key] = (0.0, 1.0, min(max(guess, 1e-4), 1.0 - 1e-4))
-    for _ in range(_MAX_STEPS):
-        if not open_at:
-            break
-        found = evaluate({k: b[2] for k, b in open_at.items()}, slope, bend)
-        still = {}
-        for key, (low, high, x) in open_at.items():
-            rise, curve = found[key]
-            low, high = (x, high) if rise > 0 else (low, x)
-            target = x - rise / curve if curve < 0 else 0.5 * (low + high)
-            if not low < target < high:
-                target = 0.5 * (low + high)
-            if rise == 0 or abs(target - x) < _WIDTH or high - low < _WIDTH:
-                best[key] = x if rise == 0 else target
-            else:
-                still[key] = (low, high, target)
-        open_at = still
-    unsettled = set(open_at)
-    best.update({k: b[2] for k, b in open_at.items()})
-    likelihood = evaluate(best, F.sum(w * _log_likelihood(m)))
-    return [(g, d, best[g, d], likelihood.get((g, d), (None,))[0], (g, d) not in unsettled) for g, d in keys]
+    at = [*keys, "direction"]
+    listed = F.sort_array(F.collect_list(F.struct("k", "m", "slope"))).alias("p")  # a row per point of a bracket
+    # the first pass looks just inside the ends, where a locus fixed at the start still has a slope
+    places = [_END, *[k / (_POINTS + 1) for k in range(1, _POINTS + 1)], 1.0 - _END]
+    points = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("m")) for k, m in enumerate(places)])).alias("x")
+    slopes = observed.select("*", points).select("*", "x.*").groupBy(*at, "k", "m").agg(_slope(F.col("m"), w).alias("slope"))
+    found = slopes.groupBy(*at).agg(listed).select(*at, *_narrowed(F.col("p")))
+    # at an end of [0, 1] the maximum is the end itself
+    first, last = F.col("low") == _END, F.col("high") == 1.0 - _END
+    end = F.when(first & (F.col("rise") <= 0), F.lit(0.0)).when(last & (F.col("fall") >= 0), F.lit(1.0))
+    brackets = found.select(*at, F.coalesce(end, "low").alias("low"), F.coalesce(end, "high").alias("high"), "rise", "fall")
+    bracket = [*at, "low", "high", "rise", "fall"]
+    for _ in range(_PASSES - 1):
+        met = observed.join(F.broadcast(brackets), at)  # as many rows as keys times two
+        asked = met.select("*", F.explode(F.sequence(F.lit(1), F.lit(_POINTS))).alias("k")).withColumn(
+            "m", F.col("low") + F.col("k") * ((F.col("high") - F.col("low")) / (_POINTS + 1))
+        )
+        slopes = asked.groupBy(*bracket, "k", "m").agg(_slope(F.col("m"), w).alias("slope"))
+        sides = [F.array(F.struct(F.lit(k).alias("k"), F.col(m).alias("m"), F.col(x).alias("slope"))) for k, m, x in ((0, "low", "rise"), (_POINTS + 1, "high", "fall"))]
+        brackets = slopes.groupBy(*bracket).agg(listed).select(*at, *_narrowed(F.concat(sides[0], "p", sides[1])))
+    width = F.col("high") - F.col("low")
+    straight = F.when((F.col("rise") > 0) & (F.col("fall") < 0), F.col("rise") / (F.col("rise") - F.col("fall"))).otherwise(0.5)
+    found = brackets.select(*at, (F.col("low") + width * straight).alias("m"))
+    met = observed.join(F.broadcast(found), at)
+    return met.groupBy(*at).agg(F.first("m").alias("m"), F.sum(w * _log_likelihood(F.col("m"))).alias("log_likelihood"))
+
+
+def _both_directions(found: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, m_a_to_b, m_b_to_a and the joint log-likelihood."""
+    rate = {d: F.max(F.when(F.col("direction") == d, F.col("m"))).alias(f"m_{d}") for d in DIRECTIONS}
+    return found.groupBy(*keys).agg(*rate.values(), F.sum("log_likelihood").alias("log_likelihood"))
 
 
 def estimate_one_generation(loci: DataFrame, ne_a: int, ne_b: int) -> DataFrame:
-    """One row: m_a_to_b, m_b_to_a, their joint log-likelihood, and success: both searches settled."""
+    """One row: m_a_to_b, m_b_to_a, their joint log-likelihood, and success: both rates have a finite one."""
     if not loci.limit(1).count():
-        raise ValueError("frequency table must not be empty.")
-    observed = directed_observations(checked_frequencies(loci), ne_a, ne_b).withColumn("group", F.lit(0))
-    observed = observed.persist()
-    try:
-        found = {d: rest for _, d, *rest in _maximise(observed, [0])}
-    finally:
-        observed.unpersist()
-    (m_ab, ll_ab, settled_ab), (m_ba, ll_ba, settled_ba) = found["a_to_b"], found["b_to_a"]
-    return loci.sparkSession.createDataFrame(
-        [(m_ab, m_ba, ll_ab + ll_ba, settled_ab and settled_ba)],
-        "m_a_to_b double, m_b_to_a double, log_likelihood double, success boolean",
-    )
+        raise ValueError("there are no loci to estimate from.")
+    observed = materialize(directed_observations(checked_frequencies(loci), ne_a, ne_b))
+    found = _both_directions(maximise(observed, []), [])
+    return found.withColumn("success", F.coalesce(is_finite(F.col("log_likelihood")), F.lit(False)))
 
 
 def bootstrap_estimates(
@@ -166,18 +152,12 @@ def bootstrap_estimates(
     first and drawn as one unit.
     """
     kinds = checked_frequencies(loci).groupBy(*FREQUENCIES).agg(F.count("*").alias("loci"))
-    weights = multinomial_weights(kinds, [], list(FREQUENCIES), "loci", replicates, seed)
-    observed = directed_observations(weights, ne_a, ne_b, keep=["replicate", "weight"])
-    observed = observed.withColumnRenamed("replicate", "group").persist()
-    try:
-        found = _maximise(observed, list(range(replicates)), F.col("weight"))
-    finally:
-        observed.unpersist()
-    rates: dict = {}
-    for replicate, direction, m, _, settled in found:
-        rates.setdefault(replicate, {})[direction] = m if settled else None  # not finite: an unsuccessful replicate
-    rows = [(r, v["a_to_b"], v["b_to_a"]) for r, v in sorted(rates.items())]
-    return loci.sparkSession.createDataFrame(rows, "replicate int, m_a_to_b double, m_b_to_a double")
+    # numbered inside slots of the first frequency, so that no window holds all kinds
+    slots = [F.floor(F.col(FREQUENCIES[0]) * _SLOTS)]
+    weights = multinomial_weights(kinds, [], list(FREQUENCIES), "loci", replicates, seed, slots=slots)
+    observed = materialize(directed_observations(weights, ne_a, ne_b, keep=["replicate", "weight"]))
+    found = _both_directions(maximise(observed, ["replicate"], F.col("weight")), ["replicate"])
+    return found.select("replicate", "m_a_to_b", "m_b_to_a")
 
 
 def bootstrap_one_generation(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal, localcontext
+
 from driftway.plans.fixtures import as_ctes
 
 SIZE = 8
@@ -117,6 +119,86 @@ replicate_cells AS (
   SELECT {PAIR}, replicate, i, j, sum(weight * mass) AS mass
   FROM weights JOIN ordinals USING ({PAIR}, ordinal) JOIN block_cells USING ({PAIR}, chrom, block) GROUP BY ALL)"""
 
+def _poisson_ends() -> str:
+    """Where Poisson(1) weights 0, 1, ... end on a scale of 2**48."""
+    with localcontext(prec=60):
+        share, total, ends = Decimal(-1).exp(), Decimal(0), []
+        for k in range(17):
+            total += share
+            share /= k + 1
+            ends.append(int(total * 2**48))
+    return str(ends)
+
+
+POISSON_CELLS = BLOCK_CELLS + f""",
+drawn AS (
+  SELECT *, CAST(concat('0x', substr(md5(concat_ws('|', 42, replicate, {PAIR}, chrom, block)), 1, 12)) AS BIGINT) AS draw
+  FROM (SELECT DISTINCT {PAIR}, chrom, block FROM block_cells) CROSS JOIN (SELECT unnest(range(0, {REPLICATES})) AS replicate)),
+weights AS (SELECT *, len(list_filter({_poisson_ends()}, lambda e: e <= draw)) AS weight FROM drawn),
+replicate_cells AS (
+  SELECT {PAIR}, replicate, i, j, sum(weight * mass) AS mass
+  FROM weights JOIN block_cells USING ({PAIR}, chrom, block) WHERE weight > 0 GROUP BY ALL)"""
+
+_MASK = "18446744073709551616::UHUGEINT"
+
+
+def _mixed(x: str) -> str:
+    """A 64-bit mix of an unsigned number."""
+
+    def times(y: str, factor: int) -> str:
+        return f"(({y}::UHUGEINT * {factor}::UHUGEINT) % {_MASK})::UBIGINT"
+
+    one = times(f"xor({x}, {x} >> 30)", 0xBF58476D1CE4E5B9)
+    return f"(SELECT xor(b, b >> 31) FROM (SELECT {times('xor(a, a >> 27)', 0x94D049BB133111EB)} AS b FROM (SELECT {one} AS a)))"
+
+
+def _tree_draws(units: str, keys: str, order: str, replicates: int, levels: int = 15, seed: int = 42) -> str:
+    """Multinomial draws of the rows of ``units`` (keys, unit, c): a binary tree of binomials inverted at hashes.
+
+    The last table, ``drawn``, has the rows of ``units`` with replicate and weight.
+    """
+    by = f"{keys}, " if keys else ""
+    using = f"{keys}, " if keys else ""
+    named = f"concat_ws('|', {seed}, {keys})" if keys else f"'{seed}'"
+    part = f"PARTITION BY {keys}" if keys else ""
+    out = f""",
+leaves AS MATERIALIZED (SELECT *, row_number() OVER ({part} ORDER BY {order}) - 1 AS idx FROM {units}),
+t0 AS MATERIALIZED (SELECT {by}idx, c AS total FROM leaves)"""
+    for level in range(1, levels + 1):
+        out += f""",
+t{level} AS MATERIALIZED (SELECT {by}idx // 2 AS idx, CAST(sum(total) AS BIGINT) AS total FROM t{level - 1} GROUP BY ALL)"""
+    out += f""",
+d{levels} AS MATERIALIZED (
+  SELECT {by}replicate, idx, total AS n, {_mixed('(stream + replicate)::UBIGINT')} AS own
+  FROM (SELECT *, CAST(concat('0x', substr(md5({named}), 1, 15)) AS BIGINT) AS stream,
+               unnest(range(0, {replicates})) AS replicate FROM t{levels}))"""
+    for level in range(levels, 0, -1):
+        at = f"((own::UHUGEINT + {level << 40}::UHUGEINT + idx::UHUGEINT) % {_MASK})::UBIGINT"
+        out += f""",
+p{level} AS MATERIALIZED (
+  SELECT {by}replicate, idx, n, own, coalesce(b.total, 0) / a.total AS p, ({_mixed(at)} >> 12)::DOUBLE / 4503599627370496 + 0.5 / 4503599627370496 AS u
+  FROM d{level} JOIN t{level} a USING ({using}idx) LEFT JOIN (SELECT {by}idx // 2 AS idx, total FROM t{level - 1} WHERE idx % 2 = 0) b USING ({using}idx)),
+k{level} AS (
+  SELECT {by}replicate, idx, count(*) FILTER (cdf < u) + min(k) AS k
+  FROM (SELECT *, sum(w) OVER (PARTITION BY {by}replicate, idx ORDER BY k) / sum(w) OVER (PARTITION BY {by}replicate, idx) AS cdf
+        FROM (SELECT *, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)) AS w
+              FROM (SELECT *, unnest(range(CAST(greatest(floor(n * p - 12 * sqrt(n * p * (1 - p)) - 20), 0) AS BIGINT),
+                                           CAST(least(ceil(n * p + 12 * sqrt(n * p * (1 - p)) + 20), n) AS BIGINT) + 1)) AS k
+                    FROM p{level} WHERE p > 0 AND p < 1))) GROUP BY ALL),
+d{level - 1} AS MATERIALIZED (
+  SELECT {by}replicate, child.idx AS idx, child.n AS n, own FROM (
+    SELECT {by}replicate, own, unnest([{{'idx': 2 * idx, 'n': k}}, {{'idx': 2 * idx + 1, 'n': n - k}}]) AS child FROM (
+      SELECT q.*, coalesce(k.k, CASE WHEN p > 0 THEN n ELSE 0 END) AS k FROM p{level} q LEFT JOIN k{level} k USING ({using}replicate, idx)))
+  WHERE child.n > 0)"""
+    return out + f""",
+drawn AS (SELECT leaves.*, replicate, n AS weight FROM leaves JOIN d0 USING ({using}idx))"""
+
+
+LOCUS_CELLS = SHARED + f""",
+units AS (SELECT {PAIR}, n_a, x_a, n_b, x_b, count(*) AS c FROM shared WHERE n_a >= {SIZE} AND n_b >= {SIZE} GROUP BY ALL)""" + _tree_draws(
+    "units", PAIR, "n_a, x_a, n_b, x_b", REPLICATES
+) + _cells("drawn", f"{PAIR}, replicate", "replicate_cells", "weight")
+
 DISTANCES = as_ctes("places") + f""",
 pairs AS (SELECT a.population AS population_a, b.population AS population_b, a.ord AS ord_a, b.ord AS ord_b,
                  {_haversine('a', 'b')} AS distance_km FROM places a JOIN places b ON a.ord < b.ord),
@@ -387,6 +469,12 @@ ORACLE: dict[str, str] = {
                FROM genotypes WHERE {VALID_GENOTYPE})
       SELECT chrom, pos, 'A' AS ref, 'G' AS alt, population, CAST(sum(alt_n) AS BIGINT) AS alt_count,
              CAST(sum(called) AS BIGINT) AS called_chromosomes FROM read GROUP BY ALL""",
+    "vcf_block_gzip_counts": as_ctes("genotypes") + f""",
+      read AS (SELECT *, CASE gt WHEN '0/0' THEN 0 WHEN '1/1' THEN 2 ELSE 1 END AS alt_n,
+                      CASE gt WHEN '1' THEN 1 WHEN '0/0/1' THEN 3 ELSE 2 END AS called
+               FROM genotypes WHERE {VALID_GENOTYPE})
+      SELECT chrom, pos, 'A' AS ref, 'G' AS alt, population, CAST(sum(alt_n) AS BIGINT) AS alt_count,
+             CAST(sum(called) AS BIGINT) AS called_chromosomes FROM read GROUP BY ALL""",
     "allele_counts": COUNTS + " SELECT * FROM counts",
     "allele_counts_min_called": COUNTS + " SELECT * FROM counts WHERE called_chromosomes >= 10",
     "locus_totals": as_ctes("counts", "people") + """
@@ -428,6 +516,18 @@ ORACLE: dict[str, str] = {
       FROM (SELECT DISTINCT k, {PAIR}, distance_km FROM near, (SELECT unnest([2, 3, 4, 5]) AS k) WHERE r <= k) GROUP BY k""",
 }
 
+BOOTSTRAP_SUMMARY = f""",
+      estimates AS (SELECT {PAIR}, replicate, 0.02 + 0.002 * sum(j * mass) / sum(mass) AS ab,
+                           0.005 + 0.0005 * sum(i * mass) / sum(mass) AS ba FROM replicate_cells GROUP BY ALL)
+      SELECT {PAIR}, round(avg(ab), 8) AS m_a_to_b_mean, round(quantile_cont(ab, 0.025), 8) AS m_a_to_b_lower,
+             round(quantile_cont(ab, 0.975), 8) AS m_a_to_b_upper, round(avg(ba), 8) AS m_b_to_a_mean,
+             round(quantile_cont(ba, 0.025), 8) AS m_b_to_a_lower, round(quantile_cont(ba, 0.975), 8) AS m_b_to_a_upper,
+             round({_share('ab > ba')}, 8) AS probability_a_to_b_stronger, count(*) AS successful_replicates,
+             CAST({REPLICATES} AS BIGINT) AS attempted_replicates,
+             CASE WHEN avg(ab) >= avg(ba) THEN round({_share('ab > ba')}, 8) ELSE round(1 - {_share('ab > ba')}, 8) END
+               AS preferred_direction_support
+      FROM estimates GROUP BY ALL"""
+
 RETENTION = PAIRS + f""",
 sizes AS (SELECT unnest(range(2, (SELECT max(called_chromosomes) FROM counts) + 1, 2)) AS size),
 pair_sizes AS (SELECT {PAIR}, size FROM pairs CROSS JOIN sizes),
@@ -454,17 +554,11 @@ ORACLE |= {
     + f" SELECT {PAIR}, CAST(replicate AS INTEGER) AS replicate, ordinal, weight FROM weights",
     "bootstrap_spectra": REPLICATE_CELLS + f"""
       SELECT {PAIR}, CAST(replicate AS INTEGER) AS replicate, i, j, round(mass, 6) AS mass FROM replicate_cells""",
-    "bootstrap_summary": REPLICATE_CELLS + f""",
-      estimates AS (SELECT {PAIR}, replicate, 0.02 + 0.002 * sum(j * mass) / sum(mass) AS ab,
-                           0.005 + 0.0005 * sum(i * mass) / sum(mass) AS ba FROM replicate_cells GROUP BY ALL)
-      SELECT {PAIR}, round(avg(ab), 8) AS m_a_to_b_mean, round(quantile_cont(ab, 0.025), 8) AS m_a_to_b_lower,
-             round(quantile_cont(ab, 0.975), 8) AS m_a_to_b_upper, round(avg(ba), 8) AS m_b_to_a_mean,
-             round(quantile_cont(ba, 0.025), 8) AS m_b_to_a_lower, round(quantile_cont(ba, 0.975), 8) AS m_b_to_a_upper,
-             round({_share('ab > ba')}, 8) AS probability_a_to_b_stronger, count(*) AS successful_replicates,
-             CAST({REPLICATES} AS BIGINT) AS attempted_replicates,
-             CASE WHEN avg(ab) >= avg(ba) THEN round({_share('ab > ba')}, 8) ELSE round(1 - {_share('ab > ba')}, 8) END
-               AS preferred_direction_support
-      FROM estimates GROUP BY ALL""",
+    "bootstrap_summary": REPLICATE_CELLS + BOOTSTRAP_SUMMARY,
+    "poisson_bootstrap_spectra": POISSON_CELLS + f"""
+      SELECT {PAIR}, CAST(replicate AS INTEGER) AS replicate, i, j, round(mass, 6) AS mass FROM replicate_cells""",
+    "poisson_bootstrap_summary": POISSON_CELLS + BOOTSTRAP_SUMMARY,
+    "locus_bootstrap_summary": LOCUS_CELLS + BOOTSTRAP_SUMMARY.replace(", 8)", ", 6)"),
     "locus_bootstrap_mass": SHARED + f"""
       SELECT {PAIR}, CAST(unnest(range(0, {REPLICATES})) AS INTEGER) AS replicate, mass FROM (
         SELECT {PAIR}, CAST(count(*) AS DOUBLE) AS mass FROM shared WHERE n_a >= {SIZE} AND n_b >= {SIZE} GROUP BY ALL)""",
@@ -498,7 +592,41 @@ likelihood{k} AS (
   FROM mixed{k} GROUP BY ALL)"""
 
 
+BOOTSTRAPPED = 10
+_FOUR = "p_a_initial, p_b_initial, p_a_final, p_b_final"
+
+
+def _replicate_rates() -> str:
+    """The best rate per direction and replicate, by three grids, each around the best rate of the one before."""
+    out = as_ctes("frequencies") + f""",
+kinds AS (SELECT {_FOUR}, count(*) AS c FROM frequencies GROUP BY ALL)""" + _tree_draws("kinds", "", _FOUR, BOOTSTRAPPED) + f""",
+seen AS (
+  SELECT 'a_to_b' AS direction, replicate, p_a_initial AS s, p_b_initial AS r, round_even(p_b_final * {2 * NE}, 0) AS c, weight FROM drawn
+  UNION ALL SELECT 'b_to_a', replicate, p_b_initial, p_a_initial, round_even(p_a_final * {2 * NE}, 0), weight FROM drawn),
+observed AS MATERIALIZED (SELECT direction, replicate, s, r, c, sum(weight) AS weight FROM seen GROUP BY ALL),
+g0 AS (SELECT DISTINCT direction, replicate, unnest(range(0, 1001)) / 10000 AS m FROM observed)"""
+    for k, width in enumerate((1e-6, 1e-8, None)):
+        out += f""",
+e{k} AS (SELECT direction, replicate, m, c, weight, least(greatest((1 - m) * r + m * s, 1e-12), 1 - 1e-12) AS e
+         FROM observed JOIN g{k} USING (direction, replicate)),
+l{k} AS (SELECT direction, replicate, m, sum(weight * (CASE WHEN c > 0 THEN c * ln(e) ELSE 0 END
+           + CASE WHEN c < {2 * NE} THEN ({2 * NE} - c) * ln(1 - e) ELSE 0 END)) AS log_likelihood FROM e{k} GROUP BY ALL),
+m{k} AS MATERIALIZED (SELECT direction, replicate, arg_max(m, log_likelihood) AS m0 FROM l{k} GROUP BY ALL)"""
+        if width:
+            out += f""",
+g{k + 1} AS (SELECT direction, replicate, m FROM (SELECT direction, replicate, unnest(range(-150, 151)) * {width!r} + m0 AS m FROM m{k})
+             WHERE m BETWEEN 0 AND 1)"""
+    return out + f""",
+estimates AS (SELECT replicate, max(m0) FILTER (direction = 'a_to_b') AS ab, max(m0) FILTER (direction = 'b_to_a') AS ba
+              FROM m2 GROUP BY replicate)"""
+
+
 ORACLE |= {
+    "transition_bootstrap": _replicate_rates() + BOOTSTRAP_SUMMARY[BOOTSTRAP_SUMMARY.rindex("      SELECT"):].replace(
+        f"SELECT {PAIR}, ", "SELECT "
+    ).replace(", 8)", ", 5)").replace(
+        f"CAST({REPLICATES} AS BIGINT)", f"CAST({BOOTSTRAPPED} AS BIGINT)"
+    ).replace("      FROM estimates", f", CAST({BOOTSTRAPPED} AS INTEGER) AS replicates FROM estimates"),
     "transition_scan": _likelihoods("SELECT unnest(range(1, 41)) / 200 AS m") + """
       SELECT direction, round(m, 3) AS m, round(log_likelihood, 3) AS log_likelihood FROM likelihood""",
     "transition_mle": _likelihoods("SELECT unnest(range(0, 1001)) / 10000 AS m") + "".join(
@@ -533,8 +661,11 @@ ORACLE |= {
       SELECT pair_id, model, best_run, round(best, 6) AS best_log_likelihood, round(good / runs, 6) AS converged_fraction,
              n AS near_best_runs, round(s, 6) AS largest_spread, n >= 2 AND s <= 0.5 AS stable,
              round(m_a_to_b, 6) AS m_a_to_b, round(m_b_to_a, 6) AS m_b_to_a FROM spread""",
-    "library_scan": SCAN + f"""
-      SELECT {PAIR}, model, round(max(log_likelihood), 3) AS log_likelihood FROM scan GROUP BY ALL""",
+    "library_scan": SCAN + f""",
+      near AS (SELECT * FROM scan QUALIFY log_likelihood >= max(log_likelihood) OVER (PARTITION BY {PAIR}, model) - 1e-6),
+      best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY {PAIR}, model ORDER BY param_id) = 1)
+      SELECT {PAIR}, model, param_id, round(log_likelihood, 3) AS log_likelihood, round(d / s, 3) AS theta
+      FROM best JOIN model_totals USING (model, param_id) JOIN facts USING ({PAIR})""",
     "profile_scan": SCAN + f"""
       SELECT {PAIR}, round(fixed_value, 3) AS fixed_value, round(log_likelihood, 3) AS log_likelihood,
              round(max(log_likelihood) OVER (PARTITION BY {PAIR}) - log_likelihood, 3) AS delta_log_likelihood
@@ -722,3 +853,6 @@ ORACLE |= {
              count(*) FILTER (coalesce(passed, FALSE)) AS checks_passed,
              count(*) FILTER (NOT coalesce(passed, FALSE)) AS checks_failed_or_missing FROM gates""",
 }
+
+# Two ways to one result.
+ORACLE["library_search"] = ORACLE["library_scan"]

@@ -20,6 +20,7 @@ from driftway.operators import (
     network,
     regimes,
     resample,
+    search,
     spectra,
     summaries,
     thresholds,
@@ -29,7 +30,7 @@ from driftway.operators.spectra import PAIR
 from driftway.plans import infer
 from driftway.plans.fixtures import frame
 from driftway.session import materialize, work_folder
-from driftway.sources import inventory, vcf
+from driftway.sources import block_gzip, inventory, vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,6 +118,24 @@ def vcf_file_counts(spark, sf):
     return spectra.first_counts(counted).select("chrom", "pos", "ref", "alt", "population", "alt_count", "called_chromosomes")
 
 
+@query
+def vcf_block_gzip_counts(spark, sf):
+    """Counts of block-compressed files, each read in many ranges; a locus that comes again keeps its first counts."""
+    lines, header = vcf_text(spark, sf)
+    head = ["##source=genotype view", header.first()["header"]]
+    text = materialize(lines.select("value", "line_in_file"))
+    changed = F.regexp_replace("value", "0/0", "1/1")
+    folder = work_folder(spark, "vcf-blocks")
+    # a repeated locus stands behind all others of its file
+    text = text.select("value", F.col("line_in_file").alias("locus"), F.lit(0).alias("turn"))
+    again = text.filter(F.col("locus") % 7 == 0).select(changed.alias("value"), "locus", F.lit(1).alias("turn"))
+    both = text.unionByName(again).repartition(3, "locus").sortWithinPartitions("turn", "locus")
+    files = block_gzip.write_block_gzip(both, folder, head, block_text=8192)
+    read = vcf.read_vcf_lines(spark, files, range_bytes=16_384)
+    counted = vcf.allele_counts_from_lines(read, vcf.read_headers(spark, files), frame(spark, sf, "popmap"))
+    return spectra.first_counts(counted).select("chrom", "pos", "ref", "alt", "population", "alt_count", "called_chromosomes")
+
+
 @query
 def allele_counts(spark, sf):
     return counting.count_calls(frame(spark, sf, "calls"))
@@ -309,6 +328,22 @@ def bootstrap_summary(spark, sf):
     return rounded(resample.bootstrap_summary(estimates, PAIR, attempted=REPLICATES), 8)
 
 
+def _poisson_cells(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = resample.block_configurations(_shared(spark, sf), BLOCK_BP)
+    return resample.poisson_block_configurations(blocks, REPLICATES, SEED, SIZE, SIZE)
+
+
+@query
+def poisson_bootstrap_spectra(spark, sf):
+    return rounded(_poisson_cells(spark, sf))
+
+
+@query
+def poisson_bootstrap_summary(spark, sf):
+    estimates = resample.linear_moment_estimator(_poisson_cells(spark, sf), [*PAIR, "replicate"])
+    return rounded(resample.bootstrap_summary(estimates, PAIR, attempted=REPLICATES), 8)
+
+
 @query
 def locus_bootstrap_mass(spark, sf):
     """Every replicate of a locus bootstrap draws as many loci as are usable."""
@@ -338,7 +373,7 @@ def transition_mle(spark, sf):
 @query
 def transition_bootstrap(spark, sf):
     return rounded(
-        transition.bootstrap_one_generation(frame(spark, sf, "frequencies"), NE, NE, replicates=10, seed=SEED)
+        transition.bootstrap_one_generation(frame(spark, sf, "frequencies"), NE, NE, replicates=10, seed=SEED), 5
     )
 
 
@@ -402,16 +437,23 @@ def _scan(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def library_scan(spark, sf):
+    """The best entry per pair and model, every entry scored; within 1e-6 of the best one the smaller id is taken."""
     scan, _ = _scan(spark, sf)
-    best = models.best_entries(scan)
-    # Entries can tie to the last digits; the best value is the result that both engines share.
-    return best.select(*PAIR, "model", F.round("log_likelihood", 3).alias("log_likelihood"))
+    return rounded(search.best_of(materialize(scan), [*PAIR, "model"]).select(*PAIR, "model", "param_id", "log_likelihood", "theta"), 3)
+
+
+@query
+def library_search(spark, sf):
+    """The same without scoring every entry."""
+    library, _ = _library(spark, sf)
+    return rounded(search.best_entries(_projected(spark, sf), library, SIZE, SIZE), 3)
 
 
 @query
 def profile_scan(spark, sf):
-    scan, parameters = _scan(spark, sf)
-    return rounded(models.profile_deltas(models.profile_scan(scan, parameters, "m_a_to_b")), 3)
+    library, parameters = _library(spark, sf)
+    found = search.profile_scan(_projected(spark, sf), library, parameters, "m_a_to_b", SIZE, SIZE)
+    return rounded(models.profile_deltas(materialize(found)), 3)
 
 
 @query

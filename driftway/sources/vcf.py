@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftway.functions import genotype
 from driftway.functions.checks import first_values, require_columns
 from driftway.session import broadcast_if_small
+from driftway.sources import block_gzip
 
 HEADERS_SCHEMA = "file_path string, header string, orphan_record boolean"
 
@@ -23,13 +24,34 @@ def _same_name(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
-def read_vcf_lines(spark: SparkSession, path: str | list[str], partitions: int | None = None) -> DataFrame:
+def read_vcf_lines(
+    spark: SparkSession, path: str | list[str], partitions: int | None = None, *, split_blocks: bool = True,
+    range_bytes: int = block_gzip.RANGE_BYTES,
+) -> DataFrame:
     """Text lines with their file and an order within it.
 
+    Block-compressed files (bgzip) are read by a task for each ``range_bytes``. Other
     ``.gz`` files decompress in one task each; pass ``partitions`` to spread their
-    lines before the genotype work starts.
+    lines before the genotype work starts. ``split_blocks=False`` reads all as
+    ordinary gzip, for file systems Arrow cannot open.
     """
-    lines = spark.read.text(path).select(
+    lines = _split_lines(spark, path, range_bytes) if split_blocks else _text_lines(spark, path)
+    return lines.repartition(partitions) if partitions else lines
+
+
+def _split_lines(spark: SparkSession, path: str | list[str], range_bytes: int) -> DataFrame:
+    files = spark.read.text(path).inputFiles()
+    packed = [name for name in files if name.endswith((".gz", ".bgz"))]
+    blocks = block_gzip.block_gzip_files(spark, packed)
+    if not blocks:
+        return _text_lines(spark, path)
+    found = block_gzip.read_block_gzip(spark, blocks, range_bytes).withColumn("file_path", _same_name(F.col("file_path")))
+    others = sorted(set(files) - {name for name, _ in blocks})
+    return found.unionByName(_text_lines(spark, others)) if others else found
+
+
+def _text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.text(path).select(
         "value",
         _same_name(F.col("_metadata.file_path")).alias("file_path"),
         (
@@ -37,7 +59,6 @@ def read_vcf_lines(spark: SparkSession, path: str | list[str], partitions: int |
             + F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_MASK))
         ).alias("line_in_file"),
     )
-    return lines.repartition(partitions) if partitions else lines
 
 
 def read_headers(spark: SparkSession, path: str | list[str], lines: DataFrame | None = None) -> DataFrame:
@@ -69,8 +90,8 @@ def read_headers(spark: SparkSession, path: str | list[str], lines: DataFrame |
             rows = []
             for name in batch["file_path"]:
                 system, location = fs.FileSystem.from_uri(name)
-                # Arrow picks the codec from the .gz suffix.
-                with system.open_input_stream(location) as raw:
+                packed = "gzip" if name.endswith((".gz", ".bgz")) else "detect"
+                with system.open_input_stream(location, compression=packed) as raw:
                     header, orphan = None, False
                     for line in io.TextIOWrapper(raw, encoding="utf-8"):
                         line = line.rstrip("\n")
@@ -216,6 +237,6 @@ def allele_counts_from_vcf(
     scan_headers: bool = False,
 ) -> DataFrame:
     """Allele counts of one or many VCF files, plain or gzip-compressed."""
-    lines = read_vcf_lines(spark, path, partitions)
+    lines = read_vcf_lines(spark, path, partitions, split_blocks=not scan_headers)
     headers = read_headers(spark, path, lines if scan_headers else None)
     return allele_counts_from_lines(lines, headers, popmap, min_called_chromosomes=min_called_chromosomes)

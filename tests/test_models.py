@@ -193,3 +193,33 @@ def test_an_outlier_does_not_fill_one_slot(spark):
     assert max(r["count"] for r in slots) <= 3 * 4001 / ranking.BUCKETS
     found = ranking.linear_quantiles(table, ["k"], "v", {"low": 0.25, "mid": 0.5, "top": 1.0}).first()
     assert (found["low"], found["mid"], found["top"]) == (1000.0, 2000.0, 1e15)
+
+
+def test_searches_take_a_fixed_number_of_passes(spark):
+    """All brackets narrow inside one plan: the number of jobs does not depend on replicates or on how hard the search is."""
+    from driftway.operators.transition import _PASSES, bootstrap_estimates
+
+    counts = []
+    for replicates in (2, 12):
+        group = f"search-{replicates}"
+        spark.sparkContext.setJobGroup(group, "search")
+        found = bootstrap_estimates(frequencies(spark, 60, 0.3, 0.001), 40, 70, replicates=replicates, seed=2)
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        rows = found.collect()
+        after = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        assert len(rows) == replicates and all(0 <= r["m_a_to_b"] <= 1 for r in rows)
+        counts.append(after - before)
+    spark.sparkContext.setJobGroup("", "")
+    # a pass is one aggregate: two shuffles of a few rows and a broadcast
+    assert counts[0] == counts[1] <= 3 * (_PASSES + 1)
+
+
+def test_searches_reach_the_maximum_from_any_side(spark):
+    for m_ab, m_ba in ((1e-4, 0.999), (0.5, 0.5), (0.031, 0.0007)):
+        loci = frequencies(spark, 80, m_ab, m_ba)
+        row = transition.estimate_one_generation(loci, 30, 30).first()
+        for name, direction in (("m_a_to_b", "a_to_b"), ("m_b_to_a", "b_to_a")):
+            near = [min(max(row[name] + d, 0.0), 1.0) for d in (-1e-6, 0.0, 1e-6)]
+            scan = transition.transition_scan(loci, 30, 30, near).filter(F.col("direction") == direction).orderBy("m").collect()
+            top = max(r["log_likelihood"] for r in scan)
+            assert next(r["log_likelihood"] for r in scan if r["m"] == near[1]) >= top - 1e-9 * abs(top)

@@ -1,12 +1,14 @@
 import gzip
 import hashlib
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftway.operators import counts as counting
 from driftway.operators import inspection, spectra
-from driftway.sources import inventory, sinks, tables, vcf
+from driftway.sources import block_gzip, inventory, sinks, tables, vcf
 
 HEADER = "##source=made-up\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA1\tA2\tB1\tB2\n"
 #: A record with depths and a phased call, one with missing calls, one with two alternatives, and an empty line.
@@ -175,3 +177,61 @@ def test_result_tables_and_spectra(spark, tmp_path):
     cells = spark.createDataFrame([("A", "B", 0, 1, 2.0), ("A", "C", 0, 1, 3.0)], "population_a string, population_b string, i int, j int, mass double")
     path = sinks.write_spectra(cells, folder)
     assert [r["mass"] for r in tables.read_spectra(spark, path, "A", "C").collect()] == [3.0]
+
+
+def block_file(path, text, size):
+    path.write_bytes(b"".join(block_gzip.blocked(iter([text.encode()]), size)))
+    return str(path)
+
+
+@pytest.mark.parametrize("size, range_bytes", [(40, 64), (300, 100), (300, 1000), (65_280, 1 << 20)])
+def test_block_gzip_lines_are_those_of_the_text(spark, tmp_path, size, range_bytes):
+    rng = random.Random(size)
+    texts = {
+        "plain": "".join("x" * rng.choice([0, 1, 7, 30, 500]) + rng.choice(["\n", "\n", "\r\n"]) for _ in range(400)),
+        "no-end": "one\ntwo\nthree é", "empty": "", "blank": "\n\n\n", "long": "a" * 5000 + "\n" + "b" * 5000 + "\nend\n",
+    }
+    for name, text in texts.items():
+        path = block_file(tmp_path / f"{name}.gz", text, size)
+        assert gzip.decompress(open(path, "rb").read()).decode() == text
+        want, at = [], 0
+        for line in text.encode().split(b"\n")[: None if not text.endswith("\n") else -1] if text else []:
+            want.append((at, line.removesuffix(b"\r").decode()))
+            at += len(line) + 1
+        found = block_gzip.read_block_gzip(spark, block_gzip.block_gzip_files(spark, [path]), range_bytes)
+        assert sorted((r["line_in_file"], r["value"]) for r in found.collect()) == want
+
+
+def test_block_gzip_counts_come_from_many_tasks(spark, tmp_path):
+    records = [f"1\t{p}\t.\tA\tG\t.\tPASS\t.\tGT\t0/1\t1/1\t0/0" for p in range(1, 800)]
+    again = [f"1\t{p}\t.\tA\tG\t.\tPASS\t.\tGT\t1/1\t1/1\t1/1" for p in range(1, 800, 5)]
+    names = [name for name, _ in POPMAP[:3]]
+    fixed = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])
+    text = "\n".join(["##source=test", fixed, *records, *again]) + "\n"
+    plain, whole = tmp_path / "plain.vcf", tmp_path / "whole.vcf.gz"
+    plain.write_text(text)
+    whole.write_bytes(gzip.compress(text.encode()))
+    path = block_file(tmp_path / "blocks.vcf.gz", text, 700)
+    people = popmap(spark, POPMAP[:3])
+    tables, parts = [], []
+    for name in (str(plain), str(whole), path):
+        lines = vcf.read_vcf_lines(spark, name, range_bytes=512)
+        counts = vcf.allele_counts_from_lines(lines, vcf.read_headers(spark, name), people)
+        first = spectra.first_counts(counts).select("pos", "population", "alt_count", "called_chromosomes")
+        tables.append(sorted(map(tuple, first.collect())))
+        parts.append(lines.select(F.spark_partition_id().alias("k")).distinct().count())
+        ordered = [r["value"] for r in lines.orderBy("line_in_file").collect()]
+        assert ordered == text.splitlines()
+    assert tables[0] == tables[1] == tables[2] and len(tables[0]) > 799
+    assert parts[1] == 1 and parts[2] > 4  # ordinary gzip is one task
+
+
+def test_broken_block_files_are_errors(spark, tmp_path):
+    path = block_file(tmp_path / "cut.gz", "some line\n" * 400, 300)
+    data = open(path, "rb").read()
+    for broken in (data[:-100], data[:200] + bytes([data[200] ^ 255]) + data[201:]):
+        (tmp_path / "cut.gz").write_bytes(broken)
+        with pytest.raises(Exception):
+            block_gzip.read_block_gzip(spark, [(path, len(broken))], 256).collect()
+    (tmp_path / "text.gz").write_bytes(b"not compressed at all")
+    assert block_gzip.block_gzip_files(spark, [str(tmp_path / "text.gz")]) == []

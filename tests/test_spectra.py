@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftway.functions import special
-from driftway.operators import inspection, resample, spectra
+from driftway.operators import draws, inspection, resample, spectra
 from driftway.operators.spectra import PAIR
 
 SCHEMA = "chrom string, pos long, ref string, alt string, population string, alt_count long, called_chromosomes long"
@@ -173,7 +173,7 @@ def test_locus_bootstrap(spark):
 
 def test_multinomial_weights_over_buckets(spark):
     units = spark.range(300).select((F.col("id") % 2).alias("k"), F.col("id").alias("unit"), (1 + F.col("id") % 3).alias("n"))
-    weights = resample.multinomial_weights(units, ["k"], ["unit"], "n", 40, 3, units_per_bucket=20)
+    weights = draws.multinomial_weights(units, ["k"], ["unit"], "n", 40, 3, bucket_bits=4)
     sizes = {r["k"]: r["s"] for r in units.groupBy("k").agg(F.sum("n").alias("s")).collect()}
     per = weights.groupBy("k", "replicate").agg(F.sum("weight").alias("s")).collect()
     assert len(per) == 80 and all(r["s"] == sizes[r["k"]] for r in per)
@@ -229,7 +229,7 @@ def test_draws_of_a_key_do_not_depend_on_other_keys(spark):
     drawn = []
     for rows in (own, own + other):
         units = spark.createDataFrame(rows, "k string, unit int, n int")
-        found = resample.multinomial_weights(units, ["k"], ["unit"], "n", 20, 3, units_per_bucket=20)
+        found = draws.multinomial_weights(units, ["k"], ["unit"], "n", 20, 3, bucket_bits=4)
         drawn.append(sorted(map(tuple, found.filter("k = 'a'").collect())))
     assert drawn[0] == drawn[1] and len(drawn[0]) > 100
 

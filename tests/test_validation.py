@@ -193,7 +193,7 @@ def test_comparison_rejects(spark):
     with pytest.raises(Exception, match="non-negative"):
         comparison.validate_method_table(method(spark, ("n", 1, -0.5, 0.5, 0.1, 0.1)), "x").collect()
     more = {"x": method(spark), "y": method(spark, ("new", 1, 1.0, 0.2, 0.8, 0.3))}
-    with pytest.raises(ValueError, match="keys are not matched.*extra examples"):
+    with pytest.raises(ValueError, match=r"replicates of y are not those of x: it lacks \[\] and has \[\('new', 1\)\]"):
         comparison.matched_comparison(comparison.combine_methods(more))
     assert comparison.matched_comparison(comparison.combine_methods(more), require_complete_match=False).count() == 7
     other = {"x": method(spark), "y": method(spark).withColumn("truth_m_a_to_b", F.lit(0.7))}
@@ -284,3 +284,23 @@ def test_bucketed_rank_is_a_row_number(spark):
     for g in range(3):
         rows = ranked.filter(F.col("g") == g).orderBy("v").collect()
         assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+
+
+def test_key_sets_of_many_methods_take_one_job(spark):
+    """70 methods need two longs of bits; which keys are missing where is found with as many jobs as for two."""
+    rows = [(f"m{m:02d}", "s", k, 0.5, 0.5, 0.1, 0.2) for m in range(70) for k in range(12)]
+    table = spark.createDataFrame(rows, "method string, " + METHOD)
+    assert comparison.matched_comparison(table).count() == 840
+    holed = table.filter("NOT (method = 'm64' AND replicate >= 4)").unionByName(
+        spark.createDataFrame([("m64", "a", 7, 0.5, 0.5, 0.1, 0.2)], "method string, " + METHOD)
+    )
+    jobs = []
+    for some in (holed.filter("method IN ('m00', 'm64')"), holed):
+        spark.sparkContext.setJobGroup(f"keys-{len(jobs)}", "keys")
+        with pytest.raises(ValueError) as told:
+            comparison.matched_comparison(some)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"keys-{len(jobs)}")))
+        lacks = [("s", k) for k in range(4, 9)]
+        assert f"of m64 are not those of m00: it lacks {lacks} and has [('a', 7)]" in str(told.value)
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1]
