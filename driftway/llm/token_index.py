@@ -120,6 +120,24 @@ class Shard:
         found[found] = self.fingerprints[slots[found]] == _fingerprint(keys[found])
         return np.where(found, self.records[np.where(found, slots, 0)] if len(self.records) else -1, -1)
 
+    def reached(self, name: str = "the shard") -> tuple[np.ndarray, np.ndarray]:
+        """Records and keys: those that the index leads to from each key, in record order, then the records without a key.
+
+        The slot of a key has its first record; further records of a repeated key follow that one. A key whose slot has
+        another fingerprint, or that leads to a record twice, is an error.
+        """
+        keys, counts = np.unique(self.keys, return_counts=True)
+        first = self.find(keys)
+        if (first < 0).any():
+            raise ValueError(f"the index of {name} does not know {int((first < 0).sum())} of its keys.")
+        before = np.cumsum(counts) - counts
+        held = np.repeat(first - before, counts) + np.arange(int(counts.sum()))
+        order = np.argsort(held, kind="stable")
+        held = held[order]
+        if len(held) and (held[-1] >= self.keyed or (np.diff(held) == 0).any()):
+            raise ValueError(f"the index of {name} leads to a record twice, or to none.")
+        return np.concatenate([held, np.arange(self.keyed, len(self.offsets) - 1)]), np.repeat(keys, counts)[order]
+
     def payloads(self, first: int, last: int):
         """(record, ids as 32-bit little-endian bytes) for records first to last - 1, read in runs."""
         width = self.id_type.itemsize
@@ -238,7 +256,9 @@ def _shard_rows(spark: SparkSession, shards: list[dict]) -> DataFrame:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every record, read back from the files shard by shard.
 
-    Every record with a key is reached through the index: its key's slot gives the first record of that key.
+    Every record with a key is reached through the index: the slot of its key tells fingerprint and first record, and the
+    ids are those at that record's offset. Only records without a key are read by their place alone. An empty folder
+    gives no rows.
     """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -247,14 +267,16 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(filesystem, f"{root}/{row['name']}")
-                first = shard.find(shard.keys)
-                if not np.array_equal(shard.keys[first], shard.keys):
-                    raise ValueError(f"the index of {row['name']} does not lead to its records.")
-                n = len(shard.offsets) - 1
-                crcs = np.fromiter((zlib.crc32(ids) for _, ids in shard.payloads(0, n)), np.int64, n)
+                held, found = shard.reached(row["name"])
+                n = len(held)
+                crcs = np.empty(n, np.int64)
+                # what the index led to, in the order of the file, in runs of neighbours
+                for run in np.split(np.arange(n), np.flatnonzero(np.diff(held) != 1) + 1) if n else []:
+                    first = int(held[run[0]])
+                    crcs[run] = [zlib.crc32(ids) for _, ids in shard.payloads(first, first + len(run))]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([*shard.keys.tolist(), *[None] * (n - shard.keyed)], pa.int64()),
-                    pa.array(row["start"] + shard.offsets[:-1]), pa.array(np.diff(shard.offsets)), pa.array(crcs),
+                    pa.array([*found.tolist(), *[None] * (n - len(found))], pa.int64()),
+                    pa.array(row["start"] + shard.offsets[held]), pa.array(shard.offsets[held + 1] - shard.offsets[held]), pa.array(crcs),
                 ], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shipped(spark)

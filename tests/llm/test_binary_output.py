@@ -147,3 +147,53 @@ def test_fisher_yates_is_uniform():
     for seed in range(3000):
         seen[np.arange(5), shards.fisher_yates(5, seed, 0, 0)] += 1
     assert np.abs(seen / 3000 - 0.2).max() < 0.04
+
+
+def test_rows_come_through_the_index(spark, plain):
+    """Two records exchanged in the slot table change the result; a wrong fingerprint stops the reader."""
+    import glob
+    import json
+
+    rows = [(i, f"text number {i} " * (1 + i % 5)) for i in range(40)] + [(7, "again"), (None, "no key")]
+    folder = work_folder(spark, "test-index")
+    token_index.write(docs(spark, rows).coalesce(1), folder)
+    good = sorted(map(tuple, token_index.read(spark, folder).collect()), key=repr)
+    path = max(glob.glob(f"{folder.removeprefix('file://')}/*.idx"), key=lambda p: len(open(p, "rb").read()))
+    data = open(path, "rb").read()
+    line_end = data.index(b"\n", 8)
+    head, at, places = json.loads(data[8:line_end]), line_end + 1, {}
+    for name, kind, length in head["arrays"]:
+        places[name] = (at, kind, length)
+        at += np.dtype(kind).itemsize * length
+    for name in ("records", "fingerprints"):
+        at, kind, length = places[name]
+        values = np.frombuffer(data, kind, length, at).copy()
+        assert length > 1
+        values[[0, 1]] = values[[1, 0]]
+        size = values.nbytes
+        with open(path, "wb") as out:
+            out.write(data[:at] + values.tobytes() + data[at + size :])
+        if name == "records":
+            try:
+                changed = sorted(map(tuple, token_index.read(spark, folder).collect()), key=repr)
+            except Exception as error:  # the repeated key was one of the two
+                assert "leads to a record twice" in str(error)
+            else:
+                assert changed != good and [r[0] for r in changed] == [r[0] for r in good]
+        else:
+            with pytest.raises(Exception, match="does not know 2 of its keys"):
+                token_index.read(spark, folder).collect()
+
+
+def test_copies_of_a_record_fill_many_buckets(spark):
+    rows = [(None, "the same text")] * 2000 + [(i, f"text {i}") for i in range(2000)]
+    own = docs(spark, rows)
+    dealt = shards.scatter(own, shards=4, bucket_bytes=2000)
+    buckets = dealt.groupBy("shard", "bucket").agg({"size": "sum"}).collect()
+    assert sum(r[2] for r in buckets) == sum(len(t) + 8 for _, t in rows)
+    hot = dealt.filter("doc_id IS NULL").groupBy("shard", "bucket").count().collect()
+    assert len({r["shard"] for r in hot}) == 1  # the id alone decides the shard
+    number = dealt.agg({"bucket": "max"}).first()[0] + 1
+    assert len(hot) == number and max(r["count"] for r in hot) < 2 * 2000 / number
+    placed = shards.placed(own, shards=4, bucket_bytes=2000)
+    assert placed.count() == 4000 and placed.select("shard", "slot").distinct().count() == 4000
