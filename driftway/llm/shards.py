@@ -15,12 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftway.llm.common import shipped, work_folder
+from driftway.session import broadcast_if_small
 
 SHARDS = 24
 SEED = 7
 #: UTF-8 bytes that a bucket should hold, and what a record counts beside its text.
 BUCKET_BYTES = 16 << 20
 OVERHEAD = 8
+#: Rows with one id and text above which each has a hash of its own.
+HOT_COPIES = 1_000
 
 
 def shard_of(key: F.Column, shards: int, seed: int = SEED) -> F.Column:
@@ -38,14 +41,27 @@ def _sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def scatter(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
-    """Pass one: doc_id, text, size, shard, bucket. The number of buckets follows the total size of all records."""
+def scatter(
+    docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED, hot_copies: int = HOT_COPIES
+) -> DataFrame:
+    """Pass one: doc_id, text, size, shard, bucket. The number of buckets follows the total size of all records.
+
+    Records go to the bucket of the seeded hash of their id and text. Of a record that is there more than ``HOT_COPIES``
+    times each copy has a hash of its own, by where it is read, so that copies fill buckets like any other records; copies
+    are equal, so only the number of them in each bucket depends on the input's partitions.
+    """
     sized = _sized(docs)
     total = sized.agg(F.sum("size").alias("total")).first()["total"] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
+    text_hash = F.xxhash64("text")
+    many = sized.groupBy("doc_id", text_hash.alias("_text")).count().filter(F.col("count") > hot_copies)
+    many = broadcast_if_small(many.select(F.col("doc_id").alias("_id"), "_text", F.lit(True).alias("_many")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash == F.col("_text"))
+    copy = F.when(F.col("_many"), F.col("_copy")).otherwise(F.lit(-1).cast("long"))
     # the text takes part too, so that rows which repeat one id still spread over the buckets of its shard
-    bucket = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed + 1)), F.lit(buckets)).cast("int")
-    return sized.select("*", shard_of(F.col("doc_id"), shards, seed).alias("shard"), bucket.alias("bucket"))
+    bucket = F.pmod(F.xxhash64("doc_id", "text", copy, F.lit(seed + 1)), F.lit(buckets)).cast("int")
+    placed = sized.withColumn("_copy", F.monotonically_increasing_id()).join(many, same, "left")
+    return placed.select("doc_id", "text", "size", shard_of(F.col("doc_id"), shards, seed).alias("shard"), bucket.alias("bucket"))
 
 
 def fisher_yates(n: int, seed: int, shard: int, bucket: int) -> np.ndarray:
