@@ -29,6 +29,11 @@ def projection(classes: int = CLASSES, dimensions: int = DIMENSIONS, seed: int =
     return 2 * np.random.default_rng(seed).integers(0, 2, (classes, dimensions)) - 1
 
 
+_TABLE = projection().astype(np.float64)
+#: Documents whose counts of token classes are held at once.
+_COUNTED = 64
+
+
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """The place on the Hilbert curve of each row of grid points (whole numbers below 2**bits).
 
@@ -59,21 +64,25 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
-    """Hilbert keys of documents given by their ids. Counts and table are whole numbers, so any machine gets the same."""
-    table = projection()
-    dots = np.zeros((len(ids), DIMENSIONS), np.int64)
-    norms = np.ones(len(ids))
-    for row, values in enumerate(ids):
-        if len(values):
-            hashed = (values.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - 12)
-            counts = np.bincount(hashed, minlength=1)
-            met = np.flatnonzero(counts)
-            dots[row] = counts[met] @ table[met]
-            norms[row] = np.sqrt(float(np.square(counts[met]).sum()))
-    scaled = dots / norms[:, None]  # about normal, with deviation 1
-    grid = np.clip((scaled + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-    return hilbert_key(grid)
+def curve_keys(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hilbert keys of documents given by all their ids one after the other, and their numbers of ids.
+
+    Counts and table are whole numbers, so any machine gets the same.
+    """
+    out = np.empty(len(lengths), np.int64)
+    ends = np.cumsum(lengths)
+    for first in range(0, len(lengths), _COUNTED):
+        some = lengths[first : first + _COUNTED]
+        held = ids[ends[first] - some[0] : ends[first + len(some) - 1]]
+        hashed = ((held.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - 12)).astype(np.int64)
+        hashed += np.repeat(np.arange(len(some)) * CLASSES, some)
+        counts = np.bincount(hashed, minlength=len(some) * CLASSES).reshape(len(some), CLASSES).astype(np.float64)
+        dots = counts @ _TABLE  # sums of whole numbers below 2**53
+        norms = np.sqrt(np.maximum(np.einsum("ij,ij->i", counts, counts), 1.0))
+        scaled = dots / norms[:, None]  # about normal, with deviation 1
+        grid = np.clip((scaled + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+        out[first : first + len(some)] = hilbert_key(grid)
+    return out
 
 
 def encoded(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
@@ -83,10 +92,14 @@ def encoded(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     def rows(batch):
         made = encoder(path)
         kind = "<u2" if made.size <= 1 << 16 else "<u4"
-        ids = [np.frombuffer(found, "<u4") for found in made.encode_many(batch.column(1).to_pylist())]
+        found = made.encode_many(batch.column(1).to_pylist())
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<u4")
+        end, width = np.array([END_ID], kind).tobytes(), np.dtype(kind).itemsize
+        data, ends = ids.astype(kind).tobytes(), (width * np.cumsum(lengths)).tolist()
         return {
-            "doc_id": batch.column(0), "place": pa.array(curve_keys(ids)), "n": [len(x) + 1 for x in ids],
-            "ids": [np.append(x, END_ID).astype(kind).tobytes() for x in ids],
+            "doc_id": batch.column(0), "place": pa.array(curve_keys(ids, lengths)), "n": pa.array(lengths + 1),
+            "ids": [data[a:b] + end for a, b in zip([0, *ends], ends)],
         }
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
@@ -113,22 +126,28 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary_path: str | None = No
 
     def pieces(batches):
         kind = "<u2" if encoder(path).size <= 1 << 16 else "<u4"
+        width = np.dtype(kind).itemsize
         filled = 0  # ids of this range so far
         for batch in slices(batches):
             out = {name.split()[0]: [] for name in _PIECES.split(", ")}
-            for part, doc_id, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                ids = np.frombuffer(data, kind).astype("<u4")
+            data = batch.column(2).to_pylist()
+            wide = memoryview(np.frombuffer(b"".join(data), kind).astype("<u4")).cast("B")
+            after = 0
+            for part, doc_id, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(len, data)):
+                before, after = after, after + 4 * (size // width)
+                ids = wide[before:after]
+                n = len(ids) // 4
                 at = 0
-                while at < len(ids):
+                while at < n:
                     offset = (filled + at) % length
-                    size = min(length - offset, len(ids) - at)
+                    size = min(length - offset, n - at)
                     for name, value in (
                         ("part", part), ("local", (filled + at) // length), ("doc_id", doc_id), ("start", at), ("length", size),
-                        ("ids_crc32", zlib.crc32(ids[at : at + size].tobytes())), ("doc_tokens", len(ids)), ("offset", offset),
+                        ("ids_crc32", zlib.crc32(ids[4 * at : 4 * (at + size)])), ("doc_tokens", n), ("offset", offset),
                     ):
                         out[name].append(value)
                     at += size
-                filled += len(ids)
+                filled += n
             if out["part"]:
                 yield pa.RecordBatch.from_pydict(out, schema)
 

@@ -15,7 +15,7 @@ LONGEST_KEPT = 48
 # text, many new ones in one call: before a blank or a line end that stands alone between two other characters, after
 # such a line end, and before a full stop or comma that follows a letter or digit. Texts with white space of other forms
 # are encoded whole; where a full stop or comma follows something else, it stays with its word.
-_LOOSE = re.compile(r"(?<![^\W_])[.,]")
+_LOOSE = re.compile(r"[.,](?<![^\W_][.,])")
 _CUT = "\x01"
 #: Pieces that go into one text, and texts that go into one call.
 _JOINED, _TOGETHER = 64, 512
