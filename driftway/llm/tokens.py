@@ -7,7 +7,8 @@ import re
 
 import numpy as np
 
-#: Words with their ids that a worker keeps, and the longest word kept; beyond them it starts anew.
+#: Words with their ids that a worker keeps in each of two generations, and the longest word kept. When the younger one is
+#: full it becomes the older one, and words of the older that come again move up; so words in use are never learnt twice.
 KEPT_WORDS = 600_000
 LONGEST_KEPT = 48
 
@@ -53,6 +54,7 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.line_end = int(self.whole("\n")[0])
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -78,12 +80,14 @@ class Encoder:
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; nothing for null and empty ones."""
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        known = self.known
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         split = [pieces_of(text) if text and not any(name in text for name in self.named) else None for text in texts]
         parts = [list(map(known.get, pieces)) if pieces else None for pieces in split]
         new = {p for pieces, found in zip(split, parts) if pieces and None in found for p, part in zip(pieces, found) if part is None}
-        made = self._learn(list(new))
+        back = {piece: older[piece] for piece in new if piece in older}
+        made = self._learn([piece for piece in new if piece not in back])
+        made.update(back)
         known.update((piece, part) for piece, part in made.items() if len(piece) <= LONGEST_KEPT)
         out = []
         for text, pieces, found in zip(texts, split, parts):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from driftway.llm import packing, shards, token_index
+from driftway.llm import packing, shards, token_index, tokens
 from driftway.llm.common import work_folder
 from driftway.llm.tokens import Encoder, vocabulary
 from tests.llm.fixtures import FOLDER, docs, texts
@@ -33,6 +33,18 @@ def test_encoder_is_exact(plain):
             assert got == ids_of(plain, text)[:-1].tobytes(), repr(text)
 
 
+def test_encoder_with_little_memory(plain, monkeypatch):
+    """Words move between two generations and are forgotten; ids stay what they are."""
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 3)
+    made = Encoder(vocabulary())
+    batches = [["one two three", "four five. six"], ["two seven eight, nine"], ["one ten"], ["three two eleven twelve"], ["one two three"]]
+    for _ in range(3):
+        for texts_ in batches:
+            for text, got in zip(texts_, made.encode_many(texts_)):
+                assert got == ids_of(plain, text)[:-1].tobytes()
+            assert len(made.known) + len(made.older) < 20
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 63, 1000, 20000):
