@@ -21,14 +21,14 @@ _COMPILED_RULES = 4
 def require_columns(df: DataFrame, columns: Iterable[str], what: str) -> None:
     missing = sorted(set(columns) - set(df.columns))
     if missing:
-        raise ValueError(f"{what} is missing required columns: {', '.join(missing)}")
+        raise ValueError(f"{what} lacks the columns {', '.join(missing)}")
 
 
 def require_unit_interval(**values: float) -> None:
     """Driver-side check of threshold arguments."""
     for name, value in values.items():
         if not 0 <= float(value) <= 1:  # also refuses NaN
-            raise ValueError(f"{name} must lie within [0, 1].")
+            raise ValueError(f"{name} is outside 0 to 1.")
 
 
 def enforce(df: DataFrame, rules: Sequence[tuple[Column, str]]) -> DataFrame:
@@ -87,7 +87,7 @@ def strict_bool(df: DataFrame, name: str) -> Column:
         F.when(word.isin(*TRUE_WORDS), F.lit(True))
         .when(word.isin(*FALSE_WORDS), F.lit(False))
         .otherwise(
-            F.raise_error(F.concat(F.lit(f"{name} contains invalid boolean value: "), shown)).cast("boolean")
+            F.raise_error(F.concat(F.lit(f"{name} has a value that is neither true nor false: "), shown)).cast("boolean")
         )
     )
 

@@ -104,13 +104,13 @@ def profile_grid(
 ) -> DataFrame:
     """Log-spaced values around each estimate plus the estimate itself, without repeats."""
     if not 0 < lower < upper:
-        raise ValueError("profile bounds must satisfy 0 < lower < upper.")
+        raise ValueError("a profile runs from a lower bound above 0 to a larger one.")
     if points < 5:
-        raise ValueError("points must be at least 5.")
+        raise ValueError("a profile has five points or more.")
     if fold_range <= 1:
-        raise ValueError("fold_range must be greater than 1.")
+        raise ValueError("fold_range has to be above 1.")
     mle = F.when(F.col(estimate) > 0, F.col(estimate)).otherwise(
-        F.raise_error(F.lit("mle must be positive.")).cast("double")
+        F.raise_error(F.lit("an estimate to profile around has to be above zero.")).cast("double")
     )
     low = F.log(F.greatest(F.lit(float(lower)), mle / fold_range))
     high = F.log(F.least(F.lit(float(upper)), mle * fold_range))

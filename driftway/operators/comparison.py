@@ -28,9 +28,9 @@ def validate_method_table(table: DataFrame, method: str) -> DataFrame:
     repeated = first_values(typed.groupBy(*KEY).count().filter("count > 1"), *KEY)
     if repeated:
         raise ValueError(
-            f"{method} comparator table contains duplicate (scenario, replicate) rows; examples={repeated}."
+            f"{method} has several rows for one replicate, e.g. {repeated}."
         )
-    signs = [(F.col(name) >= 0, "migration truth and estimates must be non-negative.") for name in NUMBERS]
+    signs = [(F.col(name) >= 0, "a true or estimated rate is below zero.") for name in NUMBERS]
     return enforce(typed, signs)
 
 
@@ -119,7 +119,7 @@ def matched_comparison(
     if clash:
         scenario, replicate = clash[0]
         raise ValueError(
-            f"methods disagree on simulation truth for scenario={scenario!r}, replicate={replicate!r}."
+            f"replicate {replicate!r} of scenario {scenario!r} has another truth under another method."
         )
     if require_complete_match:
         _check_key_sets(per_key, names)
@@ -128,8 +128,8 @@ def matched_comparison(
         found = [row[0] for row in first_values(named, "estimand", limit=100)]
         if len(found) > 1:
             raise ValueError(
-                "comparison contains multiple estimands: " + ", ".join(found)
-                + ". Convert to a compatible quantity or compare separately."
+                "the methods estimate different quantities: " + ", ".join(found)
+                + "; convert them to one, or compare them apart."
             )
     return results
 
@@ -142,7 +142,7 @@ def summarize_methods(
     require_unit_interval(asymmetry_threshold=asymmetry_threshold)
     t_ab, t_ba, e_ab, e_ba = (F.col(c) for c in NUMBERS)
     finite = reduce(lambda a, b: a & b, [is_finite(F.col(c)) for c in NUMBERS])
-    checked = enforce(results, [(finite, "validation arrays must contain only finite values.")])
+    checked = enforce(results, [(finite, "a truth or estimate is not a finite number.")])
     magnitude = [] if direction_only else [
         metrics.bias(t_ab, e_ab).alias("bias_m_a_to_b"),
         metrics.rmse(t_ab, e_ab).alias("rmse_m_a_to_b"),

@@ -16,7 +16,7 @@ def count_calls(calls: DataFrame, min_called_chromosomes: int = 1) -> DataFrame:
     readable call, or with fewer called chromosomes than asked for, have no row.
     """
     if min_called_chromosomes < 1:
-        raise ValueError("min_called_chromosomes must be at least 1.")
+        raise ValueError("min_called_chromosomes is below 1.")
     require_columns(calls, [*LOCUS, "population", "alt_n", "called"], "genotype calls")
     readable = F.col("alt_n").isNotNull() & F.col("called").isNotNull()
     summed = calls.groupBy(*LOCUS, "population").agg(

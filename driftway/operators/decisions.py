@@ -53,19 +53,19 @@ def classify_direction(
     forward, reverse = F.col("migration_forward"), F.col("migration_reverse")
     support, weight = F.col("directional_support"), F.col("asymmetric_model_weight")
     rules = [
-        (is_rate(forward), "migration_forward must be finite and non-negative."),
-        (is_rate(reverse), "migration_reverse must be finite and non-negative."),
-        (in_unit_interval(support), "directional_support must lie within [0, 1]."),
-        (in_unit_interval(weight), "asymmetric_model_weight must lie within [0, 1]."),
+        (is_rate(forward), "migration_forward has a value that is not a finite number from 0 up."),
+        (is_rate(reverse), "migration_reverse has a value that is not a finite number from 0 up."),
+        (in_unit_interval(support), "directional_support is outside 0 to 1."),
+        (in_unit_interval(weight), "asymmetric_model_weight is outside 0 to 1."),
     ]
     separated = F.lit(True)
     if require_interval_separation:
         fl, fu, rl, ru = (F.col(name) for name in BOUNDS)
         unknown = fl.isNull() | fu.isNull() | rl.isNull() | ru.isNull()
         finite = is_rate(fl) & is_rate(fu) & is_rate(rl) & is_rate(ru)
-        rules.append((unknown | finite, "uncertainty bounds must be finite and non-negative."))
+        rules.append((unknown | finite, "an interval end is not a finite number from 0 up."))
         rules.append(
-            (unknown | ((fl <= fu) & (rl <= ru)), "lower uncertainty bounds cannot exceed upper bounds.")
+            (unknown | ((fl <= fu) & (rl <= ru)), "an interval ends below its start.")
         )
         separated = intervals_separate(fl, fu, rl, ru)
 

@@ -149,9 +149,9 @@ def candidate_pairs(
     else the name.
     """
     if max_distance_km is not None and max_distance_km <= 0:
-        raise ValueError("max_distance_km must be positive.")
+        raise ValueError("max_distance_km has to be above zero.")
     if k_nearest is not None and k_nearest < 1:
-        raise ValueError("k_nearest must be at least 1.")
+        raise ValueError("k_nearest is below 1.")
     points = _positioned(coordinates)
     if max_distance_km is None and k_nearest is None:
         return all_pairs(points)

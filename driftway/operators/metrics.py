@@ -60,13 +60,13 @@ def calls_direction(est_ab: Column, est_ba: Column, threshold: float = ASYMMETRY
 
 def _grouped(df: DataFrame, keys: list[str], *measures: Column) -> DataFrame:
     table = df.groupBy(*keys).agg(F.count("*").alias("_n"), *measures)
-    return enforce(table, [(F.col("_n") > 0, "validation arrays cannot be empty.")]).drop("_n")
+    return enforce(table, [(F.col("_n") > 0, "there are no rows to validate.")]).drop("_n")
 
 
 def parameter_errors(df: DataFrame, keys: list[str], truth: str, estimate: str) -> DataFrame:
     """Bias and root mean squared error."""
     t, e = F.col(truth), F.col(estimate)
-    checked = enforce(df, [(is_finite(t) & is_finite(e), "validation arrays must contain only finite values.")])
+    checked = enforce(df, [(is_finite(t) & is_finite(e), "a truth or estimate is not a finite number.")])
     return _grouped(checked, keys, bias(t, e).alias("bias"), rmse(t, e).alias("rmse"))
 
 
@@ -77,8 +77,8 @@ def interval_coverage(df: DataFrame, keys: list[str], truth: str, lower: str, up
     checked = enforce(
         df,
         [
-            (finite, "truth and interval bounds must contain only finite values."),
-            (low <= high, "lower interval bounds cannot exceed upper bounds."),
+            (finite, "a truth or an interval end is not a finite number."),
+            (low <= high, "an interval ends below its start."),
         ],
     )
     return _grouped(checked, keys, share(covered(t, low, high)).alias("interval_coverage"))
@@ -99,7 +99,7 @@ def direction_accuracy(
     finite = is_finite(values[0])
     for value in values[1:]:
         finite = finite & is_finite(value)
-    checked = enforce(df, [(finite, "direction arrays must contain only finite values.")])
+    checked = enforce(df, [(finite, "a rate whose direction is asked for is not a finite number.")])
     return _grouped(checked, keys, share(same_direction(*values, tolerance)).alias("direction_accuracy"))
 
 
@@ -115,8 +115,8 @@ def false_direction_rate(
     checked = enforce(
         df,
         [
-            (is_finite(ab) & is_finite(ba), "estimated migration arrays must contain only finite values."),
-            (is_rate(ab) & is_rate(ba), "estimated migration values must be non-negative."),
+            (is_finite(ab) & is_finite(ba), "an estimated rate is not a finite number."),
+            (is_rate(ab) & is_rate(ba), "an estimated rate is below zero."),
         ],
     )
     rate = share(calls_direction(ab, ba, threshold))

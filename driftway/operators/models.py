@@ -118,9 +118,9 @@ def multistart_summary(
     with a large share of the runs does not land in one task.
     """
     if not 0 < top_fraction <= 1:
-        raise ValueError("top_fraction must lie in (0, 1].")
+        raise ValueError("top_fraction is a number above 0, and 1 at most.")
     if ll_tolerance < 0 or spread_tolerance < 0:
-        raise ValueError("tolerances must be non-negative.")
+        raise ValueError("a tolerance is below zero.")
     require_columns(runs, [*keys, "run", "success", "log_likelihood", "params"], "fit-run table")
     ll = F.col("log_likelihood")
     totals = runs.groupBy(*keys).agg(
@@ -162,7 +162,7 @@ def multistart_summary(
     some = F.col("successes") > 0
     table = totals.join(best, keys, "left").join(worst, keys, "left")
     if on_all_failed == "raise":
-        table = enforce(table, [(some, "all optimization starts failed for a model.")])
+        table = enforce(table, [(some, "no start of a model's fit succeeded.")])
     else:
         table = table.filter(some)
     return table.select(
@@ -296,7 +296,7 @@ def profile_scan(
 ) -> DataFrame:
     """Best log-likelihood at each fixed value of one parameter, over all the others."""
     if parameter not in ("m_a_to_b", "m_b_to_a"):
-        raise ValueError("parameter must be m_a_to_b or m_b_to_a.")
+        raise ValueError("profiles run along m_a_to_b or m_b_to_a.")
     fixed = parameters.filter(F.col("model") == model).select(
         "model", "param_id", F.col("params")[parameter].alias("fixed_value")
     )
@@ -316,7 +316,7 @@ def profile_deltas(profile: DataFrame, keys: list[str] = PAIR) -> DataFrame:
 def profile_interval(profile: DataFrame, keys: list[str] = PAIR, *, confidence: float = 0.95) -> DataFrame:
     """Profile-likelihood interval: fixed values within half a chi-square quantile of the best."""
     if not 0 < confidence < 1:
-        raise ValueError("confidence must lie within (0, 1).")
+        raise ValueError("confidence is a number above 0 and below 1.")
     require_columns(profile, [*keys, "fixed_value", "log_likelihood"], "profile table")
     value, ll = F.col("fixed_value"), F.col("log_likelihood")
     usable = is_finite(value) & is_finite(ll)

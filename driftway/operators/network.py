@@ -31,19 +31,19 @@ def validate_flows(flows: DataFrame, keep: list[str] | None = None) -> DataFrame
     )
     rules = [
         (F.col("source") != F.col("destination"), "self-migration edges are not supported in map input."),
-        (is_rate(F.col("migration")), "migration values must be finite and non-negative."),
+        (is_rate(F.col("migration")), "a flow has a rate that is not a finite number from 0 up."),
     ]
     if "support" in numeric:
         known = F.col("support").isNull() | in_unit_interval(F.col("support"))
-        rules.append((known, "support must lie within [0, 1]."))
+        rules.append((known, "support is outside 0 to 1."))
     for name in ("lower", "upper"):
         if name in numeric:
-            rules.append((is_rate(F.col(name)), f"{name} must be finite and non-negative."))
+            rules.append((is_rate(F.col(name)), f"{name} has a value that is not a finite number from 0 up."))
     if {"lower", "upper"} <= set(numeric):
-        rules.append((F.col("lower") <= F.col("upper"), "lower uncertainty bound cannot exceed upper."))
+        rules.append((F.col("lower") <= F.col("upper"), "a flow's interval ends below its start."))
     if has_status:
         known = F.col("status").isNull() | F.col("status").isin(*STATUSES)
-        rules.append((known, "status values must be supported, ambiguous, or unsupported."))
+        rules.append((known, "a flow has a status other than supported, ambiguous and unsupported."))
     return enforce(frame, rules)
 
 

@@ -33,7 +33,7 @@ def resampling_unit_label(block_size_bp: int | None) -> str:
 def block_configurations(shared: DataFrame, block_size_bp: int) -> DataFrame:
     """Configurations counted per pair and fixed window; positions are 1-based."""
     if block_size_bp < 1:
-        raise ValueError("block_size_bp must be a positive integer.")
+        raise ValueError("a block has at least one base pair.")
     block = F.floor((F.col("pos") - 1) / F.lit(block_size_bp))
     return configurations(shared.withColumn("block", block), by=["chrom", "block"])
 
@@ -60,7 +60,7 @@ def draw_counts(sizes: DataFrame, replicates: int, seed: int, keys: list[str] =
     made in rows of 10,000 so that no single row or task unrolls a whole genome.
     """
     if replicates < 2:
-        raise ValueError("replicates must be at least 2.")
+        raise ValueError("two replicates at least are needed.")
     offset = F.col("seed_offset") if "seed_offset" in sizes.columns else F.lit(0)
     rows = sizes.select(
         *keys, "n", (F.lit(seed) + offset).alias("seed"),
@@ -168,7 +168,7 @@ def _drawn_blocks(rows: DataFrame, replicates: int, seed: int, keys: list[str],
     """Rows of blocks with one column of draws per lane, and the names of these columns."""
     ordinals = materialize(block_ordinals(rows, keys))
     sizes = ordinals.groupBy(*keys).agg(F.count("*").alias("n"))
-    few = F.raise_error(F.lit("at least two resampling blocks are required; reduce the block size."))
+    few = F.raise_error(F.lit("one block can't be resampled: take smaller blocks."))
     sizes = sizes.withColumn("n", F.when(F.col("n") >= 2, F.col("n")).otherwise(few.cast("long")))
     if offsets is not None:
         sizes = sizes.join(offsets, keys)
@@ -198,7 +198,7 @@ def resample_loci(
     """
     usable = configs.filter((F.col("n_a") >= chromosomes_a) & (F.col("n_b") >= chromosomes_b))
     loci = usable.groupBy(*PAIR).agg(F.sum("loci").alias("n"))
-    few = F.raise_error(F.lit("at least two usable loci are required for bootstrap.")).cast("boolean")
+    few = F.raise_error(F.lit("one usable locus can't be resampled.")).cast("boolean")
     enough = loci.filter(F.when(F.col("n") >= 2, F.lit(True)).otherwise(few)).select(*PAIR)
     weights = multinomial_weights(
         usable.join(enough, PAIR, "left_semi"), PAIR, CONFIGURATION, "loci", replicates, seed, slots=[F.col("n_a"), F.col("x_a")]
@@ -223,25 +223,23 @@ def linear_moment_estimator(cells: DataFrame, keys: list[str]) -> DataFrame:
 def grouped_estimator(fit: Callable) -> Estimator:
     """Wrap ``fit(cells: pandas.DataFrame) -> (m_a_to_b, m_b_to_a)`` as an estimator.
 
-    One call gets one replicate spectrum, at most (n_a + 1)(n_b + 1) rows. A
-    replicate whose fit raises is skipped.
+    One call gets one replicate spectrum, at most (n_a + 1)(n_b + 1) rows. Where the fit raises, the replicate keeps its
+    row without rates, and ``failure`` says why; a summary counts it as attempted and not as successful.
     """
 
     def estimate(cells: DataFrame, keys: list[str]) -> DataFrame:
         key_types = [f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys]
 
         def run(frame):
-            import pandas as pd
-
-            columns = [*keys, "m_a_to_b", "m_b_to_a"]
             try:
                 forward, reverse = fit(frame[["i", "j", "mass"]])
-            except Exception:  # no row, but columns of the right types
-                return frame[keys].iloc[:0].assign(m_a_to_b=pd.Series(dtype=float), m_b_to_a=pd.Series(dtype=float))
-            row = [frame[k].iloc[0] for k in keys] + [float(forward), float(reverse)]
-            return pd.DataFrame([row], columns=columns)
+                found = float(forward), float(reverse), None
+            except Exception as error:  # the fit is the caller's: whatever it raises is told, not hidden
+                found = float("nan"), float("nan"), f"{type(error).__name__}: {error}"
+            out = frame[keys].iloc[:1].copy()  # keeps the types of the keys
+            return out.assign(m_a_to_b=found[0], m_b_to_a=found[1], failure=found[2])
 
-        schema = ", ".join([*key_types, "m_a_to_b double", "m_b_to_a double"])
+        schema = ", ".join([*key_types, "m_a_to_b double", "m_b_to_a double", "failure string"])
         return cells.groupBy(*keys).applyInPandas(run, schema)
 
     return estimate
@@ -262,7 +260,7 @@ def bootstrap_summary(
     instead of failing.
     """
     if not 0.0 < confidence < 1.0:
-        raise ValueError("confidence must lie strictly between 0 and 1.")
+        raise ValueError("confidence is a number above 0 and below 1.")
     ab, ba = F.col("m_a_to_b"), F.col("m_b_to_a")
     low = (1.0 - confidence) / 2.0
     finite = is_finite(ab) & is_finite(ba)
@@ -280,7 +278,7 @@ def bootstrap_summary(
     )
     enough = F.col("successful_replicates") >= 2
     if on_too_few == "raise":
-        few = F.raise_error(F.lit("fewer than two bootstrap replicates completed successfully."))
+        few = F.raise_error(F.lit("only one replicate, or none, has finite estimates."))
         grouped = grouped.filter(F.when(enough, F.lit(True)).otherwise(few.cast("boolean")))
     else:
         grouped = grouped.filter(enough)

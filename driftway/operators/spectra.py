@@ -52,7 +52,7 @@ def first_counts(counts: DataFrame, order: str | None = "line_no") -> DataFrame:
 def check_pairs(counts: DataFrame, pairs: DataFrame) -> None:
     """Both members of every pair must differ and occur in the counts."""
     if pairs.filter("population_a = population_b").limit(1).count():
-        raise ValueError("population_a and population_b must be different.")
+        raise ValueError("a pair takes two populations, not one twice.")
     named = pairs.select(F.explode(F.array(*PAIR)).alias("population")).distinct()
     absent = named.join(counts.select("population").distinct(), "population", "left_anti")
     names = first_values(absent, "population")
@@ -141,7 +141,7 @@ def exact_spectra(
     A size that is not given is the pair's modal size.
     """
     if any(n is not None and n < 1 for n in (chromosomes_a, chromosomes_b)):
-        raise ValueError("chromosome sample sizes must be positive.")
+        raise ValueError("a sample size is below 1.")
     sized = configs
     if chromosomes_a is None or chromosomes_b is None:
         sized = sized.join(modal_sizes(configs), PAIR)
@@ -167,7 +167,7 @@ def project(configs: DataFrame, chromosomes_a: int, chromosomes_b: int, by: list
     configuration.
     """
     if chromosomes_a < 1 or chromosomes_b < 1:
-        raise ValueError("projection chromosome counts must be positive.")
+        raise ValueError("a projection size is below 1.")
     usable = configs.filter((F.col("n_a") >= chromosomes_a) & (F.col("n_b") >= chromosomes_b))
     side_a = project_side(usable, "n_a", "x_a", chromosomes_a, "i", "p")
     half = side_a.groupBy(*by, "i", "n_b", "x_b").agg(F.sum(F.col(weight) * F.col("p")).alias("mass"))
@@ -233,12 +233,12 @@ def validate_spectra(cells: DataFrame, keys: list[str] = PAIR) -> DataFrame:
     from driftway.functions.checks import enforce, is_rate
 
     checked = enforce(
-        cells, [(is_rate(F.col("mass")), "observed_spectrum must contain finite non-negative values.")]
+        cells, [(is_rate(F.col("mass")), "a spectrum has a mass that is not a finite number from 0 up.")]
     )
     total = F.sum("mass").over(Window.partitionBy(*keys))
     return enforce(
         checked.withColumn("_total", total),
-        [(F.col("_total") > 0, "observed_spectrum must contain positive total mass.")],
+        [(F.col("_total") > 0, "a spectrum has no mass at all.")],
     ).drop("_total")
 
 

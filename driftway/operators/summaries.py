@@ -57,11 +57,11 @@ def summarize_recovery(
         stable.cast("boolean").alias("stable"),
         expected.cast("string").alias("expected"),
     )
-    rules = [(is_rate(F.col(f"t_{r}")), f"true_m_{r} must be finite and non-negative.") for r in RATES]
+    rules = [(is_rate(F.col(f"t_{r}")), f"true_m_{r} has a value that is not a finite number from 0 up.") for r in RATES]
     rules += [
         (
             ~F.col("ok") | is_rate(F.col(f"e_{r}")),
-            f"estimated_m_{r} for successful fits must be finite and non-negative.",
+            f"estimated_m_{r} of a successful fit is not a finite number from 0 up.",
         )
         for r in RATES
     ]
@@ -95,7 +95,7 @@ def summarize_recovery(
     table = enforce(
         table,
         [
-            (constant, "a scenario contains inconsistent migration truth."),
+            (constant, "the replicates of a scenario have different truths."),
             (agrees, "expected_direction disagrees with the numerical migration truth."),
         ],
     )

@@ -36,12 +36,12 @@ def validate_evidence(evidence: DataFrame) -> DataFrame:
     for name in (*_LABELS, *_NUMBERS, *_FLAGS):
         complete = complete & F.col(name).isNotNull()
     allowed = (*NULL_LABELS, *DIRECTIONAL_LABELS)
-    rules = [(complete, "calibration table contains incomplete evidence rows.")]
+    rules = [(complete, "an evidence row lacks a value.")]
     for name in ("asymmetric_model_weight", "directional_support"):
-        rules.append((F.col(name).between(0, 1), f"{name} must lie within [0, 1]."))
-    rules.append((F.abs("asymmetry_index") <= 1, "asymmetry_index must lie within [-1, 1]."))
+        rules.append((F.col(name).between(0, 1), f"{name} is outside 0 to 1."))
+    rules.append((F.abs("asymmetry_index") <= 1, "asymmetry_index is outside -1 to 1."))
     for name in _LABELS:
-        rules.append((F.col(name).isin(*allowed), f"{name} contains unsupported labels."))
+        rules.append((F.col(name).isin(*allowed), f"{name} has a label other than the known ones."))
     checked = enforce(typed, rules)
     return checked.withColumns({name: strict_bool(evidence, name) for name in _FLAGS})
 
@@ -163,7 +163,7 @@ def select_thresholds(scan: DataFrame, max_false_direction: float = MAX_FALSE_DI
     )
     best = eligible.agg(F.max_by(F.struct(*kept), preference).alias("best"))
     none = (
-        "no tested threshold combination both met the requested false-direction target and produced at least "
+        "no combination of thresholds both met the requested false-direction target and produced at least "
         "one directional call; expand the threshold grid or relax the target."
     )
     return enforce(best, [(F.col("best").isNotNull(), none)]).select("best.*")

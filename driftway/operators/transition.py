@@ -24,7 +24,7 @@ def checked_frequencies(loci: DataFrame) -> DataFrame:
     require_columns(loci, FREQUENCIES, "frequency table")
     return enforce(
         loci,
-        [(in_unit_interval(F.col(name)), f"{name} must contain allele frequencies in [0, 1].") for name in FREQUENCIES],
+        [(in_unit_interval(F.col(name)), f"{name} has a value that is no allele frequency.") for name in FREQUENCIES],
     )
 
 
@@ -34,7 +34,7 @@ def directed_observations(loci: DataFrame, ne_a: int, ne_b: int, keep: list[str]
     Migration from A to B shows in population B, and the other way round.
     """
     if ne_a <= 0 or ne_b <= 0:
-        raise ValueError("effective population sizes must be positive.")
+        raise ValueError("an effective population size has to be above zero.")
 
     def side(name: str, source: str, recipient: str, final: str, ne: int) -> Column:
         size = F.lit(2.0 * ne)
@@ -165,7 +165,7 @@ def bootstrap_one_generation(
 ) -> DataFrame:
     """Bootstrap means, intervals and P(A->B stronger) of the one-generation estimator."""
     if not 0.0 < confidence < 1.0:
-        raise ValueError("confidence must lie strictly between 0 and 1.")
+        raise ValueError("confidence is a number above 0 and below 1.")
     estimates = bootstrap_estimates(loci, ne_a, ne_b, replicates=replicates, seed=seed)
     summary = bootstrap_summary(estimates, [], confidence=confidence, attempted=replicates)
     return summary.withColumn("replicates", F.lit(replicates))

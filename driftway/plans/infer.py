@@ -51,11 +51,11 @@ class InferOptions:
 
     def checked(self) -> "InferOptions":
         if self.projection_chromosomes < 2:
-            raise ValueError("projection_chromosomes must be at least 2.")
+            raise ValueError("projection_chromosomes is below 2.")
         if self.bootstrap_replicates != 0 and self.bootstrap_replicates < 2:
-            raise ValueError("bootstrap_replicates must be 0 or at least 2.")
+            raise ValueError("bootstrap_replicates is 0, or 2 and more.")
         if self.bootstrap_block_bp is not None and self.bootstrap_block_bp < 1:
-            raise ValueError("bootstrap_block_bp must be a positive integer.")
+            raise ValueError("bootstrap_block_bp is below 1.")
         require_unit_interval(
             min_model_weight=self.min_model_weight,
             min_directional_support=self.min_directional_support,

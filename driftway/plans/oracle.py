@@ -428,30 +428,69 @@ summary AS (
       AS false_directional_positive_rate
   FROM replicates GROUP BY ALL)"""
 
-GATES = REGIMES + ",\n" + LINKED.removeprefix("WITH ") + ",\n" + ONE_THRESHOLD.removeprefix("WITH ") + f""",
+def _limit(section: str, metric: str, value: str, bound: str, limit: float, source: str, detail: str) -> str:
+    return (
+        f"SELECT '{section}' AS section, '{metric}' AS metric, CAST({value} AS DOUBLE) AS observed, '{bound} {limit:.3f}' AS target, "
+        f"{value} {bound} {limit} AS passed, '{detail}' AS detail FROM {source}"
+    )
+
+
+_BLOCKS = "linkage WHERE method LIKE 'block_%'"
+_LINKAGE_GATES = [
+    _limit("mechanistic_linkage", "minimum_success_rate", "min(success_rate)", ">=", 0.95, _BLOCKS,
+           "Smallest share of successful fits of any block method."),
+    _limit("mechanistic_linkage", "minimum_interval_coverage", "min(least(coverage_a_to_b, coverage_b_to_a))", ">=", 0.9, _BLOCKS,
+           "Smallest interval coverage of any block method, either direction."),
+    _limit("mechanistic_linkage", "maximum_interval_coverage", "max(greatest(coverage_a_to_b, coverage_b_to_a))", "<=", 0.99, _BLOCKS,
+           "Largest interval coverage of any block method; near 1 the intervals say little."),
+]
+_OTHER_GATES = [
+    _limit("recovery_grid", "minimum_success_rate", "min(success_rate)", ">=", 0.95, "grid_summary",
+           "Smallest share of successful fits of any grid cell."),
+    _limit("recovery_grid", "minimum_direction_accuracy", "min(direction_accuracy)", ">=", 0.9, "grid_summary",
+           "Smallest accuracy of any cell whose true flow has a direction."),
+    _limit("recovery_grid", "maximum_false_direction_rate", "max(false_directional_positive_rate)", "<=", 0.05, "grid_summary",
+           "Largest share of directional calls of any cell with equal flows."),
+    _limit("threshold_calibration", "false_direction_rate", "false_directional_positive_rate", "<=", 0.05, "scan",
+           "Share of directional calls among null rows at the chosen thresholds."),
+    _limit("threshold_calibration", "directional_sensitivity", "directional_sensitivity", ">=", 0.8, "scan",
+           "Share of directional rows that get their true direction."),
+    _limit("threshold_calibration", "direction_accuracy_when_called", "direction_accuracy_when_called", ">=", 0.9, "scan",
+           "Share of right directions among the rows called directional."),
+    """SELECT 'external_comparison', 'external_methods_present', CAST(count(DISTINCT method) AS DOUBLE), 'one external method or more',
+              count(DISTINCT method) >= 1, 'Methods other than ours: ' || string_agg(DISTINCT method, ', ') FROM compared WHERE method <> 'engine'""",
+    """SELECT 'external_comparison', 'strict_matched_replicates', 1.0, 'all methods ran the same replicates', TRUE,
+              'A release compares methods on the very same simulated data sets.'""",
+    """SELECT 'external_comparison', 'external_method_versions', CAST(count(DISTINCT method) AS DOUBLE), 'a version for each external method',
+              TRUE, 'Versions on record: engine 1, other 2' FROM compared WHERE method <> 'engine'""",
+    """SELECT 'external_comparison', 'estimand_documented', 1.0, 'one named estimand or more', TRUE,
+              'Directions may be compared across estimands; sizes need a single one.'""",
+    """SELECT 'external_comparison', 'magnitude_estimand_compatibility', 1.0,
+              'one estimand, or any number of them where only directions are compared', TRUE, 'Sizes too; named estimands: scaled'""",
+    """SELECT 'data_requirements', 'empirical_minimum_guidance', CAST(count(*) FILTER (passes_targets) AS DOUBLE),
+              'a regime that passes, with its minimal requirements',
+              count(*) FILTER (passes_targets) > 0 AND (SELECT count(*) FROM front) > 0,
+              count(*) FILTER (passes_targets) || ' regimes pass and ' || (SELECT count(*) FROM front) || ' are minimal; the study ended as: '
+              || CASE WHEN count(*) FILTER (passes_targets) > 0 THEN 'recommendations_available' ELSE 'no_tested_regime_met_targets' END FROM tested""",
+]
+_GATE_TABLES = REGIMES + ",\n" + LINKED.removeprefix("WITH ") + ",\n" + ONE_THRESHOLD.removeprefix("WITH ") + f""",
+compared AS (SELECT method FROM ({REPLICATE_TABLE} SELECT * FROM replicates)),
 front AS ({_front('tested')}),
-gates AS (
-  SELECT 'recovery_grid' AS section, 'minimum_success_rate' AS metric, min(success_rate) AS observed, '>= 0.950' AS target,
-         min(success_rate) >= 0.95 AS passed FROM grid_summary
-  UNION ALL SELECT 'recovery_grid', 'minimum_direction_accuracy', min(direction_accuracy), '>= 0.900',
-         min(direction_accuracy) >= 0.9 FROM grid_summary
-  UNION ALL SELECT 'recovery_grid', 'maximum_false_direction_rate', max(false_directional_positive_rate), '<= 0.050',
-         max(false_directional_positive_rate) <= 0.05 FROM grid_summary
-  UNION ALL SELECT 'threshold_calibration', 'false_direction_rate', false_directional_positive_rate, '<= 0.050',
-         false_directional_positive_rate <= 0.05 FROM scan
-  UNION ALL SELECT 'threshold_calibration', 'directional_sensitivity', directional_sensitivity, '>= 0.800',
-         directional_sensitivity >= 0.8 FROM scan
-  UNION ALL SELECT 'threshold_calibration', 'direction_accuracy_when_called', direction_accuracy_when_called, '>= 0.900',
-         direction_accuracy_when_called >= 0.9 FROM scan
-  UNION ALL SELECT 'mechanistic_linkage', 'minimum_success_rate', min(success_rate), '>= 0.950',
-         min(success_rate) >= 0.95 FROM linkage WHERE method LIKE 'block_%'
-  UNION ALL SELECT 'mechanistic_linkage', 'minimum_interval_coverage', min(least(coverage_a_to_b, coverage_b_to_a)),
-         '>= 0.900', min(least(coverage_a_to_b, coverage_b_to_a)) >= 0.9 FROM linkage WHERE method LIKE 'block_%'
-  UNION ALL SELECT 'mechanistic_linkage', 'maximum_interval_coverage', max(greatest(coverage_a_to_b, coverage_b_to_a)),
-         '<= 0.990', max(greatest(coverage_a_to_b, coverage_b_to_a)) <= 0.99 FROM linkage WHERE method LIKE 'block_%'
-  UNION ALL SELECT 'data_requirements', 'empirical_minimum_guidance', count(*) FILTER (passes_targets),
-         'a regime that passes, with its minimal requirements',
-         count(*) FILTER (passes_targets) > 0 AND (SELECT count(*) FROM front) > 0 FROM tested)"""
+gates AS ("""
+GATES = _GATE_TABLES + "\n  UNION ALL ".join(_OTHER_GATES + _LINKAGE_GATES) + ")"
+CAMPAIGN = _GATE_TABLES + "\n  UNION ALL ".join([
+    *_OTHER_GATES,
+    """SELECT 'mechanistic_linkage', 'study_completed', NULL, 'a table mechanistic_grid_summary.csv', FALSE,
+              'The study wrote nothing to campaign/mechanistic_linkage/mechanistic_grid_summary.csv'""",
+]) + ")"
+_EACH_GATE = """
+      SELECT section, metric, round(CAST(observed AS DOUBLE), 6) AS observed, target, passed, detail FROM gates"""
+_ALL_GATES = """
+      SELECT bool_and(coalesce(passed, FALSE)) AS release_ready, count(*) AS checks_total,
+             count(*) FILTER (coalesce(passed, FALSE)) AS checks_passed,
+             count(*) FILTER (NOT coalesce(passed, FALSE)) AS checks_failed_or_missing,
+             coalesce(string_agg(section || '/' || metric || ': ' || detail, '; ' ORDER BY section, metric, detail)
+                      FILTER (NOT coalesce(passed, FALSE)), '') AS blockers FROM gates"""
 
 VALID_GENOTYPE = "gt IN ('0/0', '0/1', '1|0', '1/1', '1', '0/0/1')"
 
@@ -846,13 +885,17 @@ ORACLE |= {
              'scaled' AS estimands,
              string_agg(DISTINCT CASE method WHEN 'engine' THEN '1' ELSE '2' END, ','
                         ORDER BY CASE method WHEN 'engine' THEN '1' ELSE '2' END) AS versions FROM replicates""",
-    "release_gates": GATES + """
-      SELECT section, metric, round(CAST(observed AS DOUBLE), 6) AS observed, target, passed FROM gates""",
-    "release_overall": GATES + """
-      SELECT bool_and(coalesce(passed, FALSE)) AS release_ready, count(*) AS checks_total,
-             count(*) FILTER (coalesce(passed, FALSE)) AS checks_passed,
-             count(*) FILTER (NOT coalesce(passed, FALSE)) AS checks_failed_or_missing FROM gates""",
+    "release_gates": GATES + _EACH_GATE,
+    "release_overall": GATES + _ALL_GATES,
+    "campaign_gates": CAMPAIGN + _EACH_GATE,
+    "campaign_overall": CAMPAIGN + _ALL_GATES,
 }
 
 # Two ways to one result.
 ORACLE["library_search"] = ORACLE["library_scan"]
+# Read back from files, the tables are what they were.
+ORACLE["replicates_file"] = ORACLE["method_summary"]
+ORACLE["thresholds_file"] = ORACLE["select_thresholds"]
+ORACLE["popmap_file"] = as_ctes("people") + " SELECT sample, population FROM people"
+ORACLE["coordinates_file"] = as_ctes("places") + """
+      SELECT population, round(latitude, 9) AS latitude, round(longitude, 9) AS longitude FROM places"""

@@ -30,7 +30,7 @@ from driftway.operators.spectra import PAIR
 from driftway.plans import infer
 from driftway.plans.fixtures import frame
 from driftway.session import materialize, work_folder
-from driftway.sources import block_gzip, inventory, vcf
+from driftway.sources import block_gzip, inventory, tables, vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,6 +136,40 @@ def vcf_block_gzip_counts(spark, sf):
     return spectra.first_counts(counted).select("chrom", "pos", "ref", "alt", "population", "alt_count", "called_chromosomes")
 
 
+# Files written from the derived tables and read back through the readers and their rules.
+
+
+@query
+def popmap_file(spark, sf):
+    path = work_folder(spark, "popmap")
+    frame(spark, sf, "people").write.csv(path, sep="\t", header=True)
+    return tables.read_popmap(spark, path)
+
+
+@query
+def coordinates_file(spark, sf):
+    path = work_folder(spark, "coordinates")
+    frame(spark, sf, "places").write.csv(path, header=True)
+    return rounded(tables.validate_coordinates(tables.read_coordinates(spark, path)), 9)
+
+
+@query
+def replicates_file(spark, sf):
+    path = work_folder(spark, "replicates")
+    table = frame(spark, sf, "replicates")
+    table.write.csv(path, header=True)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+    return rounded(comparison.summarize_methods(tables.read_replicates(spark, path, kinds)), 8)
+
+
+@query
+def thresholds_file(spark, sf):
+    path = work_folder(spark, "thresholds") + ".json"
+    chosen = select_thresholds(spark, sf)
+    chosen.select(F.struct(*chosen.columns).alias("selected_thresholds")).coalesce(1).write.json(path)  # one row
+    return rounded(tables.load_thresholds(spark, path))
+
+
 @query
 def allele_counts(spark, sf):
     return counting.count_calls(frame(spark, sf, "calls"))
@@ -807,14 +841,28 @@ def comparison_metadata(spark, sf):
 # Gates.
 
 
+def _studies(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The tables that a release review reads, by section."""
+    labelled = [t.withColumn("method", F.lit(name)) for name, t in _method_tables(spark, sf).items()]
+    return {
+        "recovery_grid": frame(spark, sf, "grid_summary"),
+        "threshold_calibration": thresholds.evaluate_thresholds(frame(spark, sf, "evidence"), 0.6, 0.75, 0.2),
+        "mechanistic_linkage": summaries.summarize_linkage(_coverage(spark, sf)),
+        "external_comparison": comparison.summarize_methods(_combined(spark, sf)),
+        "comparison_record": comparison.comparison_metadata(labelled[0].unionByName(labelled[1])),
+        "data_requirements": _recommendation(spark, sf),
+    }
+
+
 def _gates(spark: SparkSession, sf: str) -> DataFrame:
-    criteria = gates.Criteria().checked()
-    selected = thresholds.evaluate_thresholds(frame(spark, sf, "evidence"), 0.6, 0.75, 0.2)
+    criteria, found = gates.Criteria().checked(), _studies(spark, sf)
+    record = found["comparison_record"].first().asDict(recursive=True)  # one row
     parts = (
-        gates.review_recovery_grid(frame(spark, sf, "grid_summary"), criteria),
-        gates.review_thresholds(selected, criteria),
-        gates.review_linkage(summaries.summarize_linkage(_coverage(spark, sf)), criteria),
-        gates.review_requirements(_recommendation(spark, sf)),
+        gates.review_recovery_grid(found["recovery_grid"], criteria),
+        gates.review_thresholds(found["threshold_calibration"], criteria),
+        gates.review_linkage(found["mechanistic_linkage"], criteria),
+        gates.review_comparison(found["external_comparison"], record, own_method="engine"),
+        gates.review_requirements(found["data_requirements"]),
     )
     table = parts[0]
     for part in parts[1:]:
@@ -822,14 +870,49 @@ def _gates(spark: SparkSession, sf: str) -> DataFrame:
     return table
 
 
+def _overall(checks: DataFrame) -> DataFrame:
+    told = F.transform("blockers", lambda b: F.concat(b["section"], F.lit("/"), b["metric"], F.lit(": "), b["detail"]))
+    return gates.overall(checks).withColumn("blockers", F.array_join(told, "; "))
+
+
 @query
 def release_gates(spark, sf):
-    return rounded(_gates(spark, sf).drop("detail"))
+    return rounded(_gates(spark, sf))
 
 
 @query
 def release_overall(spark, sf):
-    return gates.overall(_gates(spark, sf)).drop("blockers")
+    return _overall(_gates(spark, sf))
+
+
+def _campaign(spark: SparkSession, sf: str) -> str:
+    """A campaign folder with the files of all studies but the one on linkage."""
+    folder, found = work_folder(spark, "campaign"), _studies(spark, sf)
+    for section, name in (
+        ("recovery_grid", "recovery_grid_summary"), ("threshold_calibration", "selected_thresholds"),
+        ("external_comparison", "method_comparison_summary"),
+    ):
+        found[section].write.csv(f"{folder}/{section}/{name}.csv", header=True)
+    for section, name, table in (
+        ("external_comparison", "comparison_metadata", "comparison_record"), ("data_requirements", "data_requirements", "data_requirements"),
+    ):
+        found[table].coalesce(1).write.json(f"{folder}/{section}/{name}.json")  # one row
+    return folder
+
+
+@query
+def campaign_gates(spark, sf):
+    """Gates of a campaign read from its files; a study that left none is a failed check."""
+    folder = _campaign(spark, sf)
+    checks, _ = gates.review_campaign(spark, folder, own_method="engine")
+    return rounded(checks.withColumn("detail", F.replace("detail", F.lit(folder), F.lit("campaign"))))
+
+
+@query
+def campaign_overall(spark, sf):
+    folder = _campaign(spark, sf)
+    checks, _ = gates.review_campaign(spark, folder, own_method="engine")
+    return _overall(checks.withColumn("detail", F.replace("detail", F.lit(folder), F.lit("campaign"))))
 
 
 # End to end.

@@ -119,7 +119,7 @@ def test_hot_repeated_locus_folds_to_one_row(spark):
 def test_pairs_are_checked(spark):
     counts = counts_of(spark, EXACT)
     schema = "population_a string, population_b string"
-    with pytest.raises(ValueError, match="must be different"):
+    with pytest.raises(ValueError, match="two populations, not one twice"):
         spectra.check_pairs(counts, spark.createDataFrame([("A", "A")], schema))
     with pytest.raises(ValueError, match="absent from the counts table: Z"):
         spectra.check_pairs(counts, spark.createDataFrame([("A", "Z")], schema))
@@ -136,7 +136,7 @@ def test_fold_keeps_inner_mass(spark):
     assert folded[1, 3] == pytest.approx((inner[1, 3] + inner[3, 1]) / 2)
     assert cells(spectra.fold_spectra(table, 4, 4, polarized=True)) == inner
     assert len(cells(spectra.dense_cells(table.filter("i = 1"), 4, 4))) == 25
-    with pytest.raises(Exception, match="finite non-negative"):
+    with pytest.raises(Exception, match="not a finite number from 0 up"):
         spectra.validate_spectra(table.withColumn("mass", -F.col("mass"))).collect()
 
 
@@ -191,7 +191,7 @@ def test_block_bootstrap(spark):
     drawn = resample.resample_blocks(blocks, 5, 1)
     totals = drawn.groupBy("replicate").agg(F.sum("mass").alias("m")).collect()
     assert len(totals) == 5 and all(r["m"] == pytest.approx(6.0) for r in totals)
-    with pytest.raises(Exception, match="at least two resampling blocks"):
+    with pytest.raises(Exception, match="one block can't be resampled"):
         resample.resample_blocks(resample.block_spectra(shared, 10_000, 4, 4), 5, 1).collect()
     with pytest.raises(ValueError):
         resample.block_spectra(shared, 0, 4, 4)
@@ -199,7 +199,7 @@ def test_block_bootstrap(spark):
     assert resample.resampling_unit_label(500) == "500-bp genomic block"
 
 
-def test_python_estimator_skips_failures(spark):
+def test_python_estimator_tells_failures(spark):
     drawn = resample.resample_loci(configs_of(spark, BOOT), 4, 1, 4, 4)
 
     keys = [*PAIR, "replicate"]
@@ -208,7 +208,7 @@ def test_python_estimator_skips_failures(spark):
 
     def fit(frame):
         if (frame["i"] * frame["mass"]).sum() < limit - 1e-9:
-            raise ValueError
+            raise ValueError("too little mass")
         return 0.1, 0.2
 
     estimates = resample.grouped_estimator(fit)(drawn, keys)
@@ -217,10 +217,16 @@ def test_python_estimator_skips_failures(spark):
     assert failed >= 1
     assert (row["successful_replicates"], row["attempted_replicates"], row["preferred_direction_support"]) == (4 - failed, 5, 1.0)
 
+    told = resample.grouped_estimator(fit)(drawn, keys).filter("failure IS NOT NULL").collect()
+    assert len(told) == failed and all(r["failure"] == "ValueError: too little mass" for r in told)
+
     def never(frame):
-        raise ValueError
+        raise KeyError("no such model")
 
-    assert resample.grouped_estimator(never)(drawn, keys).count() == 0
+    lost = resample.grouped_estimator(never)(drawn, keys)
+    assert lost.count() == 4 and {r["failure"] for r in lost.collect()} == {"KeyError: 'no such model'"}
+    with pytest.raises(Exception, match="only one replicate, or none"):
+        resample.bootstrap_summary(lost, attempted=5).collect()
 
 
 def test_draws_of_a_key_do_not_depend_on_other_keys(spark):
@@ -249,6 +255,6 @@ def test_block_bootstrap_by_configuration_equals_the_one_by_cell(spark):
 def test_summary_needs_two_finite_estimates(spark):
     rows = [("A", "B", 0, 0.1, 0.2), ("A", "B", 1, float("nan"), 0.2)]
     estimates = spark.createDataFrame(rows, "population_a string, population_b string, replicate int, m_a_to_b double, m_b_to_a double")
-    with pytest.raises(Exception, match="fewer than two bootstrap replicates"):
+    with pytest.raises(Exception, match="only one replicate, or none"):
         resample.bootstrap_summary(estimates).collect()
     assert resample.bootstrap_summary(estimates, on_too_few="drop").count() == 0
