@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from driftway.functions.checks import require_columns
 from driftway.functions.rates import EARTH_RADIUS_KM, haversine_km, unit_vector
 from driftway.operators.ranking import linear_quantiles
+from driftway.session import broadcast_if_small, materialize, parts_of
 
 # Grid levels halve the cell side from 2 (the whole unit sphere) to about 25 m.
 _LEVELS = 19
 _ALL_BLOCKS = 16
+# A few bytes of points make many pairs, so tasks are dealt by pairs and points, and not by shuffled bytes.
+_PAIRS_PER_TASK = 8_000_000
+_POINTS_PER_TASK = 2_000
 
 
 def _positioned(coordinates: DataFrame) -> DataFrame:
@@ -63,10 +67,18 @@ def _side(name: str, points: DataFrame) -> DataFrame:
         F.col("population").alias(f"population_{name}"),
         F.col("latitude").alias(f"lat_{name}"),
         F.col("longitude").alias(f"lon_{name}"),
+        *[F.col(axis).alias(f"{axis}_{name}") for axis in "xyz"],
         *[c for c in points.columns if c not in ("ord", "population", "latitude", "longitude", "x", "y", "z")],
     )
 
 
+def _near(reach: Column) -> Column:
+    """Whether the chord of p and q is at most ``reach``, with some room for rounding: cheap, before the distance."""
+    square = sum(((F.col(f"{a}_p") - F.col(f"{a}_q")) * (F.col(f"{a}_p") - F.col(f"{a}_q")) for a in "xyz"), F.lit(0.0))
+    bound = (reach + 1e-12) * (1 + 1e-9)
+    return square <= bound * bound
+
+
 def _distance() -> Column:
     return haversine_km(F.col("lat_p"), F.col("lon_p"), F.col("lat_q"), F.col("lon_q"))
 
@@ -87,9 +99,27 @@ def pairs_within(points: DataFrame, max_distance_km: float) -> DataFrame:
     side = max(2 * math.sin(reach / 2), 1e-9) * (1 + 1e-9)
     cells = [_cell(axis, F.lit(side)) for axis in "xyz"]
     homes = points.select("*", *[c.alias(n) for c, n in zip(cells, ("cx", "cy", "cz"))])
-    seekers = points.select("*", F.explode(_around(F.lit(0), F.lit(side))).alias("at"))
+    # own cell, and of every two opposite ones around it one: each pair of cells meets once
+    own = (_cell(axis, F.lit(side)) for axis in "xyz")
+    half = F.filter(_around(F.lit(0), F.lit(side)), lambda c: F.struct(c["cx"], c["cy"], c["cz"]) >= F.struct(*own))
+    seekers = points.select("*", *[c.alias(f"o{n}") for c, n in zip(cells, ("cx", "cy", "cz"))], F.explode(half).alias("at"))
     seekers = seekers.select("*", "at.cx", "at.cy", "at.cz").drop("at")
-    met = _side("p", seekers).join(_side("q", homes), ["cx", "cy", "cz"]).filter("ord_p < ord_q")
+    cell = ["cx", "cy", "cz"]
+    at_home = F.expr("ocx = cx AND ocy = cy AND ocz = cz")
+    seekers = seekers.withColumn("own", at_home).drop("ocx", "ocy", "ocz")
+    # a cell with many pairs is met in several parts of its homes
+    work = homes.groupBy(*cell).agg(F.count("*").alias("_homes")).join(seekers.groupBy(*cell).agg(F.count("*").alias("_seekers")), cell)
+    blocks = F.ceil(F.col("_homes") * F.col("_seekers") / _PAIRS_PER_TASK).alias("_blocks")
+    work = materialize(work.select(*cell, blocks, (F.col("_homes") * F.col("_seekers")).alias("_pairs")))
+    total = work.agg(F.sum("_pairs"), F.count("*")).first()
+    parts = max(parts_of(2 * (total[0] or 0), _PAIRS_PER_TASK), parts_of(total[1], 10 * _POINTS_PER_TASK))
+    split = broadcast_if_small(work.select(*cell, "_blocks"))
+    dealt = F.pmod(F.xxhash64("ord"), F.col("_blocks")).alias("_block")
+    homes = homes.join(split, cell).select(*homes.columns, dealt).repartition(parts, *cell, "_block")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block")
+    seekers = seekers.join(split, cell).select(*seekers.columns, every).repartition(parts, *cell, "_block")
+    met = _side("p", seekers).join(_side("q", homes).hint("shuffle_hash"), [*cell, "_block"])
+    met = met.filter(_near(F.lit(side)) & (~F.col("own") | (F.col("ord_p") < F.col("ord_q"))))
     measured = met.withColumn("distance_km", _distance())
     return _ordered(measured.filter(F.col("distance_km") <= max_distance_km))
 

@@ -49,6 +49,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if fits_in_broadcast(df, max_rows) else df
 
 
+def parts_of(rows: int, each: int) -> int:
+    """Partitions for so many rows with about ``each`` in one; 20,000 at most."""
+    return max(1, min(20_000, -(-rows // each)))
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
