@@ -145,15 +145,19 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
 
     gridded = on_grid(leaders)
     # Own cell with more than k candidates: the k-th neighbour is within its diagonal.
+    parts = parts_of(points.count(), _POINTS_PER_TASK)
     crowded = gridded.groupBy(*cell).agg(F.count("*").alias("n")).filter(F.col("n") > k).drop("n")
     finest = on_grid(points).join(crowded, cell, "left_semi").groupBy("ord").agg(F.max("level").alias("fine"))
     # One level coarser the side exceeds that diagonal, so 27 cells are enough.
     level = F.greatest(F.coalesce(F.col("fine"), F.lit(0)) - 1, F.lit(0))
-    placed = points.join(finest, "ord", "left").withColumn("level", level).drop("fine")
+    # the k-th neighbour lies in the own cell of that finest level, so no farther than its diagonal
+    reach = F.coalesce(math.sqrt(3) * F.pow(F.lit(2.0), 1 - F.col("fine")), F.lit(4.0)).alias("reach")
+    placed = points.join(finest, "ord", "left").withColumns({"level": level, "reach": reach}).drop("fine")
     seekers = placed.select("*", F.explode(_around(F.col("level"), side)).alias("at")).drop("level")
     seekers = seekers.select("*", "at.*").drop("at")
-    met = _side("p", seekers).join(_side("q", gridded), cell).filter("ord_p <> ord_q")
-    measured = met.withColumn("distance_km", _distance())
+    seekers, gridded = seekers.repartition(parts, *cell), gridded.repartition(parts, *cell)
+    met = _side("p", seekers).join(_side("q", gridded).hint("shuffle_hash"), cell).filter(F.col("ord_p") != F.col("ord_q"))
+    measured = met.filter(_near(F.col("reach"))).withColumn("distance_km", _distance()).drop("reach", *cell)
     by_distance = Window.partitionBy("ord_p").orderBy("distance_km", "ord_q")
     ranked = measured.withColumn("neighbor_rank", F.row_number().over(by_distance))
     return ranked.filter(F.col("neighbor_rank") <= k)
