@@ -17,11 +17,13 @@ from driftway.functions.checks import is_finite
 from driftway.operators.draws import multinomial_weights
 from driftway.operators.ranking import bucketed_rank
 from driftway.operators.spectra import CONFIGURATION, PAIR, configurations, project
-from driftway.session import materialize
+from driftway.session import materialize, parts_of
 
 # Width of the ordinal buckets along a chromosome, in blocks.
 _ORDINAL_BUCKET = 4096
 _DRAWS_PER_ROW = 10_000
+# Draws that one task unrolls and counts.
+_DRAWS_PER_TASK = 500_000
 # Replicates carried side by side in one row.
 _LANES = 16
 
@@ -62,13 +64,16 @@ def draw_counts(sizes: DataFrame, replicates: int, seed: int, keys: list[str] =
     if replicates < 2:
         raise ValueError("two replicates at least are needed.")
     offset = F.col("seed_offset") if "seed_offset" in sizes.columns else F.lit(0)
+    # a row per key; a few bytes of chunks become many draws, so tasks are dealt by draws and not by the size of the chunks
+    sizes = materialize(sizes)
+    draws = (sizes.agg(F.sum("n")).first()[0] or 0) * replicates
     rows = sizes.select(
         *keys, "n", (F.lit(seed) + offset).alias("seed"),
         F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
     )
     chunks = rows.select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _DRAWS_PER_ROW))).alias("chunk")
-    ).repartition(*keys, "replicate", "chunk")
+    ).repartition(parts_of(draws, _DRAWS_PER_TASK), *keys, "replicate", "chunk")
     start = F.col("chunk") * _DRAWS_PER_ROW
     stop = F.least(F.col("n"), start + _DRAWS_PER_ROW) - 1
     draws = chunks.select(*keys, "n", "seed", "replicate", F.explode(F.sequence(start, stop)).alias("draw"))

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from driftway.operators import geography
+from driftway.operators import counts, geography, resample
+from driftway.plans import fixtures
 
 
 def most_tasks(spark, name, action):
@@ -41,3 +42,21 @@ def test_nearest_are_dealt_by_points(spark, monkeypatch):
     table = places(spark, 1000)
     got = geography.candidate_pairs(table, k_nearest=3)
     assert most_tasks(spark, "nearest", got.collect) > 16
+
+
+def test_orders_are_joined_in_tasks_of_bounded_size(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    whole = {tuple(r) for r in counts.count_calls(fixtures.frame(spark, folder, "calls")).collect()}
+    monkeypatch.setattr(fixtures, "_LINES_PER_TASK", 200, raising=False)
+    got = counts.count_calls(fixtures.frame(spark, folder, "calls"))
+    assert most_tasks(spark, "calls", lambda: {tuple(r) for r in got.collect()}) > 16
+    assert {tuple(r) for r in got.collect()} == whole
+
+
+def test_draws_are_dealt_by_draws(spark, monkeypatch):
+    sizes = spark.createDataFrame([("A", "B", 30_000)], "population_a string, population_b string, n long")
+    want = {tuple(r) for r in resample.draw_counts(sizes, 4, 1).collect()}
+    monkeypatch.setattr(resample, "_DRAWS_PER_TASK", 5_000, raising=False)
+    got = resample.draw_counts(sizes, 4, 1)
+    assert most_tasks(spark, "draws", lambda: got.collect()) > 16
+    assert {tuple(r) for r in got.collect()} == want and sum(r[-1] for r in want) == 4 * 30_000
