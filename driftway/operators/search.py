@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from driftway.functions.special import log_gamma1p
 from driftway.operators.ranking import bucketed_rank
 from driftway.operators.spectra import PAIR, fold_spectra
-from driftway.session import broadcast_if_small, materialize
+from driftway.session import broadcast_if_small, fits_in_broadcast, materialize
 
 ENTRY = ["model", "param_id"]
 # Blocks per side of the coarse spectrum, and steps of the logarithm of a block's share.
@@ -31,6 +31,9 @@ _LANES = 8
 _SLOT_BUCKETS = 256
 # Stands for an empty block.
 _LEAST = 1e-300
+# Rows of spectra, or of spectra by parts, that are broadcast. What has a row per entry or cluster grows with the library:
+# it is joined by merging, so that neither a count nor an estimated size sends it through the driver.
+_SPECTRA_ROWS = 50_000
 
 
 def coarse_cells(chromosomes_a: int, chromosomes_b: int, polarized: bool, grid: int = GRID) -> list[tuple[int, int, int, float]]:
@@ -88,7 +91,7 @@ class LibrarySearch:
     def _clusters(self, parts: DataFrame, by: list[str]) -> DataFrame:
         """entry, ``by``, model_total and cluster of every entry of ``parts``."""
         more = [c for c in by if c not in ENTRY]
-        own = self.totals.join(parts.select(*ENTRY, *more), ENTRY, "inner" if more else "left_semi")
+        own = self.totals.join(parts.select(*ENTRY, *more).hint("merge"), ENTRY, "inner" if more else "left_semi")
         shapes = [f"_s{k}" for k in range(len(STEPS))]
         sizes = own.agg(F.count("*"), *[F.approx_count_distinct(F.xxhash64(*by, s)) for s in shapes]).first()
         fine = [s for s, n in zip(shapes, sizes[1:]) if n * ENTRIES_PER_CLUSTER <= sizes[0]]
@@ -96,7 +99,7 @@ class LibrarySearch:
 
     def _bounds(self, entries: DataFrame) -> DataFrame:
         """cluster, _group and the bound of each lane's spectrum; null where the cluster expects nothing in a cell with data."""
-        raw = self.library.join(broadcast_if_small(entries.select(*ENTRY, "model_total", "cluster")), ENTRY)
+        raw = self.library.join(entries.select(*ENTRY, "model_total", "cluster").hint("merge"), ENTRY)
         share = F.max(F.col("expected") / F.col("model_total")).alias("share")
         # folded sums of envelopes are no less than envelopes of folded sums
         envelope = fold_spectra(raw.groupBy("cluster", "i", "j").agg(share), *self.sizes, ["cluster"], value="share", polarized=self.polarized)
@@ -109,19 +112,20 @@ class LibrarySearch:
         held = self.facts.groupBy(F.floor(F.col("slot") / _LANES).alias("_group")).agg(
             *[F.max(F.when(lane == k, F.col("data_cells"))).alias(f"_c{k}") for k in lanes]
         )
-        met = logs.join(broadcast_if_small(materialize(packed)), ["i", "j"]).groupBy("cluster", "_group").agg(
+        met = logs.join(broadcast_if_small(materialize(packed), _SPECTRA_ROWS), ["i", "j"]).groupBy("cluster", "_group").agg(
             *[F.sum(F.col(f"_w{k}") * F.col("log_share")).alias(f"_x{k}") for k in lanes],
             *[F.count_if(F.col(f"_w{k}") > 0).alias(f"_n{k}") for k in lanes],
         )
         whole = [F.when(F.col(f"_n{k}") == F.col(f"_c{k}"), F.col(f"_x{k}")).alias(f"_u{k}") for k in lanes]
-        return materialize(met.join(broadcast_if_small(held), "_group").select("cluster", "_group", *whole))
+        return materialize(met.join(broadcast_if_small(held, _SPECTRA_ROWS), "_group").select("cluster", "_group", *whole))
 
     def scores(self, pairs: DataFrame) -> DataFrame:
         """slot, model, param_id, log_likelihood and theta of the pairs (slot, model, param_id), by all cells.
 
         Spectra and entries meet as arrays over the cells in one order, so a pair stays one row.
         """
-        wanted = broadcast_if_small(materialize(pairs.select(*ENTRY).distinct()))
+        wanted = materialize(pairs.select(*ENTRY).distinct())
+        wanted = F.broadcast(wanted) if fits_in_broadcast(wanted, _SPECTRA_ROWS) else wanted.hint("merge")
         raw = self.library.join(wanted, ENTRY, "left_semi").select(*ENTRY, "i", "j", "expected")
         expected = fold_spectra(raw, *self.sizes, ENTRY, value="expected", polarized=self.polarized)
         cells = [i * (self.sizes[1] + 1) + j for i in range(self.sizes[0] + 1) for j in range(self.sizes[1] + 1)]
@@ -134,12 +138,12 @@ class LibrarySearch:
 
         logs = arrays(expected.filter("expected > 0"), ENTRY, F.log("expected"), "logs")
         data = arrays(self.data, ["slot"], F.col("mass"), "masses")
-        met = pairs.select("slot", *ENTRY).join(broadcast_if_small(data), "slot").join(logs, ENTRY, "left")
+        met = pairs.select("slot", *ENTRY).join(broadcast_if_small(data, _SPECTRA_ROWS), "slot").join(logs.hint("merge"), ENTRY, "left")
         # null where the spectrum has data and the entry expects nothing
         terms = F.zip_with("masses", "logs", lambda d, x: F.when(d.isNull(), F.lit(0.0)).otherwise(d * x))
         cross = F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)
-        full = met.select("slot", *ENTRY, cross.alias("cross")).join(broadcast_if_small(self.facts), "slot").join(
-            self.totals.select(*ENTRY, "model_total"), ENTRY
+        full = met.select("slot", *ENTRY, cross.alias("cross")).join(broadcast_if_small(self.facts, _SPECTRA_ROWS), "slot").join(
+            self.totals.select(*ENTRY, "model_total").hint("merge"), ENTRY
         )
         theta = F.col("data_total") / F.col("model_total")
         ll = F.col("cross") + F.col("data_total") * F.log(theta) - F.col("data_total") - F.col("constant")
@@ -154,7 +158,7 @@ class LibrarySearch:
         entries = materialize(self._clusters(parts, by))
         first = F.min(F.struct("param_id", *[c for c in dict.fromkeys([*ENTRY, *by]) if c != "param_id"])).alias("first")
         clusters = entries.groupBy("cluster").agg(first)
-        bounds = self._bounds(entries).join(broadcast_if_small(clusters), "cluster").select(
+        bounds = self._bounds(entries).join(clusters.hint("merge"), "cluster").select(
             "*", *[F.col(f"first.{c}").alias(c) for c in by]
         )
         # an entry of the cluster with the highest bound; where no cluster has one, the entry with the smallest id
@@ -169,11 +173,11 @@ class LibrarySearch:
         packed = least.groupBy(*by, F.floor(F.col("slot") / _LANES).alias("_group")).agg(
             *[F.max(F.when(F.col("slot") % _LANES == k, F.col("least"))).alias(f"_t{k}") for k in lanes]
         )
-        met = bounds.join(broadcast_if_small(materialize(packed)), [*by, "_group"])
+        met = bounds.join(broadcast_if_small(materialize(packed), _SPECTRA_ROWS), [*by, "_group"])
         # a cluster without a bound can't be better than -inf, so it counts only where nothing else is found
         marks = F.array(*[F.coalesce(F.coalesce(F.col(f"_u{k}"), F.lit(float("-inf"))) >= F.col(f"_t{k}"), F.lit(False)) for k in lanes])
         reached = self._lanes(met.filter(F.exists(marks, lambda m: m)), ["cluster"], marks, "reached").filter("reached")
-        return reached.select("slot", "cluster").join(entries.drop("model_total"), "cluster").drop("cluster")
+        return reached.select("slot", "cluster").join(entries.drop("model_total").hint("merge"), "cluster").drop("cluster")
 
     @staticmethod
     def _lanes(rows: DataFrame, keep: list[str], values: Column, name: str) -> DataFrame:
@@ -193,7 +197,7 @@ class LibrarySearch:
         entry of a part expects nothing in a cell with data, the smallest id comes with -inf.
         """
         found = materialize(self.candidates(parts, by, tie))
-        scored = materialize(found.join(self.scores(found), ["slot", *ENTRY]))
+        scored = materialize(found.join(self.scores(found).hint("merge"), ["slot", *ENTRY]))
         return best_of(scored, ["slot", *by], tie).join(self.facts.select("slot", *self.keys), "slot").select(
             *self.keys, *by, *[c for c in ("param_id",) if c not in by], "log_likelihood", "theta"
         )

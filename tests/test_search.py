@@ -80,3 +80,13 @@ def test_hopeless_entries_and_ties(spark):
     got = {r["model"]: r for r in search.best_entries(cells, library, SIZE, SIZE, KEYS, polarized=True).collect()}
     assert got["isolation"]["param_id"] == 3 and math.isfinite(got["isolation"]["log_likelihood"])
     assert got["symmetric_migration"]["param_id"] == 2 and got["symmetric_migration"]["log_likelihood"] == -math.inf
+
+
+def test_entries_are_not_sent_through_the_driver(spark, capsys):
+    found = search.LibrarySearch(spectra_of(spark, 2), library_of(spark), SIZE, SIZE, KEYS)
+    parts = found.totals.select(*search.ENTRY)
+    found._clusters(parts, ["param_id"]).explain()
+    found.scores(parts.withColumn("slot", F.lit(0).cast("long"))).explain()
+    plan = capsys.readouterr().out
+    merged = [line for line in plan.splitlines() if "SortMergeJoin" in line and "model" in line]
+    assert len(merged) >= 3 and not [line for line in plan.splitlines() if "HashJoin [" in line and "param_id" in line and "LeftSemi" not in line]
