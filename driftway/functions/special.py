@@ -12,6 +12,7 @@ from functools import reduce
 from operator import mul
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +83,21 @@ def project_side(df: DataFrame, called: str, alt: str, target: int, k: str, p: s
     )
 
 
+def project_counts(called: np.ndarray, alt: np.ndarray, target: int) -> np.ndarray:
+    """The probabilities of ``project_side`` for arrays: a row per (called, alt), a column per count from 0 to ``target``."""
+    factorials = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1.0, called.max() + 1)))])
+    k, alt, called = np.arange(target + 1), alt[:, None], called[:, None]
+    reference = called - alt
+    there = (k <= alt) & (target - k <= reference)
+
+    def log_choose(n, m):
+        m = np.where(there, m, 0)
+        return factorials[n] - factorials[m] - factorials[np.where(there, n - m, n)]
+
+    logs = log_choose(alt, k) + log_choose(reference, target - k) - log_choose(called, np.full_like(k, target))
+    return np.where(there, np.exp(logs), 0.0)
+
+
 def hypergeom_table(sizes: DataFrame, target: int) -> DataFrame:
     """Rows (called, alt, k, p) for every distinct (called, alt) with enough called chromosomes."""
     keyed = sizes.select("called", "alt").distinct().filter(F.col("called") >= target)

@@ -10,10 +10,13 @@ from collections.abc import Callable
 from fractions import Fraction
 from math import factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftway.functions.checks import is_finite
+from driftway.functions.special import project_counts
 from driftway.operators.draws import multinomial_weights
 from driftway.operators.ranking import bucketed_rank
 from driftway.operators.spectra import CONFIGURATION, PAIR, configurations, project
@@ -24,6 +27,8 @@ _ORDINAL_BUCKET = 4096
 _DRAWS_PER_ROW = 10_000
 # Draws that one task unrolls and counts.
 _DRAWS_PER_TASK = 500_000
+# Numbers that a task holds at once when it adds up projected cells.
+_CELLS_AT_ONCE = 2_000_000
 # Replicates carried side by side in one row.
 _LANES = 16
 
@@ -41,9 +46,45 @@ def block_configurations(shared: DataFrame, block_size_bp: int) -> DataFrame:
 
 
 def block_spectra(shared: DataFrame, block_size_bp: int, chromosomes_a: int, chromosomes_b: int) -> DataFrame:
-    """Projected mass per pair, window and cell; windows without a usable locus are absent."""
-    blocks = block_configurations(shared, block_size_bp)
-    return project(blocks, chromosomes_a, chromosomes_b, [*PAIR, "chrom", "block"])
+    """Projected mass per pair, window and cell; windows without a usable locus are absent.
+
+    A window's few configurations meet in one row, and its cells are added up there: no row per configuration and cell.
+    """
+    if chromosomes_a < 1 or chromosomes_b < 1:
+        raise ValueError("a projection size is below 1.")
+    usable = block_configurations(shared, block_size_bp).filter((F.col("n_a") >= chromosomes_a) & (F.col("n_b") >= chromosomes_b))
+    keys = [*PAIR, "chrom", "block"]
+    held = usable.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(c).cast("long") for c in CONFIGURATION], "loci")).alias("held"))
+    cells = (chromosomes_a + 1) * (chromosomes_b + 1)
+    step = max(1, _CELLS_AT_ONCE // cells)
+
+    def rows(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                mass = _window_cells(part.column(len(keys)), chromosomes_a, chromosomes_b, step)
+                row, cell = np.nonzero(mass)
+                found = [part.column(k).take(pa.array(row)) for k in range(len(keys))]
+                i, j = np.divmod(cell, chromosomes_b + 1)
+                yield pa.RecordBatch.from_arrays([*found, pa.array(i), pa.array(j), pa.array(mass[row, cell])], names=[*keys, "i", "j", "mass"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name in keys]
+    return held.mapInArrow(rows, ", ".join([*kinds, "i long", "j long", "mass double"]))
+
+
+def _window_cells(held: pa.ListArray, chromosomes_a: int, chromosomes_b: int, step: int) -> np.ndarray:
+    """Projected mass, a row per list of configurations and a column per cell."""
+    ends = held.value_lengths().to_numpy().cumsum()
+    n_a, x_a, n_b, x_b, loci = (part.to_numpy() for part in held.flatten().flatten())
+    mass = np.zeros((len(held), (chromosomes_a + 1) * (chromosomes_b + 1)))
+    for at in range(0, len(loci), step):
+        to = slice(at, at + step)
+        a = project_counts(n_a[to], x_a[to], chromosomes_a) * loci[to, None]
+        both = a[:, :, None] * project_counts(n_b[to], x_b[to], chromosomes_b)[:, None, :]
+        window = np.searchsorted(ends, np.arange(at, at + len(both)), side="right")
+        first = np.flatnonzero(np.diff(window, prepend=-1))
+        mass[window[first]] += np.add.reduceat(both.reshape(len(both), -1), first)
+    return mass
 
 
 def block_ordinals(blocks: DataFrame, keys: list[str] = PAIR) -> DataFrame:

@@ -1,6 +1,7 @@
 """Steps whose few input bytes become much work are dealt to tasks by that work."""
 
 import random
+from math import comb
 
 from pyspark.sql import functions as F
 
@@ -60,3 +61,21 @@ def test_draws_are_dealt_by_draws(spark, monkeypatch):
     got = resample.draw_counts(sizes, 4, 1)
     assert most_tasks(spark, "draws", lambda: got.collect()) > 16
     assert {tuple(r) for r in got.collect()} == want and sum(r[-1] for r in want) == 4 * 30_000
+
+
+def test_cells_of_a_window_are_added_in_place(spark):
+    shared = spark.createDataFrame(
+        [("A", "B", "c", pos, "A", "G", n, x, 9, y) for pos, n, x, y in ((5, 8, 3, 4), (6, 12, 3, 0), (150, 10, 9, 9), (151, 7, 1, 1))],
+        "population_a string, population_b string, chrom string, pos long, ref string, alt string, n_a long, x_a long, n_b long, x_b long",
+    )
+    table = resample.block_spectra(shared, 100, 8, 8)
+    assert "MapInArrow" in table._jdf.queryExecution().toString()  # no row per configuration and cell is shuffled
+    got = {(r["block"], r["i"], r["j"]): r["mass"] for r in table.collect()}
+    want = {}
+    for block, n, x, y in ((0, 8, 3, 4), (0, 12, 3, 0), (1, 10, 9, 9)):
+        for i in range(9):
+            for j in range(9):
+                p = [comb(a, k) * comb(m - a, 8 - k) / comb(m, 8) for m, a, k in ((n, x, i), (9, y, j))]
+                if p[0] * p[1] > 0:
+                    want[block, i, j] = want.get((block, i, j), 0.0) + p[0] * p[1]
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
