@@ -26,7 +26,10 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id: Jaccard 0.8 of five-word shingles."""
+    """One document of each group of near-duplicates, the one with the smallest doc_id: Jaccard 0.8 of five-word shingles.
+
+    SimHash links (operator 5) make the first groups, and shingle prefixes find what lies beyond two bits; both are verified.
+    """
     return near_copies.deduplicated(docs)
 
 

@@ -89,6 +89,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def give_back() -> None:
+    """Return freed memory of a worker to the system. Workers live on from stage to stage, and what one stage has freed is
+    otherwise counted on top of what the next one takes."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``fn(batch) -> {column: values}`` over small Arrow batches of ``df``."""
     names = [part.split()[0] for part in schema.split(", ")]
@@ -101,6 +114,7 @@ def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
                     [v if isinstance(v, pa.Array) else pa.array(v, type=arrow_type(schema, n)) for n, v in ((n, out[n]) for n in names)],
                     names=names,
                 )
+        give_back()
 
     shipped(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -160,6 +174,7 @@ def keep_batches(df: DataFrame, column: str, fn: Callable) -> DataFrame:
         for batch in slices(batches):
             if batch.num_rows:
                 yield batch.filter(pa.array(fn(batch.column(position).to_pylist()), pa.bool_()))
+        give_back()
 
     shipped(df.sparkSession)
     return df.mapInArrow(run, df.schema)

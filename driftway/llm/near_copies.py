@@ -1,9 +1,13 @@
 """Near copies by word shingles: every pair of texts with Jaccard similarity of at least 4/5, found and verified exactly.
 
-A fingerprint of 64 bits can't carry this rule: at similarity 0.8 it is about ten bits away, too far for any index over its
-segments. So the index is over the shingles themselves. All shingles are put in one order; two sets with similarity of at
-least 4/5 share one of the first n - ceil(4n/5) + 1 shingles of each, where n is the set's own size, whatever the order is.
-Shingles that a sample shows in many texts come last in it, so boilerplate does not gather unlike texts.
+First come SimHash fingerprints of the shingle sets: those that are equal or differ in at most two bits are found by
+multi-index hashing (``simhash.links``), their sets are compared exactly, and what they link are the first groups.
+
+At similarity 0.8 fingerprints are about ten bits apart, too far for any index over segments of 64 bits. So pairs from
+different groups are looked for once more, by the shingles themselves. All shingles are put in one order; two sets with
+similarity of at least 4/5 share one of the first n - ceil(4n/5) + 1 shingles of each, where n is the set's own size,
+whatever the order is. Shingles that a sample shows in many texts come last in it, so boilerplate does not gather unlike
+texts.
 
 Under a shingle that few sets hold, all pairs are verified. Under a crowded one, all are verified with a few leaders first;
 where this leaves members in different groups, every pair of members from different groups is verified. Only pairs inside
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftway.llm.common import blank_words, map_batches, written
-from driftway.llm.simhash import components, first_of_each
+from driftway.llm.simhash import components, first_of_each, links, majority
 from driftway.session import broadcast_if_small
 
 SHINGLE = 5
@@ -92,31 +96,42 @@ def _common(own: DataFrame, size: int) -> np.ndarray:
 
 
 def _marked(own: DataFrame, size: int) -> DataFrame:
-    """doc_id, text_hash, set (its mark), n, bit map and prefix of every row."""
+    """doc_id, text_hash, set (its mark), n, fp (SimHash), bit map and prefix of every row."""
     common = own.sparkSession.sparkContext.broadcast(_common(own, size))
 
     def rows(batch):
         found = [shingles(t, size) for t in batch.column(2).to_pylist()]
         return {
             "doc_id": batch.column(0), "text_hash": batch.column(1), "set": pa.array([mark(f) for f in found], pa.int64()),
-            "n": [len(f) for f in found], "bits": [bit_map(f) for f in found], "prefix": [prefix(f, common.value) for f in found],
+            "n": [len(f) for f in found], "fp": pa.array([majority(f.view(np.uint64)) for f in found], pa.int64()),
+            "bits": [bit_map(f) for f in found], "prefix": [prefix(f, common.value) for f in found],
         }
 
-    return map_batches(own, rows, "doc_id long, text_hash long, set long, n long, bits array<long>, prefix array<long>")
+    return map_batches(own, rows, "doc_id long, text_hash long, set long, n long, fp long, bits array<long>, prefix array<long>")
+
+
+def _alike(nodes: DataFrame) -> DataFrame:
+    """(a, b), a > b: sets whose fingerprints are equal or differ in one or two bits, enough pairs to join all such sets."""
+    firsts = written(nodes.groupBy("fp").agg(F.min("set").alias("set")), "fingerprints")
+    one, two = (firsts.select(F.col("fp").alias(k), F.col("set").alias(f"set{k}")) for k in "ab")
+    far = links(firsts.select("fp")).join(one, "a").join(two, "b").select("seta", "setb")
+    same = nodes.select("fp", F.col("set").alias("seta")).join(firsts.withColumnRenamed("set", "setb"), "fp").filter("seta <> setb")
+    both = far.unionByName(same.select("seta", "setb"))
+    return both.select(F.greatest("seta", "setb").alias("a"), F.least("seta", "setb").alias("b"))
 
 
-def _paired(members: DataFrame, more: str = "true") -> DataFrame:
-    """(a, b), a > b: sets under one shingle whose sizes allow the similarity."""
+def _paired(members: DataFrame) -> DataFrame:
+    """(a, b), a > b: sets of different groups under one shingle whose sizes allow the similarity."""
     one, two = members.alias("x"), members.alias("y")
-    sizes = F.expr(f"x.set > y.set AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n AND {more}")
+    sizes = F.expr("x.set > y.set AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n AND x.root <> y.root")
     return one.join(two, (F.col("x.e") == F.col("y.e")) & sizes).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
 
 
 def _starred(crowded: DataFrame) -> DataFrame:
-    """(a, b), a > b: members of crowded shingles with the leaders there."""
-    best = [F.min(F.struct(F.xxhash64("set", F.lit(k)).alias("h"), "set", "n")) for k in range(LEADERS)]
+    """(a, b), a > b: members of crowded shingles with the leaders there, where they are not in one group."""
+    best = [F.min(F.struct(F.xxhash64("set", F.lit(k)).alias("h"), "set", "n", "root")) for k in range(LEADERS)]
     leaders = crowded.groupBy("e").agg(F.array_distinct(F.array(*best)).alias("l")).select("e", F.explode("l").alias("l"))
-    near = (F.col("set") != F.col("l.set")) & (5 * F.col("n") >= 4 * F.col("l.n")) & (5 * F.col("l.n") >= 4 * F.col("n"))
+    near = (F.col("root") != F.col("l.root")) & (5 * F.col("n") >= 4 * F.col("l.n")) & (5 * F.col("l.n") >= 4 * F.col("n"))
     return crowded.join(leaders, "e").filter(near).select(F.greatest("set", "l.set").alias("a"), F.least("set", "l.set").alias("b")).distinct()
 
 
@@ -146,28 +161,37 @@ def _verified(pairs: DataFrame, own: DataFrame, rows: DataFrame, size: int) -> D
     return written(both.filter(9 * shared >= 4 * (F.size("p") + F.size("q"))).select("a", "b"), "near")
 
 
+def _labels(near: DataFrame) -> DataFrame:
+    return components(near).select(F.col("node").alias("set"), "root")
+
+
 def _grouped(docs: DataFrame, size: int, limit: int) -> DataFrame:
     """doc_id, text_hash and root (the smallest mark of the group) of every row."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("text"))
     rows = written(_marked(own, size), "marked")
-    nodes = written(rows.select("set", "n", "bits").dropDuplicates(["set"]), "nodes")
+    nodes = written(rows.select("set", "n", "fp", "bits").dropDuplicates(["set"]), "nodes")
+    near = _verified(written(_possible(_alike(nodes), nodes), "alike"), own, rows, size)
+    labels = _labels(near)
     members = rows.select("set", "prefix").dropDuplicates(["set"]).select(F.explode("prefix").alias("e"), "set")
     # most shingles are those of one set: they go as soon as all of a shingle are in one place, and no count is needed
     beside = Window.partitionBy("e").orderBy("set")
     met = members.select("e", "set", F.lag("set").over(beside).alias("_one"), F.lead("set").over(beside).alias("_two"))
     met = written(met.filter("_one IS NOT NULL OR _two IS NOT NULL").select("e", "set"), "met")
     counts = met.groupBy("e").count()
-    shared = written(met.join(nodes.select("set", "n"), "set").join(counts, "e"), "shared")
+    named = nodes.select("set", "n").join(labels, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    shared = written(met.join(named, "set").join(counts, "e"), "shared")
     few, crowded = shared.filter(F.col("count") <= limit), shared.filter(F.col("count") > limit)
-    near = _verified(written(_possible(_paired(few).unionByName(_starred(crowded)).distinct(), nodes), "pairs"), own, rows, size)
-    labels = components(near).select(F.col("node").alias("set"), "root")
-    split = crowded.join(labels, "set", "left").select("e", "set", "n", F.coalesce("root", "set").alias("root"))
+    more = _verified(written(_possible(_paired(few).unionByName(_starred(crowded)).distinct(), nodes), "pairs"), own, rows, size)
+    if not more.isEmpty():
+        near = near.unionByName(more)
+        labels = _labels(near)
+    split = crowded.drop("root").join(labels, "set", "left").select("e", "set", "n", F.coalesce("root", "set").alias("root"))
     apart = split.groupBy("e").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("e")
     split = written(split.join(apart, "e", "left_semi"), "split")
     if not split.isEmpty():
-        more = _verified(written(_possible(_paired(split, "x.root <> y.root"), nodes), "pairs"), own, rows, size)
+        more = _verified(written(_possible(_paired(split), nodes), "pairs"), own, rows, size)
         if not more.isEmpty():
-            labels = components(near.unionByName(more)).select(F.col("node").alias("set"), "root")
+            labels = _labels(near.unionByName(more))
     return rows.select("doc_id", "text_hash", "set").join(labels, "set", "left").select(
         "doc_id", "text_hash", F.coalesce("root", "set").alias("root")
     )

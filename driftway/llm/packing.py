@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftway.llm.common import default_parts, map_batches, shipped, slices, written
+from driftway.llm.common import default_parts, give_back, map_batches, shipped, slices, written
 from driftway.llm.tokens import encoder, vocabulary
 
 LENGTH = 1024
@@ -150,6 +150,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary_path: str | None = No
                 filled += n
             if out["part"]:
                 yield pa.RecordBatch.from_pydict(out, schema)
+        give_back()
 
     schema = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.int64()) for c in _PIECES.split(", ")])
     shipped(spark)

@@ -41,7 +41,11 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
         starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - size + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist())]
-    values = np.array(hashes, dtype=np.uint64)
+    return majority(np.array(hashes, dtype=np.uint64))
+
+
+def majority(values: np.ndarray) -> int:
+    """Signed 64-bit fingerprint of unsigned 64-bit hashes: a bit is set if it is in over half of them."""
     counts = np.zeros(64, np.int64)
     for start in range(0, len(values), 4096):
         counts += np.unpackbits(values[start : start + 4096, None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

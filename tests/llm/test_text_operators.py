@@ -264,6 +264,27 @@ def test_near_copies_against_all_pairs(spark, limit):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(map(min, best.values()))
 
 
+def test_near_copies_are_linked_by_their_fingerprints(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for base in range(20):
+        words = prose(rng, 400, 1000 * base).split()
+        rows += [(10 * base, " ".join(words)), (10 * base + 1, " ".join([*words, "more"]))]  # one shingle more
+    sets = [near_copies.shingles(t).view(np.uint64) for _, t in rows]
+    marks = [simhash.majority(s) for s in sets]
+    near = [k for k in range(0, 40, 2) if ((marks[k] ^ marks[k + 1]) & (2**64 - 1)).bit_count() <= 2]
+    assert len(near) > 10
+    monkeypatch.setattr(near_copies, "_paired", lambda members: near_copies_none(members))
+    monkeypatch.setattr(near_copies, "_starred", lambda members: near_copies_none(members))
+    kept = {r["doc_id"] for r in near_copies.deduplicated(docs(spark, rows)).collect()}
+    # without shingle prefixes, just the links of fingerprints are left
+    assert {10 * base for base in range(20)} <= kept and len(kept) == len(rows) - len(near)
+
+
+def near_copies_none(members):
+    return members.select(members["set"].alias("a"), members["set"].alias("b")).limit(0)
+
+
 def test_prefixes_against_a_long_list_take_no_time():
     rng = np.random.default_rng(8)
     common = np.unique(rng.integers(-(1 << 62), 1 << 62, 1_000_000))
