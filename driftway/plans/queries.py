@@ -29,7 +29,7 @@ from driftway.operators import (
 from driftway.operators.spectra import PAIR
 from driftway.plans import infer
 from driftway.plans.fixtures import frame
-from driftway.session import materialize, work_folder
+from driftway.session import materialize, parts_of, work_folder
 from driftway.sources import block_gzip, inventory, tables, vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,8 @@ REPLICATES = 20
 SEED = 42
 NE = 500
 MODEL_KEYS = ["pair_id", "model"]
+# Lines of a written VCF file. A compressed file is one task, for its writer and for its reader.
+_LINES_PER_FILE = 5_000
 
 
 def query(build: Query) -> Query:
@@ -106,7 +108,8 @@ def vcf_files(spark: SparkSession, sf: str) -> list[str]:
     repeated = text.filter(first & (F.col("line_in_file") % 5 == 0)).withColumn("value", F.regexp_replace("value", "0/0", "1/1"))
     parts = {"a": text.filter(first), "b": text.filter(~first).unionByName(repeated)}
     for name, part in parts.items():
-        files = part.select("value").repartition(3).mapInArrow(headed, "value string")
+        count = max(3, parts_of(part.count(), _LINES_PER_FILE))
+        files = part.select("value").repartition(count).mapInArrow(headed, "value string")
         files.write.option("compression", "none" if name == "a" else "gzip").text(f"{folder}/{name}")
     return [f"{folder}/{name}" for name in parts]
 
@@ -129,7 +132,8 @@ def vcf_block_gzip_counts(spark, sf):
     # a repeated locus stands behind all others of its file
     text = text.select("value", F.col("line_in_file").alias("locus"), F.lit(0).alias("turn"))
     again = text.filter(F.col("locus") % 7 == 0).select(changed.alias("value"), "locus", F.lit(1).alias("turn"))
-    both = text.unionByName(again).repartition(3, "locus").sortWithinPartitions("turn", "locus")
+    count = max(3, parts_of(text.count(), _LINES_PER_FILE))
+    both = text.unionByName(again).repartition(count, "locus").sortWithinPartitions("turn", "locus")
     files = block_gzip.write_block_gzip(both, folder, head, block_text=8192)
     read = vcf.read_vcf_lines(spark, files, range_bytes=16_384)
     counted = vcf.allele_counts_from_lines(read, vcf.read_headers(spark, files), frame(spark, sf, "popmap"))

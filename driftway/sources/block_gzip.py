@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RANGE_BYTES = 32 << 20
+# Compressed bytes of a task where ranges are smaller; it takes neighbouring ranges.
+_TASK_BYTES = 4 << 20
 # Text of a written block, below the 64 KiB that a block may hold.
 BLOCK_TEXT = 65_280
 _MOST = 1 << 16
@@ -61,14 +63,15 @@ def _block(text: bytes) -> bytes:
 
 
 class _Range:
-    """Compressed bytes from a place of a file on, a megabyte at a time."""
+    """Compressed bytes from a place of a file on, a megabyte at a time, or less for a short range."""
 
-    def __init__(self, stream, start: int):
+    def __init__(self, stream, start: int, end: int):
         stream.seek(start)
         self.stream, self.data, self.base, self.at = stream, b"", start, 0
+        self.piece = max(_MOST, min(1 << 20, end - start))
 
     def more(self) -> bool:
-        data = self.stream.read(1 << 20)
+        data = self.stream.read(self.piece)
         self.data = self.data[self.at :] + data
         self.base += self.at
         self.at = 0
@@ -111,6 +114,24 @@ class _Range:
             raise ValueError(f"the file breaks off at byte {self.base + len(self.data)}.")
 
 
+def _opened(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Each row, its file's name first, with the open file; it stays open over the rows that follow with the same name."""
+    from pyarrow import fs
+
+    last, stream = None, None
+    try:
+        for row in rows:
+            if row[0] != last:
+                if stream is not None:
+                    stream.close()
+                system, location = fs.FileSystem.from_uri(row[0])
+                last, stream = row[0], system.open_input_file(location)
+            yield row, stream
+    finally:
+        if stream is not None:
+            stream.close()
+
+
 def block_gzip_files(spark: SparkSession, files: list[str]) -> list[tuple[str, int]]:
     """(file, size) of the files that begin with a block header; tasks look at the first bytes of each."""
 
@@ -147,56 +168,54 @@ def read_block_gzip(spark: SparkSession, files: list[tuple[str, int]], range_byt
 
     def measure(batches):
         import pandas as pd
-        from pyarrow import fs
 
         for batch in batches:
             rows = []
-            for name, start, end in zip(batch["file"], batch["start"], batch["end"]):
-                system, location = fs.FileSystem.from_uri(name)
-                with system.open_input_file(location) as stream:
-                    part = _Range(stream, start)
-                    first, text = part.first_member(end), 0
-                    if first is not None:
-                        for place, block in part.members():
-                            if place >= end:
-                                break
-                            text += struct.unpack("<I", block[-4:])[0]
+            for (name, start, end), stream in _opened(zip(batch["file"], batch["start"], batch["end"])):
+                part = _Range(stream, start, end)
+                first, text = part.first_member(end), 0
+                if first is not None:
+                    for place, block in part.members():
+                        if place >= end:
+                            break
+                        text += struct.unpack("<I", block[-4:])[0]
                 rows.append((name, start, end, first, text))
             out = pd.DataFrame(rows, columns=["file", "start", "end", "first", "text"])
             yield out.astype({"first": "Int64"})
 
+    # a range of the usual size is a task of its own; of shorter ones, neighbours share a task
+    enough = max(2 * spark.sparkContext.defaultParallelism, sum(end - start for _, start, end in ranges) // _TASK_BYTES)
+
     def dealt(rows, kinds):
-        return spark.createDataFrame(rows, kinds).repartitionById(max(1, min(len(rows), 10_000)), F.col("number"))
+        parts = max(1, min(len(rows), 10_000, enough))
+        numbered = [(k * parts // len(rows), *row) for k, row in enumerate(rows)]
+        return spark.createDataFrame(numbered, f"number int, {kinds}").repartitionById(parts, F.col("number")).drop("number")
 
     if not ranges:
         return spark.createDataFrame([], "value string, file_path string, line_in_file long")
-    planned = dealt([(k % 10_000, *row) for k, row in enumerate(ranges)], f"number int, {schema}").select("file", "start", "end")
+    planned = dealt(ranges, schema)
     # a row per range: its first block, and where its text begins
     found = sorted(map(tuple, planned.mapInPandas(measure, f"{schema}, first long, text long").collect()))
     rows, before, last = [], 0, None
     for name, start, end, first, text in found:
         before = before if name == last else 0
         if first is not None:
-            rows.append((len(rows) % 10_000, name, start == 0, end, first, before))
+            rows.append((name, start == 0, end, first, before))
         before, last = before + text, name
 
     def lines(batches):
-        import pyarrow as pa
-        from pyarrow import fs
-
         for batch in batches:
-            for row in batch.to_pylist():
-                system, location = fs.FileSystem.from_uri(row["file"])
+            listed = zip(*(column.to_pylist() for column in batch.columns))
+            for (name, opens, end, first, before), stream in _opened(listed):
                 values, places = [], []
-                with system.open_input_file(location) as stream:
-                    for place, line in _owned(_Range(stream, row["first"]), row["opens"], row["end"], row["before"]):
-                        values.append(line)
-                        places.append(place)
-                        if len(values) == _LINES_PER_BATCH:
-                            yield made(values, places, row["file"])
-                            values, places = [], []
+                for place, line in _owned(_Range(stream, first, end), opens, end, before):
+                    values.append(line)
+                    places.append(place)
+                    if len(values) == _LINES_PER_BATCH:
+                        yield made(values, places, name)
+                        values, places = [], []
                 if values:
-                    yield made(values, places, row["file"])
+                    yield made(values, places, name)
 
     def made(values, places, name):
         import pyarrow as pa
@@ -206,7 +225,7 @@ def read_block_gzip(spark: SparkSession, files: list[tuple[str, int]], range_byt
 
     if not rows:
         return spark.createDataFrame([], "value string, file_path string, line_in_file long")
-    kinds = "number int, file string, opens boolean, end long, first long, before long"
+    kinds = "file string, opens boolean, end long, first long, before long"
     return dealt(rows, kinds).mapInArrow(lines, "value string, file_path string, line_in_file long")
 
 

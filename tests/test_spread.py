@@ -6,7 +6,8 @@ from math import comb
 from pyspark.sql import functions as F
 
 from driftway.operators import counts, geography, resample
-from driftway.plans import fixtures
+from driftway.plans import fixtures, queries
+from driftway.sources import block_gzip
 
 
 def most_tasks(spark, name, action):
@@ -79,3 +80,24 @@ def test_cells_of_a_window_are_added_in_place(spark):
                 if p[0] * p[1] > 0:
                     want[block, i, j] = want.get((block, i, j), 0.0) + p[0] * p[1]
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_written_calls_are_dealt_to_files_by_their_lines(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    want = {name: {tuple(r) for r in queries.QUERIES[name](spark, folder).collect()} for name in ("vcf_file_counts", "vcf_block_gzip_counts")}
+    monkeypatch.setattr(queries, "_LINES_PER_FILE", 10, raising=False)
+    assert len(spark.read.text(queries.vcf_files(spark, folder)).inputFiles()) > 16
+    written = []
+    write = block_gzip.write_block_gzip
+    monkeypatch.setattr(block_gzip, "write_block_gzip", lambda *a, **k: written.extend(write(*a, **k)) or list(written))
+    assert {name: {tuple(r) for r in queries.QUERIES[name](spark, folder).collect()} for name in want} == want
+    assert len(written) > 16
+
+
+def test_short_ranges_share_tasks(spark, tmp_path):
+    lines = spark.range(60_000).selectExpr("sha2(cast(id as string), 256) AS value").coalesce(1)
+    files = block_gzip.block_gzip_files(spark, block_gzip.write_block_gzip(lines, f"file://{tmp_path}/blocks", block_text=4096))
+    read = []
+    most = most_tasks(spark, "ranges", lambda: read.append(block_gzip.read_block_gzip(spark, files, range_bytes=8192).collect()))
+    assert files[0][1] // 8192 > 200 and most <= 2 * spark.sparkContext.defaultParallelism
+    assert [r["value"] for r in sorted(read[0], key=lambda r: r["line_in_file"])] == [r["value"] for r in lines.collect()]
