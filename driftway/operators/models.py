@@ -194,12 +194,12 @@ def library_scan(
     log-likelihood needs one equi-join on the cell: sum d ln m, plus totals of
     either side. An entry that expects nothing in a cell with data scores -inf.
 
-    The side that is small enough is broadcast and the other partitioned by its
-    own key, so that the sums finish without a further shuffle; if neither is, the
-    few hundred cell keys are salted.
+    The spectra are broadcast if they are small enough, and then a library that is
+    partitioned by entry already is not shuffled; any other one is, by its folded cells.
+    Else the library is broadcast if it is small, or the few hundred cell keys are salted.
     """
     entry = ["model", "param_id"]
-    by_entry = library.select(*entry, "i", "j", "expected").repartition(*entry)
+    by_entry = library.select(*entry, "i", "j", "expected")
     expected = fold_spectra(by_entry, chromosomes_a, chromosomes_b, entry, value="expected", polarized=polarized)
     data = fold_spectra(cells, chromosomes_a, chromosomes_b, keys, polarized=polarized).filter("mass > 0")
     # A few hundred cells per spectrum, read three times below.
@@ -236,10 +236,10 @@ def library_scan(
         *[F.count_if(F.col(f"_w{k}") > 0).alias(f"_n{k}") for k in lanes],
     )
     pairs = F.array(*[F.struct(F.col(f"_x{k}").alias("cross"), F.col(f"_n{k}").alias("matched")) for k in lanes])
-    spread = sums.select(*entry, "_group", F.posexplode(pairs).alias("_lane", "sums")).select(
-        *entry, (F.col("_group") * _LANES + F.col("_lane") + 1).alias("slot"), "sums.*"
+    spread = sums.join(totals, entry).select(*entry, "model_total", "_group", F.posexplode(pairs).alias("_lane", "sums")).select(
+        *entry, "model_total", (F.col("_group") * _LANES + F.col("_lane") + 1).alias("slot"), "sums.*"
     )
-    scored = spread.join(facts, "slot").join(totals, entry)
+    scored = spread.join(facts, "slot")
     theta = F.col("data_total") / F.col("model_total")
     ll = F.col("cross") + F.col("data_total") * F.log(theta) - F.col("data_total") - F.col("constant")
     complete = F.col("matched") == F.col("data_cells")

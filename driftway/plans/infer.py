@@ -131,7 +131,8 @@ def infer_pairs(
         if library is None or parameters is None:
             raise ValueError("give fit_runs, or a library with its parameters.")
         scan = models.library_scan(cells, library, size, size, polarized=options.polarized)
-        fit_runs = models.scan_as_runs(scan, parameters)
+        # the summary reads the runs several times, the library is scanned once
+        fit_runs = _stage(models.scan_as_runs(scan, parameters), work_folder, "library_runs")
     fits = _stage(models.multistart_summary(fit_runs, [*PAIR, "model"]), work_folder, "model_fits")
     scores = fits.join(spectra.nonzero_cells(cells), PAIR).select(
         *PAIR, "model", F.col("best_log_likelihood").alias("log_likelihood"),

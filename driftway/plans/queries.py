@@ -43,6 +43,8 @@ NE = 500
 MODEL_KEYS = ["pair_id", "model"]
 # Lines of a written VCF file. A compressed file is one task, for its writer and for its reader.
 _LINES_PER_FILE = 5_000
+# Library entries of a task; each becomes a row per cell.
+_ENTRIES_PER_TASK = 20_000
 
 
 def query(build: Query) -> Query:
@@ -457,6 +459,8 @@ def multistart_stability(spark, sf):
 def _library(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(library cells, parameters): a smooth surface per parameter set, not a demographic model."""
     sets = frame(spark, sf, "library_parameters")
+    # the small rows are dealt by entry before they become cells, which then stay where they are
+    sets = sets.repartition(parts_of(sets.count(), _ENTRIES_PER_TASK), "model", "param_id")
     steps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SIZE).cast("long")))
     cells = sets.select("*", steps.alias("i")).select("*", steps.alias("j"))
     surface = F.exp(-F.abs(F.col("i") - F.col("j")) * F.col("m_a_to_b") / 2) / (1 + F.col("i") + F.col("j"))
@@ -497,7 +501,7 @@ def profile_scan(spark, sf):
 @query
 def profile_interval(spark, sf):
     scan, parameters = _scan(spark, sf)
-    profile = models.profile_scan(scan, parameters, "m_a_to_b")
+    profile = materialize(models.profile_scan(scan, parameters, "m_a_to_b"))
     return rounded(models.profile_interval(profile), 3)
 
 

@@ -5,7 +5,7 @@ from math import comb
 
 from pyspark.sql import functions as F
 
-from driftway.operators import counts, geography, resample
+from driftway.operators import counts, geography, models, resample
 from driftway.plans import fixtures, queries
 from driftway.sources import block_gzip
 
@@ -101,3 +101,15 @@ def test_short_ranges_share_tasks(spark, tmp_path):
     most = most_tasks(spark, "ranges", lambda: read.append(block_gzip.read_block_gzip(spark, files, range_bytes=8192).collect()))
     assert files[0][1] // 8192 > 200 and most <= 2 * spark.sparkContext.defaultParallelism
     assert [r["value"] for r in sorted(read[0], key=lambda r: r["line_in_file"])] == [r["value"] for r in lines.collect()]
+
+
+def test_cells_of_a_library_are_not_shuffled(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    want = {tuple(r) for r in queries.QUERIES["profile_interval"](spark, folder).collect()}
+    monkeypatch.setattr(queries, "_ENTRIES_PER_TASK", 10, raising=False)
+    library, _ = queries._library(spark, folder)
+    scan = models.library_scan(queries._projected(spark, folder), library, 8, 8)
+    assert most_tasks(spark, "library", scan.collect) > 16
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(model" in plan and plan.count("REPARTITION_BY_COL") == 0  # sets alone, dealt by number
+    assert {tuple(r) for r in queries.QUERIES["profile_interval"](spark, folder).collect()} == want
