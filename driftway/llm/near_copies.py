@@ -10,12 +10,22 @@ whatever the order is. Shingles that a sample shows in many texts come last in i
 texts.
 
 Under a shingle that few sets hold, all pairs are verified. Under a crowded one, all are verified with a few leaders first;
-where this leaves members in different groups, every pair of members from different groups is verified. Only pairs inside
-one group are left out, and they can't change it.
+where this leaves members of a few more in different groups, every pair of members from different groups is verified. Only
+pairs inside one group are left out, and they can't change it.
+
+A large crowd that is still apart holds texts of one origin, which share most shingles whether they are alike enough or not.
+So they meet by what they do not share (``_differences``): a crowd's base is the shingles that over half of it holds, and each
+set is known by its differences D from the base, shingles of one but not of the other. Sets x and y differ in D(x) and D(y)
+where these differ, and may differ in (n(x) + n(y)) / 9 shingles. So if D(x) and D(y) are that small together, x and y are
+alike without a look at them, and so is each with the set that is nearest to the base. All others share differences. With
+the rarest first, the first one that x and y share stands behind at most as many in D(x) and D(y) as the pair may differ in.
+A difference is found in half of its crowd at most; where it still gathers many, they are a crowd with a base of its own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,6 +41,8 @@ SEED = 42
 #: Sets under one shingle up to which all pairs are formed at once.
 TABLE_LIMIT = 16
 LEADERS = 3
+#: Sets under one shingle, as a multiple of TABLE_LIMIT, up to which pairs of different groups are formed at once.
+CROWD = 4
 #: One text in so many is read for the order of shingles; one found in COMMON of the sample and in 1/20000 of it comes last.
 SAMPLE = 16
 COMMON = 2
@@ -143,9 +155,8 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.filter(f"9 * (na - ({lacking[0]})) >= 4 * (na + nb) AND 9 * (nb - ({lacking[1]})) >= 4 * (na + nb)").select("a", "b")
 
 
-def _verified(pairs: DataFrame, own: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity, by their whole sets."""
-    needed = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+def _sets(needed: DataFrame, own: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """(set, held): the whole sets with the marks of ``needed`` (set), made once more from their texts."""
     texts = rows.join(needed, "set", "left_semi").groupBy("set").agg(F.min("text_hash").alias("text_hash")).select("text_hash")
     texts = broadcast_if_small(written(texts, "texts"))
 
@@ -154,13 +165,85 @@ def _verified(pairs: DataFrame, own: DataFrame, rows: DataFrame, size: int) -> D
         return {"set": pa.array([mark(f) for f in found], pa.int64()), "held": found}
 
     found = own.join(texts, "text_hash", "left_semi").dropDuplicates(["text_hash"]).select("text")
-    sets = written(map_batches(found, read, "set long, held array<long>"), "sets")
+    return written(map_batches(found, read, "set long, held array<long>"), "sets")
+
+
+def _verified(pairs: DataFrame, own: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity, by their whole sets."""
+    needed = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    sets = _sets(needed, own, rows, size)
     both = pairs.join(sets.select(F.col("set").alias("a"), F.col("held").alias("p")), "a")
     both = both.join(sets.select(F.col("set").alias("b"), F.col("held").alias("q")), "b")
     shared = F.size(F.array_intersect("p", "q"))
     return written(both.filter(9 * shared >= 4 * (F.size("p") + F.size("q"))).select("a", "b"), "near")
 
 
+def _differences(crowds: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of crowds (key, set, root): alike pairs (a, b) by differences from the base alone, and the differences by which others meet.
+
+    The latter are rows (key, d, set, n, root, k, p): set has k differences, and p of them are before d. Sets known to be alike
+    have one root there.
+    """
+    whole = written(crowds.join(sets, "set"), "crowds")
+    held = written(whole.select("key", F.explode("held").alias("d")).groupBy("key", "d").agg(F.count("*").alias("c")).filter("c > 1"), "held")
+    counts = held.join(whole.groupBy("key").agg(F.count("*").alias("m")), "key")
+    bases = counts.filter("2 * c > m").groupBy("key").agg(F.collect_list("d").alias("base"))
+    own = whole.join(bases, "key", "left").withColumn("base", F.coalesce("base", F.array().cast("array<long>")))
+    own = own.select("key", "set", "root", F.size("held").alias("n"), F.concat(F.array_except("held", "base"), F.array_except("base", "held")).alias("diff"))
+    own = written(own.withColumn("k", F.size("diff")).withColumn("s", F.expr("n - 9 * k")), "differences")
+    best = own.groupBy("key").agg(F.max(F.struct("s", "set", "root")).alias("best"))
+    own = own.join(best, "key").withColumn("star", F.expr("s + best.s >= 0"))
+    stars = own.filter("star AND set <> best.set").select(F.greatest("set", "best.set").alias("a"), F.least("set", "best.set").alias("b")).distinct()
+    own = own.withColumn("root", F.when(F.col("star"), F.col("best.root")).otherwise(F.col("root")))
+    each = own.select("key", "set", "n", "root", "k", F.explode("diff").alias("d")).join(counts, ["key", "d"], "left")
+    each = each.withColumn("rare", F.coalesce(F.least("c", F.col("m") - F.col("c")), F.lit(1)))
+    each = each.withColumn("p", F.row_number().over(Window.partitionBy("key", "set").orderBy("rare", "d")) - 1)
+    places = each.filter("rare > 1 AND 4 * p <= n").select("key", "d", "set", "n", "root", "k", "p")
+    return written(stars, "stars"), written(places, "places")
+
+
+def _meeting(places: DataFrame) -> DataFrame:
+    """The differences under which sets of different roots can be alike, with their number t and a hash h of who is there."""
+    key = ["key", "d"]
+    least = places.groupBy(*key).agg(F.min("k").alias("lk"), F.min(F.expr("2 * p - k")).alias("lq"), F.min("p").alias("lp"))
+    # what a pair must meet (see _met), for the whole of those there: a pair may differ in n / 4 at most
+    can = places.join(least, key).filter("4 * (2 * p - k + lk) <= n AND 4 * (lq + k) <= n AND 4 * (p + lp) <= n").drop("lk", "lq", "lp")
+    can = written(can, "places")
+    there = can.groupBy(*key).agg(
+        F.count("*").alias("t"), F.bit_xor(F.xxhash64("set")).alias("h"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    return written(can.join(there.filter("low < high").select(*key, "t", "h"), key), "meeting")
+
+
+def _met(places: DataFrame) -> DataFrame:
+    """(a, b), a > b: sets of different roots under one difference, where their places allow that it is the first they share."""
+    one, two = places.alias("x"), places.alias("y")
+    sizes = "x.set > y.set AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n AND x.root <> y.root"
+    ahead = "9 * (x.p + y.p) <= x.n + y.n AND 9 * (2 * x.p - x.k + y.k) <= x.n + y.n AND 9 * (2 * y.p - y.k + x.k) <= x.n + y.n"
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.d") == F.col("y.d"))
+    return one.join(two, same & F.expr(f"{sizes} AND {ahead}")).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+
+
+def _dissolved(crowded: DataFrame, own: DataFrame, rows: DataFrame, size: int, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Alike pairs (a, b) and pairs to be verified, enough to join all alike members of different roots under one shingle.
+
+    Shingles with one leader are one crowd. Each round's crowds are half as large at most, and end as pairs below ``limit``.
+    """
+    sets = _sets(crowded.select("set").distinct(), own, rows, size)
+    leaders = crowded.groupBy("e").agg(F.min(F.struct(F.xxhash64("set").alias("h"), "set")).alias("l")).select("e", F.col("l.set").alias("key"))
+    crowds = written(crowded.join(leaders, "e").select("key", "set", "root").distinct(), "crowds")
+    alike, pairs = [], []
+    while not crowds.isEmpty():
+        stars, places = _differences(crowds, sets)
+        meeting = _meeting(places)
+        alike.append(stars)
+        pairs.append(_met(meeting.filter(F.col("t") <= limit)))
+        # differences of the same sets are one crowd
+        crowds = meeting.filter(F.col("t") > limit).groupBy(F.col("h").alias("key"), "set").agg(F.min("root").alias("root"))
+        crowds = written(crowds, "crowds")
+    return alike, pairs
+
+
 def _labels(near: DataFrame) -> DataFrame:
     return components(near).select(F.col("node").alias("set"), "root")
 
@@ -187,9 +270,13 @@ def _grouped(docs: DataFrame, size: int, limit: int) -> DataFrame:
         labels = _labels(near)
     split = crowded.drop("root").join(labels, "set", "left").select("e", "set", "n", F.coalesce("root", "set").alias("root"))
     apart = split.groupBy("e").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("e")
-    split = written(split.join(apart, "e", "left_semi"), "split")
+    split = written(split.join(apart, "e", "left_semi").join(counts, "e"), "split")
     if not split.isEmpty():
-        more = _verified(written(_possible(_paired(split), nodes), "pairs"), own, rows, size)
+        large = split.filter(F.col("count") > CROWD * limit)
+        alike, pairs = ([], []) if large.isEmpty() else _dissolved(large, own, rows, size, CROWD * limit)
+        pairs = reduce(DataFrame.unionByName, pairs, _paired(split.filter(F.col("count") <= CROWD * limit))).distinct()
+        more = _verified(written(_possible(pairs, nodes), "pairs"), own, rows, size)
+        more = written(reduce(DataFrame.unionByName, alike, more), "near")
         if not more.isEmpty():
             labels = _labels(near.unionByName(more))
     return rows.select("doc_id", "text_hash", "set").join(labels, "set", "left").select(

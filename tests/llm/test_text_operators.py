@@ -298,3 +298,53 @@ def test_prefixes_against_a_long_list_take_no_time():
         assert first.tolist() == want.tolist()
     assert near_copies.prefix(sets[0], common[:0]).tolist() == sets[0][: len(sets[0]) - -(-4 * len(sets[0]) // 5) + 1].tolist()
     assert near_copies.prefix(sets[0][:0], common).tolist() == []
+
+
+def near_family(rng, copies, changes, first, words=170):
+    """(doc_id, text) of one text and its copies, each with up to ``changes`` words replaced."""
+    base, rows = prose(rng, words, first).split(), []
+    for copy in range(copies):
+        some = list(base)
+        for at in rng.sample(range(words), rng.randrange(changes + 1)):
+            some[at] = f"new{rng.randrange(40)}"
+        rows.append((first + copy, " ".join(some)))
+    return rows
+
+
+def groups_of_all_pairs(texts):
+    """The smallest place of each text's group, by all pairs of their sets of shingles."""
+    sets = [five_word_shingles(t) for t in texts]
+    column = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(column)), np.float32)
+    for row, own in zip(held, sets):
+        row[[column[s] for s in own]] = 1
+    n = held.sum(axis=1)
+    near = 9 * (held @ held.T) >= 4 * (n[:, None] + n[None, :])
+    names = np.arange(len(sets))
+    while True:
+        after = np.array([names[row].min() for row in near])
+        if (after == names).all():
+            return names
+        names = after
+
+
+@pytest.mark.parametrize("limit", [1, 16])
+def test_near_copies_that_share_most_shingles_are_not_paired_all(spark, monkeypatch, limit):
+    """Pairs under a crowded shingle grow with its members, not with their square, and no group is lost."""
+    rng = random.Random(11)
+    line, formed = prose(rng, 60, 90_000), []
+    possible = near_copies._possible
+
+    def counted(pairs, nodes):
+        formed.append(pairs.count())
+        return possible(pairs, nodes)
+
+    monkeypatch.setattr(near_copies, "_possible", counted)
+    rows = near_family(rng, 500, 8, 1000)
+    for first in (2000, 3000):  # two families with a long passage in common
+        rows += [(i, f"{text} {line}") for i, text in near_family(rng, 150, 10, first, 150)]
+    names = groups_of_all_pairs([t for _, t in rows])
+    assert 20 < len(set(names)) < 600
+    kept = {r["doc_id"] for r in near_copies.deduplicated(docs(spark, rows), limit=limit).collect()}
+    assert kept == {rows[k][0] for k in set(names.tolist())}
+    assert sum(formed) < 25 * len(rows)
