@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftway.llm.common import held_out, keep_batches, map_batches, shipped, slices
+from driftway.llm.common import give_back, held_out, keep_batches, map_batches, shipped, slices
 
 DIMENSIONS = 512
 N = 3
@@ -238,6 +238,7 @@ def bounds(docs: DataFrame, profiles: Profiles, least: float = LEAST_COSINE) ->
     for row in cuts.filter(F.col("n") >= LEAST_TEXTS).collect():
         low, middle = row["q"]
         found[row["lang"], row["size"]] = max(least, middle - QUARTILES * (middle - low))
+    give_back()  # the driver, too, lives on
     return found
 
 

@@ -13,13 +13,17 @@ Under a shingle that few sets hold, all pairs are verified. Under a crowded one,
 where this leaves members of a few more in different groups, every pair of members from different groups is verified. Only
 pairs inside one group are left out, and they can't change it.
 
-A large crowd that is still apart holds texts of one origin, which share most shingles whether they are alike enough or not.
-So they meet by what they do not share (``_differences``): a crowd's base is the shingles that over half of it holds, and each
-set is known by its differences D from the base, shingles of one but not of the other. Sets x and y differ in D(x) and D(y)
-where these differ, and may differ in (n(x) + n(y)) / 9 shingles. So if D(x) and D(y) are that small together, x and y are
-alike without a look at them, and so is each with the set that is nearest to the base. All others share differences. With
-the rarest first, the first one that x and y share stands behind at most as many in D(x) and D(y) as the pair may differ in.
-A difference is found in half of its crowd at most; where it still gathers many, they are a crowd with a base of its own.
+A large crowd that is still apart is dealt to blocks of bounded size, and every two of its blocks meet in one task, which
+compares whole sets exactly and returns only the links that join groups (``_in_blocks``). A member is copied once for each
+block, 16 times or a few more at most, since larger crowds are split first.
+
+The largest crowds hold texts of one origin, which share most shingles whether they are alike enough or not. So they meet by
+what they do not share (``_differences``): a crowd's base is the shingles that over half of it holds, and each set is known by
+its differences D from the base, shingles of one but not of the other. Sets x and y differ in D(x) and D(y) where these differ,
+and may differ in (n(x) + n(y)) / 9 shingles. So if D(x) and D(y) are that small together, x and y are alike without a look at
+them, and so is each with the set that is nearest to the base. All others share differences. With the rarest first, the first
+one that x and y share stands behind at most as many in D(x) and D(y) as the pair may differ in. A difference is found in half
+of its crowd at most; where it still gathers many, they are a crowd again: one for blocks, or one with a base of its own.
 """
 
 from __future__ import annotations
@@ -28,11 +32,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftway.llm.common import blank_words, map_batches, written
+from driftway.llm.common import blank_words, give_back, map_batches, shipped, written
 from driftway.llm.simhash import components, first_of_each, links, majority
 from driftway.session import broadcast_if_small
 
@@ -43,6 +48,12 @@ TABLE_LIMIT = 16
 LEADERS = 3
 #: Sets under one shingle, as a multiple of TABLE_LIMIT, up to which pairs of different groups are formed at once.
 CROWD = 4
+#: Sets and shingles of a block of a crowd; two blocks are compared by one task. Crowds of more than LARGEST sets are split.
+BLOCK = 512
+BLOCK_SHINGLES = 1_000_000
+LARGEST = 16 * BLOCK
+#: Shingles that a task lays out at once, as columns of a row for each set.
+COLUMNS = 4096
 #: One text in so many is read for the order of shingles; one found in COMMON of the sample and in 1/20000 of it comes last.
 SAMPLE = 16
 COMMON = 2
@@ -103,8 +114,9 @@ def _common(own: DataFrame, size: int) -> np.ndarray:
     counts = written(held.select(F.explode("held").alias("e")).groupBy("e").count().filter(F.col("count") >= least), "common")
     while counts.filter(F.col("count") >= least).count() > MOST_COMMON:
         least *= 2
-    found = counts.filter(F.col("count") >= least).select("e").toArrow()
-    return np.sort(found.column(0).to_numpy())
+    found = np.sort(counts.filter(F.col("count") >= least).select("e").toArrow().column(0).to_numpy())
+    give_back()  # the driver, too, lives on
+    return found
 
 
 def _marked(own: DataFrame, size: int) -> DataFrame:
@@ -224,24 +236,96 @@ def _met(places: DataFrame) -> DataFrame:
     return one.join(two, same & F.expr(f"{sizes} AND {ahead}")).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
 
 
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The number of shingles that each set of ``x`` shares with each of ``y``; all hold distinct values."""
+    shared = np.zeros((len(x), len(y)), np.float32)
+    p, q = np.concatenate(x), np.concatenate(y)
+    both = np.intersect1d(p, q)
+    if not len(both):
+        return shared
+    places = []
+    for values, sets in ((p, x), (q, y)):
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        found = both[at] == values
+        places.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[found], at[found]))
+    for start in range(0, len(both), COLUMNS):
+        sides = []
+        for (row, column), sets in zip(places, (x, y)):
+            here = (column >= start) & (column < start + COLUMNS)
+            side = np.zeros((len(sets), COLUMNS), np.float32)
+            side[row[here], column[here] - start] = 1
+            sides.append(side)
+        shared += sides[0] @ sides[1].T
+    return shared
+
+
+def joining(near: np.ndarray, x: list[int], y: list[int]) -> list[tuple[int, int]]:
+    """The places (row, column) of ``near`` that are enough to join the roots ``x`` of its rows and ``y`` of its columns."""
+    above: dict[int, int] = {}
+
+    def top(root: int) -> int:
+        while root in above:
+            root = above[root]
+        return root
+
+    found = []
+    for i, row in enumerate(near):
+        for j in np.flatnonzero(row).tolist():
+            one, two = top(x[i]), top(y[j])
+            if one != two:
+                above[max(one, two)] = min(one, two)
+                found.append((i, j))
+    return found
+
+
+def _in_blocks(crowds: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b), a > b: alike sets of different roots in crowds (key, set, root, m, blocks), enough to join all of each crowd."""
+
+    def compare(table):
+        sides = [table.filter(pc.equal(table["own"], table[k][0])) for k in ("i", "j")]
+        held = [[np.array(v.values) for v in side["held"]] for side in sides]
+        marks, roots = ([side[k].to_pylist() for side in sides] for k in ("set", "root"))
+        pairs = []
+        if all(held):
+            n = [np.array([len(h) for h in side]) for side in held]
+            p, q = n[0][:, None], n[1][None, :]
+            near = (np.array(roots[0])[:, None] != np.array(roots[1])[None, :]) & (5 * p >= 4 * q) & (5 * q >= 4 * p)
+            if near.any():
+                near &= 9 * overlaps(*held) >= 4 * (p + q)
+                pairs = [(marks[0][i], marks[1][j]) for i, j in joining(near, *roots)]
+        return pa.table({"a": pa.array([max(p) for p in pairs], pa.int64()), "b": pa.array([min(p) for p in pairs], pa.int64())})
+
+    own = crowds.withColumn("own", F.expr("cast(pmod(xxhash64(set, 7), blocks) as long)"))
+    dealt = own.select("key", "set", "root", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")).join(sets, "set")
+    met = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "root", "held")
+    shipped(crowds.sparkSession)
+    return met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _dissolved(crowded: DataFrame, own: DataFrame, rows: DataFrame, size: int, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Alike pairs (a, b) and pairs to be verified, enough to join all alike members of different roots under one shingle.
 
-    Shingles with one leader are one crowd. Each round's crowds are half as large at most, and end as pairs below ``limit``.
+    Shingles with one leader are one crowd. Crowds of up to ``LARGEST`` sets end in blocks; each round's others are half as large
+    at most, and where a difference gathers up to ``limit`` sets they end as pairs.
     """
     sets = _sets(crowded.select("set").distinct(), own, rows, size)
     leaders = crowded.groupBy("e").agg(F.min(F.struct(F.xxhash64("set").alias("h"), "set")).alias("l")).select("e", F.col("l.set").alias("key"))
-    crowds = written(crowded.join(leaders, "e").select("key", "set", "root").distinct(), "crowds")
+    crowds = crowded.join(leaders, "e").select("key", "set", "root", "n").distinct()
     alike, pairs = [], []
-    while not crowds.isEmpty():
+    while True:
+        blocks = F.ceil(F.count("*") / F.lit(BLOCK)) + F.floor(F.sum("n") / F.lit(BLOCK_SHINGLES))
+        sized = crowds.groupBy("key").agg(F.count("*").alias("m"), blocks.cast("long").alias("blocks"))
+        crowds = written(crowds.join(sized, "key"), "crowds")
+        alike.append(written(_in_blocks(crowds.filter(F.col("m") <= LARGEST), sets), "linked"))
+        crowds = crowds.filter(F.col("m") > LARGEST).select("key", "set", "root")
+        if crowds.isEmpty():
+            return alike, pairs
         stars, places = _differences(crowds, sets)
         meeting = _meeting(places)
         alike.append(stars)
         pairs.append(_met(meeting.filter(F.col("t") <= limit)))
         # differences of the same sets are one crowd
-        crowds = meeting.filter(F.col("t") > limit).groupBy(F.col("h").alias("key"), "set").agg(F.min("root").alias("root"))
-        crowds = written(crowds, "crowds")
-    return alike, pairs
+        crowds = meeting.filter(F.col("t") > limit).groupBy(F.col("h").alias("key"), "set").agg(F.min("root").alias("root"), F.min("n").alias("n"))
 
 
 def _labels(near: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftway.llm.common import held_out, keep_batches, map_batches
+from driftway.llm.common import give_back, held_out, keep_batches, map_batches
 
 #: Labelled rows of each class that the model is fitted on, at most about; chosen by a hash of the id.
 SAMPLE_PER_CLASS = 4000
@@ -171,7 +171,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
     found = map_batches(texts.select("_id", "_label", "text"), rows, "id long, label int, grams binary").collect()
     found.sort(key=lambda r: (r["id"], r["label"]))
-    return fit([np.frombuffer(r["grams"], np.int32) for r in found], np.array([r["label"] for r in found], dtype=int))
+    model = fit([np.frombuffer(r["grams"], np.int32) for r in found], np.array([r["label"] for r in found], dtype=int))
+    del found
+    give_back()  # the driver, too, lives on
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:

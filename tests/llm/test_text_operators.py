@@ -348,3 +348,45 @@ def test_near_copies_that_share_most_shingles_are_not_paired_all(spark, monkeypa
     kept = {r["doc_id"] for r in near_copies.deduplicated(docs(spark, rows), limit=limit).collect()}
     assert kept == {rows[k][0] for k in set(names.tolist())}
     assert sum(formed) < 25 * len(rows)
+
+
+def test_large_crowds_of_near_copies_make_no_row_of_each_shingle(spark, monkeypatch):
+    """What a large crowd writes follows its members, not their shingles, and no group is lost."""
+    rng = random.Random(12)
+    rows = near_family(rng, 500, 24, 1000)
+    names = groups_of_all_pairs([t for _, t in rows])
+    assert 100 < len(set(names)) < 450
+    kept, sizes = near_copies.written, []
+
+    def counted(df, label):
+        out = kept(df, label)
+        sizes.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(near_copies, "written", counted)
+    found = {r["doc_id"] for r in near_copies.deduplicated(docs(spark, rows)).collect()}
+    assert found == {rows[k][0] for k in set(names.tolist())}
+    after = sizes[[label for label, _ in sizes].index("split") + 1 :]
+    assert "crowds" in {label for label, _ in after}
+    assert max(n for _, n in after) <= 4 * len(rows)
+
+
+@pytest.mark.parametrize(("block", "held", "largest"), [(64, 10**6, 10**6), (512, 2000, 10**6), (16, 10**6, 100), (512, 10**6, 0)])
+def test_blocks_and_differences_of_large_crowds_find_the_same_groups(spark, monkeypatch, block, held, largest):
+    for name, value in (("BLOCK", block), ("BLOCK_SHINGLES", held), ("LARGEST", largest), ("COLUMNS", 100)):
+        monkeypatch.setattr(near_copies, name, value)
+    rng = random.Random(13)
+    rows = near_family(rng, 300, 24, 1000) + near_family(rng, 120, 10, 2000, 120)
+    names = groups_of_all_pairs([t for _, t in rows])
+    kept = {r["doc_id"] for r in near_copies.deduplicated(docs(spark, rows), limit=4).collect()}
+    assert kept == {rows[k][0] for k in set(names.tolist())}
+
+
+def test_overlaps_and_joining_against_plain_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, k)) for k in rng.integers(1, 50, 40)]
+    shared = near_copies.overlaps(sets[:25], sets[25:])
+    assert shared.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets[25:]] for x in sets[:25]]
+    assert not near_copies.overlaps([np.array([1, 2])], [np.array([3])]).any()
+    near = np.array([[True, True, False], [True, False, False], [False, False, True]])
+    assert near_copies.joining(near, [1, 1, 2], [3, 4, 5]) == [(0, 0), (0, 1), (2, 2)]
