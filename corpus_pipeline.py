@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the remaining documents in sequences of 1024 ids."""
-    return packing.pack(docs)
+    return packing.pack(docs, keep_words=False)
 
 
 STAGES = [

@@ -109,13 +109,14 @@ def encoded(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
 _PIECES = "part int, local long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long"
 
 
-def pack(docs: DataFrame, length: int = LENGTH, vocabulary_path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, vocabulary_path: str | None = None, keep_words: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every id of every row lies in one piece; sequences are numbered from 0 without gaps, those of one range of the curve
     beside one another. All but a few sequences are full: at most one for each range is open, and open ones share
     sequences where they fit. Null and empty texts are documents of the end id alone. Repeated rows and rows with a null
-    id are packed like any other. Extra columns are ignored.
+    id are packed like any other. Extra columns are ignored. Without ``keep_words`` workers drop what they remember of the
+    encoding once ids are written, so that other work finds more memory.
     """
     spark = docs.sparkSession
     path = vocabulary_path or vocabulary()
@@ -150,6 +151,8 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary_path: str | None = No
                 filled += n
             if out["part"]:
                 yield pa.RecordBatch.from_pydict(out, schema)
+        if not keep_words:
+            encoder(path).forget()
         give_back()
 
     schema = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.int64()) for c in _PIECES.split(", ")])

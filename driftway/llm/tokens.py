@@ -98,6 +98,11 @@ class Encoder:
         return out
 
 
+    def forget(self) -> None:
+        """Drop the remembered pieces; they are learned again when they are met again."""
+        self.known, self.older = {}, {}
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

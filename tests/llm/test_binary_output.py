@@ -209,3 +209,16 @@ def test_copies_of_a_record_fill_many_buckets(spark):
     assert len(hot) == number and max(r["count"] for r in hot) < 2 * 2000 / number
     placed = shards.placed(own, shards=4, bucket_bytes=2000)
     assert placed.count() == 4000 and placed.select("shard", "slot").distinct().count() == 4000
+
+
+def test_packing_that_forgets_its_words_gives_the_same_pieces(spark):
+    encoder = tokens.Encoder(tokens.vocabulary())
+    texts = ["some words, some more words.", "words again", None]
+    first = encoder.encode_many(texts)
+    assert encoder.known
+    encoder.forget()
+    assert not encoder.known and not encoder.older
+    assert encoder.encode_many(texts) == first
+    own = spark.createDataFrame([(k, f"text {k} " * (k % 90)) for k in range(60)], "doc_id long, text string")
+    kept, forgotten = ({tuple(r) for r in packing.pack(own, keep_words=k).collect()} for k in (True, False))
+    assert kept == forgotten and len(kept) >= 60
