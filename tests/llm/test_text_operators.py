@@ -368,7 +368,7 @@ def test_large_crowds_of_near_copies_make_no_row_of_each_shingle(spark, monkeypa
     assert found == {rows[k][0] for k in set(names.tolist())}
     after = sizes[[label for label, _ in sizes].index("split") + 1 :]
     assert "crowds" in {label for label, _ in after}
-    assert max(n for _, n in after) <= 4 * len(rows)
+    assert max(n for _, n in after) <= 2 * len(rows)
 
 
 @pytest.mark.parametrize(("block", "held", "largest"), [(64, 10**6, 10**6), (512, 2000, 10**6), (16, 10**6, 100), (512, 10**6, 0)])
