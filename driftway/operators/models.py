@@ -236,7 +236,8 @@ def library_scan(
         *[F.count_if(F.col(f"_w{k}") > 0).alias(f"_n{k}") for k in lanes],
     )
     pairs = F.array(*[F.struct(F.col(f"_x{k}").alias("cross"), F.col(f"_n{k}").alias("matched")) for k in lanes])
-    spread = sums.join(totals, entry).select(*entry, "model_total", "_group", F.posexplode(pairs).alias("_lane", "sums")).select(
+    # a row per library entry on either side: neither goes through the driver
+    spread = sums.join(totals.hint("merge"), entry).select(*entry, "model_total", "_group", F.posexplode(pairs).alias("_lane", "sums")).select(
         *entry, "model_total", (F.col("_group") * _LANES + F.col("_lane") + 1).alias("slot"), "sums.*"
     )
     scored = spread.join(facts, "slot")
@@ -268,7 +269,7 @@ def scan_as_runs(scan: DataFrame, parameters: DataFrame, keys: list[str] = PAIR)
     ``parameters`` maps (model, param_id) to a ``params`` map.
     """
     ll = F.col("log_likelihood")
-    return scan.join(parameters, ["model", "param_id"]).select(
+    return scan.join(parameters.hint("merge"), ["model", "param_id"]).select(
         *keys, "model", F.col("param_id").alias("run"), is_finite(ll).alias("success"), ll.alias("log_likelihood"),
         "params",
     )
@@ -281,7 +282,7 @@ def library_estimator(
 
     def estimate(cells: DataFrame, keys: list[str]) -> DataFrame:
         scan = library_scan(cells, library, chromosomes_a, chromosomes_b, keys, polarized=polarized)
-        best = best_entries(scan, keys).join(parameters, ["model", "param_id"])
+        best = best_entries(scan, keys).join(parameters.hint("merge"), ["model", "param_id"])
         return best.select(
             *keys,
             F.col("params")["m_a_to_b"].alias("m_a_to_b"),

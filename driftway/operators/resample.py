@@ -224,7 +224,9 @@ def _drawn_blocks(rows: DataFrame, replicates: int, seed: int, keys: list[str],
     drawn = weights.groupBy(*keys, "ordinal", F.floor(F.col("replicate") / _LANES).alias("_group")).agg(
         *[F.sum(F.when(F.col("_lane") == k, F.col("weight")).otherwise(0)).alias(w) for k, w in enumerate(lanes)]
     )
-    return drawn.join(ordinals, [*keys, "ordinal"]).join(rows, [*keys, "chrom", "block"]), lanes
+    # all three have rows per block; the planner takes the draws for as few as the sizes they unroll from, and would broadcast them
+    placed = drawn.join(ordinals.hint("merge"), [*keys, "ordinal"])
+    return placed.join(rows.hint("merge"), [*keys, "chrom", "block"]), lanes
 
 
 def _spread(summed: DataFrame, lanes: list[str], keep: list[str], value: str) -> DataFrame:

@@ -220,7 +220,7 @@ def _with_bootstrap(
             raise ValueError("bootstrap needs an estimator, or a library with its parameters.")
         entries = library.filter(F.col("model").isin(*models.DIRECTIONAL_MODELS))
         scan = models.library_scan(drawn, entries, size, size, keys, polarized=options.polarized)
-        best = models.best_entries(scan, keys).join(parameters, ["model", "param_id"])
+        best = models.best_entries(scan, keys).join(parameters.hint("merge"), ["model", "param_id"])
         own = called.select(*PAIR, F.col("directional_model").alias("model"))
         estimates = best.join(own, [*PAIR, "model"]).select(
             *keys, F.col("params")["m_a_to_b"].alias("m_a_to_b"), F.col("params")["m_b_to_a"].alias("m_b_to_a")

@@ -113,3 +113,31 @@ def test_cells_of_a_library_are_not_shuffled(spark, monkeypatch):
     plan = scan._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(model" in plan and plan.count("REPARTITION_BY_COL") == 0  # sets alone, dealt by number
     assert {tuple(r) for r in queries.QUERIES["profile_interval"](spark, folder).collect()} == want
+
+
+def test_draws_and_blocks_are_merged(spark):
+    """A row per block: the planner sees the one row of sizes that the draws come from, and would broadcast them."""
+    blocks = spark.range(300).selectExpr(
+        "'A' AS population_a", "'B' AS population_b", "'c' AS chrom", "id AS block",
+        "9L AS n_a", "id % 8 AS x_a", "8L AS n_b", "id % 5 AS x_b", "2L AS loci",
+    )
+    offsets = spark.createDataFrame([("A", "B", 7)], "population_a string, population_b string, seed_offset long")
+    got = resample.resample_block_configurations(blocks, 3, 1, 8, 8, offsets=offsets)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and plan.count("SortMergeJoin") == 2
+    masses = {}
+    for r in got.collect():
+        masses[r["replicate"]] = masses.get(r["replicate"], 0.0) + r["mass"]
+    assert masses.keys() == {0, 1, 2} and all(abs(m - 600) < 1e-6 for m in masses.values())
+
+
+def test_library_entries_are_merged(spark):
+    """A row per library entry on both sides of a join: neither is broadcast, however few they are."""
+    folder = "/root/testdata/sf0.001"
+    library, parameters = queries._library(spark, folder)
+    scan = models.library_scan(queries._projected(spark, folder), library, 8, 8)
+    runs = models.scan_as_runs(scan, parameters)
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    by_entry = [line for line in plan.splitlines() if "Join [model#" in line]
+    assert len(by_entry) == 2 and all("SortMergeJoin" in line for line in by_entry)
+    assert runs.count() == scan.count() == 10 * parameters.count()
