@@ -133,7 +133,8 @@ def multistart_summary(
     gap = F.col("best_log_likelihood") - ll
     bucket = F.floor(gap / ll_tolerance * _NEAR_BUCKETS) if ll_tolerance > 0 else F.lit(0)
     ranked = bucketed_rank(near, keys, [bucket], [ll.desc(), F.col("run").asc()])
-    kept = ranked.filter(F.col("rank") <= keep)
+    # read five times below: written once, or the plan holds the runs and their ranks as often, and the driver plans them all
+    kept = materialize(ranked.filter(F.col("rank") <= keep).select(*keys, "run", "params", "rank"))
 
     values = kept.select(*keys, F.explode("params").alias("parameter", "value"))
     finite = values.withColumn("value", F.when(is_finite(F.col("value")), F.col("value")))

@@ -126,6 +126,8 @@ def infer_pairs(
     if options.prepare_only:
         status = F.when(none, F.lit("no_usable_loci")).otherwise(F.lit("prepared"))
         return InferResult(base.withColumn("status", status), None, cells)
+    # tables of a row per pair are written too, so that no plan holds all steps at once
+    base = _stage(base, work_folder, "loci_used")
 
     if fit_runs is None:
         if library is None or parameters is None:
@@ -143,6 +145,7 @@ def infer_pairs(
         fits.select(*PAIR, F.col("model").alias("best_model"), "best_params", "stable", "converged_fraction"),
         [*PAIR, "best_model"],
     )
+    winners = _stage(winners, work_folder, "best_models")
     directional = winners.filter(F.col("directional_model").isNotNull()).select(
         *PAIR, "best_model", "directional_model",
         F.col("best_params")["m_a_to_b"].alias("m_a_to_b"),
@@ -159,6 +162,7 @@ def infer_pairs(
         called = _with_bootstrap(
             _stage(called, work_folder, "directional_pairs"), shared, configs, options, library, parameters, estimator
         )
+        called = _stage(called, work_folder, "decisions")
     other = winners.filter(F.col("directional_model").isNull()).select(
         *PAIR, "best_model",
         F.lit("unsupported").alias("status"),
@@ -212,6 +216,7 @@ def _with_bootstrap(
             F.count_distinct("chrom", "block").alias("bootstrap_blocks_used"),
             F.sum("loci").alias("bootstrap_loci_used"),
         )
+    units = materialize(units)
     keys = [*PAIR, "replicate"]
     if estimator is not None:
         estimates = estimator(drawn, keys)

@@ -141,3 +141,17 @@ def test_library_entries_are_merged(spark):
     by_entry = [line for line in plan.splitlines() if "Join [model#" in line]
     assert len(by_entry) == 2 and all("SortMergeJoin" in line for line in by_entry)
     assert runs.count() == scan.count() == 10 * parameters.count()
+
+
+def test_plans_do_not_hold_a_step_for_each_of_its_readers(spark):
+    runs = spark.range(200).selectExpr(
+        "id % 2 AS pair_id", "id AS run", "id % 7 <> 0 AS success", "-10D - id % 5 AS log_likelihood",
+        "map('m_a_to_b', 1D + id % 3, 'm_b_to_a', 0.5D) AS params",
+    )
+    table = models.multistart_summary(runs, ["pair_id"])
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1  # its ranked runs are written
+    assert {r["pair_id"]: (r["best_run"], r["near_best_runs"]) for r in table.collect()} == {0: (10, 22), 1: (5, 22)}
+    pairwise = queries.QUERIES["infer_pairs"](spark, "/root/testdata/sf0.001")
+    # numbers of loci, decisions, pairs without a direction, and cells
+    assert pairwise._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 4
+    assert pairwise.count() == 10
